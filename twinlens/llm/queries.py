@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, quality_rules
+from . import bpe, exact_dedup, html_extract, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
 from ._store import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Half of the corpus' tokens, domains by given weights, English twice as heavy as each other language in the first.
+MIXTURE = mixing.Plan(weights={("domain0",): 2.0, ("domain1",): 1.0, ("domain2",): 1.0, ("domain3",): 0.5, ("domain0", "en"): 2.0}, share=0.5, max_epochs=4)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,6 +28,23 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def learnable(labels: DataFrame, modulus: int, held: int) -> DataFrame:
+    """The labelled rows outside the held-out fold."""
+    return labels.where(toxicity.remainder("doc_id", modulus) != held)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, learnable(table(spark, sf_dir, "labels"), 3, 1))
+    return toxicity.scored_with_folds(docs, toxicity.score(docs, model), 1, 3)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.select_mixture(table(spark, sf_dir, "documents"), MIXTURE)
+    path = [F.get("__path", F.lit(k)).alias(name) for k, name in enumerate(mixing.LEVELS)]
+    return chosen.select("doc_id", *path, F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_sha256(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
@@ -31,16 +53,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.kept_sha256(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, learnable(table(spark, sf_dir, "labels"), 4, 2))
+    return toxicity.scored_with_folds(docs, quality_classifier.score(docs, model), 2, 4)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op3_line_dedup, op4_quality_rules, op8_bpe, op10_exact_dedup]
+    found = [op1_toxicity, op2_mixing, op3_line_dedup, op4_quality_rules, op5_jaccard_join, op6_html_extract, op7_substring_dedup, op8_bpe, op9_quality_classifier, op10_exact_dedup]
 
     def shipped(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +109,28 @@ marked AS (SELECT k.doc_id, k.pos, k.line, coalesce(k.doc_id < d.last_doc, false
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op5_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.r = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.r) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.v = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op7_substring_dedup": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i + 19], ' '))) AS t FROM w WHERE len(ws) >= 20),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + j.k AS i FROM later, range(20) j(k)),
+tok AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+kept AS (SELECT t.doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(t.word, ' ' ORDER BY t.i) FILTER (WHERE g.i IS NULL) AS kept
+         FROM tok t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)""",
     "op10_exact_dedup": r"""
 WITH n AS (SELECT doc_id, coalesce(length(text), 0) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS keep_id,
