@@ -1,0 +1 @@
+"""twinlens: utility and privacy evaluation of synthetic tables against their originals, on PySpark."""

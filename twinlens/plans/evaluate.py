@@ -1,0 +1,361 @@
+"""The staged evaluation: thresholds, preprocessing, metrics, report.
+
+Stages hand over files under ``output_dir``; tables stay DataFrames, and only results
+of fixed size (a row per metric, column, evaluation or simulation) reach the driver.
+"""
+
+from __future__ import annotations
+
+import logging
+import shutil
+import time
+from dataclasses import asdict, dataclass, field, fields
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+from ..functions.distance import prepare, reject_missing
+from ..functions.schema import AnalysisSchema, coerce, exclude_columns, infer_schema, without_nan
+from ..functions.stats import normal_threshold, size_corrected
+from ..operators import association, inference, linkage, propensity, reduction, single_out, thresholds, univariate
+from ..operators.validation import ValidatedPair, validate_pair
+from ..sources import tables
+
+log = logging.getLogger("twinlens")
+LARGE_ROWS = 20_000
+
+
+@dataclass
+class Options:
+    """All settings; every stage takes those it knows."""
+
+    original: str | None = None
+    synthetic: str | None = None
+    output_dir: str = "results"
+    categorical_columns: list[str] = field(default_factory=list)
+    exclude_columns: list[str] = field(default_factory=list)
+    random_seed: int = 42
+    distance_metric: str = "gower"
+    use_gpu: bool = False
+    duplicate_adjustment: bool = True
+    model: str = "logistic_regression"
+    model_params: dict = field(default_factory=dict)
+    drop_constant_columns: bool = True
+    quasi_identifiers: list[str] = field(default_factory=list)
+    sensitive_attributes: list[str] = field(default_factory=list)
+    linkage_threshold: float = 0.7
+    missing_policy: str = "exclude"
+    evaluation_mode: str = "individual"
+    n_simulations: int = 100
+    quantile: float = 0.95
+    size_correction: bool = True
+    strict: bool = False
+    manual_threshold: float | None = None
+    reduction_method: str | None = None
+    remove_exact_matches: bool = False
+    inference_threshold: float | None = None
+    target_margin: float = 0.95
+    alpha: float = 0.05
+    plots: bool = True
+
+    @classmethod
+    def of(cls, values: dict) -> Options:
+        names = {f.name for f in fields(cls)}
+        return cls(**{k: v for k, v in values.items() if k in names and v is not None})
+
+
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """Row numbers in file order.  Files have no key, so this is the one place that counts rows by partition."""
+    schema = df.schema
+    numbered = df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    return df.sparkSession.createDataFrame(numbered, StructType([StructField("row_id", LongType(), False), *schema.fields]))
+
+
+def load_pair(spark: SparkSession, o: Options, with_format: bool = True) -> ValidatedPair:
+    return validate_pair(tables.read_table(spark, o.original), tables.read_table(spark, o.synthetic), o.categorical_columns, o.exclude_columns, with_format)
+
+
+def _numbered(pair: ValidatedPair) -> tuple[DataFrame, DataFrame]:
+    return with_row_ids(pair.original), with_row_ids(pair.synthetic)
+
+
+# --- thresholds --------------------------------------------------------------------
+
+
+def run_threshold(spark: SparkSession, metric: str, method: str, o: Options) -> dict:
+    """The threshold record of one metric, written to threshold/<metric>.json."""
+    began = time.time()
+    if o.strict and metric != "single_out_risk":
+        raise ValueError("--strict is for single_out_risk only")
+    if o.strict or o.manual_threshold is not None:
+        value = 0.0 if o.strict else o.manual_threshold
+        return _finish({"metric": metric, "threshold": value, "threshold_source": "user_defined", "method": "user_defined", "parameters": {"strict": o.strict}}, o, began)
+    thresholds.check_method(metric, method)
+    if not 0 < o.quantile < 1:
+        raise ValueError("the quantile lies between 0 and 1")
+    raw, _ = exclude_columns(tables.read_table(spark, o.original), o.exclude_columns)
+    forced = [c for c in o.categorical_columns if c not in o.exclude_columns]
+    schema = infer_schema(raw, forced)
+    table = with_row_ids(coerce(without_nan(raw), schema)).cache()
+    n = table.count()
+    record = {"metric": metric, "threshold_source": method, "method": method, "parameters": _parameters(metric, o) | {"method": method, "n_simulations": o.n_simulations, "quantile": o.quantile}, "input_info": {"n_original": n, "n_columns": len(schema.columns)}, "excluded_columns": o.exclude_columns}
+    if method == "simulation" and metric == "inference_risk" and n > LARGE_ROWS:
+        log.info("more than %d rows: the distribution method is much cheaper", LARGE_ROWS)
+    record |= _simulated(spark, metric, table, schema, n, o) if method == "simulation" else _distributed(metric, table, schema, n, o)
+    table.unpersist()
+    return _finish(record, o, began)
+
+
+def _parameters(metric: str, o: Options) -> dict:
+    return {
+        "single_out_risk": {"duplicate_adjustment": o.duplicate_adjustment, "size_correction": o.size_correction},
+        "inference_risk": {"distance_metric": o.distance_metric},
+        "pmse": {"model": o.model, "model_params": o.model_params},
+        "bivariate_similarity": {"drop_constant_columns": o.drop_constant_columns},
+    }.get(metric, {}) | {"random_seed": o.random_seed}
+
+
+def _simulated(spark: SparkSession, metric: str, table: DataFrame, schema: AnalysisSchema, n: int, o: Options) -> dict:
+    seeds = thresholds.derive_seeds(o.random_seed, o.n_simulations)
+    extra: dict = {}
+    if metric == "single_out_risk":
+        values = thresholds.simulate_single_out(table, schema.columns, n, seeds, o.duplicate_adjustment)
+    elif metric == "inference_risk":
+        f = prepare(table, schema, o.distance_metric)
+        values = thresholds.simulate_inference(f.of(table, "row_id"), f, n, seeds)
+        extra = {"neighbor_list_size": min(thresholds.NEIGHBOURS, n - 1)}
+    elif metric == "bivariate_similarity":
+        values, constant = thresholds.simulate_bivariate(table, schema, n, seeds)
+        extra = {"constant_columns_excluded": constant}
+    else:
+        values = spark.createDataFrame(thresholds.simulate_pmse(table, schema, n, seeds, o.model, o.model_params), "sim int, value double")
+    rows = sorted(values.collect(), key=lambda r: r["sim"])  # one row per simulation
+    if metric == "inference_risk" and rows:
+        extra |= {"n_exhaustive_fallbacks": rows[0]["n_fallbacks"], "n_ties_excluded_total": sum(r["n_ties"] for r in rows)}
+    if all(r["value"] is None for r in rows):
+        raise RuntimeError(f"{metric}: no simulation gave a value")
+    summary = thresholds.simulation_summary(spark.createDataFrame([(r["value"],) for r in rows], "value double"), o.quantile).first().asDict()
+    if summary["n_invalid"]:
+        log.warning("%s: %d simulations gave no value and are left out", metric, summary["n_invalid"])
+    raw = {"metric": metric, "seeds": seeds, "values": [r["value"] for r in rows]}
+    value, out = summary["quantile_value"], {}
+    if metric == "single_out_risk":
+        raw["p_star_values"] = [None if v is None else size_corrected(v) for v in raw["values"]]
+        out["single_out_risk"] = _size_corrected(value, o)
+        value = out["single_out_risk"]["p_star"] if o.size_correction else value
+    path = tables.stage_dir(o.output_dir, "threshold") / f"{metric}_simulations.json"
+    tables.save_json(raw, path)
+    return out | {"threshold": value, "simulation": {"n_simulations": o.n_simulations} | summary | {"simulations_file": path.name} | extra}
+
+
+def _size_corrected(p: float, o: Options) -> dict:
+    return {"p_hat": p, "p_star": size_corrected(p), "size_correction": o.size_correction, "size_correction_formula": "1 - (1 - p)^2"}
+
+
+def _distributed(metric: str, table: DataFrame, schema: AnalysisSchema, n: int, o: Options) -> dict:
+    if metric == "single_out_risk":
+        row = single_out.leave_one_out(table, schema.columns).first()
+        p, size, more = row["p_equation_2" if o.duplicate_adjustment else "p_equation_1"], n, {}
+    else:
+        if n < 3:
+            raise ValueError("inference_risk needs three rows at least")
+        f = prepare(table, schema, o.distance_metric)
+        row = inference.distribution_share(f.of(table, "row_id"), f).first()
+        if not row["n_evaluated"]:
+            raise ValueError("all records are ties")
+        p, size, more = row["p"], row["n_evaluated"], {"n_ties": row["n_ties"], "n_evaluated": row["n_evaluated"]}
+    found = normal_threshold(p, size, o.quantile)
+    if not found["normal_approximation_reliable"]:
+        log.warning("%s: npq = %.3g is under 10, the normal approximation may be poor", metric, found["npq"])
+    return {"threshold": found.pop("threshold"), "distribution": found | more}
+
+
+def _finish(record: dict, o: Options, began: float) -> dict:
+    record = record | {"options": asdict(o), "computed_at": tables.now(), "elapsed_seconds": time.time() - began}
+    tables.save_json(record, tables.stage_dir(o.output_dir, "threshold") / f"{record['metric']}.json")
+    return record
+
+
+def load_threshold(output_dir: str, metric: str, o: Options) -> dict | None:
+    path = Path(output_dir) / "threshold" / f"{metric}.json"
+    if not path.exists():
+        return None
+    record = tables.load_json(path)
+    if record["metric"] != metric:
+        raise ValueError(f"{path} is for {record['metric']}, not for {metric}")
+    if metric == "inference_risk" and record["threshold_source"] != "user_defined" and record["parameters"].get("distance_metric") != o.distance_metric:
+        raise ValueError(f"the threshold was made with {record['parameters'].get('distance_metric')} distances, the metric uses {o.distance_metric}")
+    return record
+
+
+# --- metrics -----------------------------------------------------------------------
+
+
+def inference_details(spark: SparkSession, pair: ValidatedPair, o: Options) -> tuple[DataFrame, str, bool]:
+    """(records, cache key, whether they came from the cache)."""
+    if o.use_gpu:
+        log.warning("--use_gpu is accepted and ignored: executors compute the distances")
+    key = tables.cache_key([o.original, o.synthetic], "inference_risk", {"distance": o.distance_metric, "categorical": sorted(o.categorical_columns), "exclude": sorted(o.exclude_columns)})
+    if found := tables.load_cache(spark, o.output_dir, key):
+        return found[0], key, True
+    a, b = _numbered(pair)
+    f = prepare(a, pair.schema, o.distance_metric)
+    if o.distance_metric == "cosine":
+        reject_missing(b, pair.schema)
+    records = inference.inference_records(f.of(a, "row_id"), f.of(b, "row_id"), f)
+    tables.save_cache(records, o.output_dir, key, {"metric": "inference_risk", "distance_metric": o.distance_metric, "source": [o.original, o.synthetic]})
+    return tables.load_cache(spark, o.output_dir, key)[0], key, False
+
+
+def compute_metric(spark: SparkSession, name: str, pair: ValidatedPair, o: Options) -> dict:
+    """The metric's result document, written to metrics/<name>.json."""
+    began, out = time.time(), {"metric": name, "excluded_columns": list(o.exclude_columns), "input_info": pair.report.get("input_info", {})}
+    parameters = _parameters(name, o)
+    if name == "univariate_similarity":
+        out |= univariate.univariate_similarity(pair.original, pair.synthetic, pair.schema, o.alpha)
+        if o.plots:
+            from .figures import write_figures
+
+            out["details"]["figures"] = write_figures(pair.original, pair.synthetic, pair.schema, tables.stage_dir(o.output_dir, "metrics") / "figures", out["details"]["variables"])
+    elif name == "bivariate_similarity":
+        value, pairs, constant = association.bivariate_similarity(pair.original, pair.synthetic, pair.schema, o.drop_constant_columns)
+        row = value.first().asDict()
+        out["excluded_columns"] = sorted({*o.exclude_columns, *constant})
+        out |= {"value": row["value"], "details": {"n_columns_used": row["n_columns_used"], "n_nan_pairs": row["n_nan_pairs"], "pairs": [r.asDict() for r in pairs.collect()]}}
+    elif name == "pmse":
+        row = propensity.pmse(propensity.propensity_scores(pair.original, pair.synthetic, pair.schema, o.model, o.model_params, o.random_seed)).first()
+        out |= {"value": row["value"], "details": {"accuracy": row["accuracy"], "synthetic_share": row["synthetic_share"]}}
+    elif name == "single_out_risk":
+        row = single_out.single_out_risk(pair.original, pair.synthetic, pair.schema.columns, o.duplicate_adjustment).first().asDict()
+        out |= {"value": row["value"], "details": {"formula": "equation_2" if o.duplicate_adjustment else "equation_1", "duplicate_adjustment": o.duplicate_adjustment} | {k: row[k] for k in ("n_matched_records", "matched_ratio", "n_original_duplicate_records")}}
+    elif name == "inference_risk":
+        records, key, hit = inference_details(spark, pair, o)
+        row = inference.inference_risk(records).first().asDict()
+        summaries = {f"{c}_summary": inference.distance_summary(records, c).first().asDict() for c in ("nearest_distance", "reference_distance")}
+        out |= {"value": row.pop("value"), "reference_value": 0.5, "cache_hit": hit, "cache_key": key, "details": row | {"tie_policy": "excluded"} | summaries}
+    elif name == "linkage_risk":
+        out |= _linkage(spark, o)
+    else:
+        raise ValueError(f"unknown metric {name!r}")
+    if name != "linkage_risk":
+        verdict = thresholds.judge(name, out["value"], load_threshold(o.output_dir, name, o), parameters) if name in thresholds.SUPPORTED else {"threshold": None, "passed": None}
+        out |= verdict
+    out |= {"parameters": parameters, "computed_at": tables.now(), "elapsed_seconds": time.time() - began}
+    tables.save_json(out, tables.stage_dir(o.output_dir, "metrics") / f"{name}.json")
+    log.info("%s: value=%s threshold=%s passed=%s", name, out.get("value"), out.get("threshold"), out.get("passed"))
+    return out
+
+
+def _linkage(spark: SparkSession, o: Options) -> dict:
+    if not o.quasi_identifiers or not o.sensitive_attributes:
+        raise ValueError("linkage_risk needs quasi-identifiers and sensitive attributes")
+    if not 0 <= o.linkage_threshold < 1:
+        raise ValueError("the linkage threshold lies between 0 and 1, 1 excluded")
+    cap = linkage.CapOptions(tuple(o.quasi_identifiers), tuple(o.sensitive_attributes), o.linkage_threshold, o.missing_policy, o.evaluation_mode)
+    read = lambda p: tables.read_table_as_strings(spark, p, tables.CAP_NA_TOKENS)
+    records = linkage.cap_records(with_row_ids(read(o.original)), read(o.synthetic), cap, "row_id").cache()
+    summary = linkage.cap_summary(records)
+    row = linkage.linkage_value(summary).first().asDict()
+    path = tables.stage_dir(o.output_dir, "metrics") / "linkage_risk_records.json"
+    records.orderBy("evaluation", "original_row").write.mode("overwrite").json(str(path))
+    out = {"value": row["value"], "value_definition": "largest mean cap of the evaluations", "threshold": o.linkage_threshold, "threshold_source": "user_defined", "pass_rule": "no record's cap exceeds the threshold"}
+    out |= {k: row[k] for k in ("passed", "exceed_count", "exceed_ratio", "n_evaluated_records")}
+    out["details"] = {"denominator_zero_policy": "cap 0, part of the mean", "evaluations": [r.asDict() for r in summary.orderBy("evaluation").collect()], "records_file": path.name}
+    records.unpersist()
+    return out
+
+
+def run_metrics(spark: SparkSession, names: list[str], o: Options) -> dict[str, dict]:
+    pair = load_pair(spark, o)
+    pair.original, pair.synthetic = pair.original.cache(), pair.synthetic.cache()
+    try:
+        return {name: compute_metric(spark, name, pair, o) for name in names}
+    finally:
+        pair.original.unpersist()
+        pair.synthetic.unpersist()
+
+
+# --- preprocessing -----------------------------------------------------------------
+
+
+def run_preprocess(spark: SparkSession, o: Options) -> dict:
+    """Validates, removes exact matches and excess rows on demand, and writes the processed synthetic file verbatim."""
+    pair = load_pair(spark, o)
+    base = tables.stage_dir(o.output_dir, "preprocess")
+    tables.save_json(pair.report, base / "validation.json")
+    a, s = (x.cache() for x in _numbered(pair))
+    n_o, n_s = a.count(), s.count()
+    kept, removed = s, 0
+    if o.remove_exact_matches:
+        kept = single_out.without_exact_matches(a, s, pair.schema.columns).cache()
+        removed = n_s - kept.count()
+    record = {"reduction_method": o.reduction_method, "random_seed": o.random_seed, "n_original": n_o, "n_synthetic_before": n_s, "exact_matches_removed": removed}
+    deleted = None
+    if o.reduction_method and n_s - removed > n_o:
+        options = {"model": o.model, "params": o.model_params, "distance_metric": o.distance_metric, "margin": o.target_margin}
+        if o.reduction_method == "inference_distance":
+            stored = load_threshold(o.output_dir, "inference_risk", o)
+            options["threshold"] = o.inference_threshold if o.inference_threshold is not None else stored and stored["threshold"]
+            record["threshold_origin"] = "option" if o.inference_threshold is not None else "threshold file"
+        deleted, details = reduction.reduce_rows(o.reduction_method, reduction.Context(a, kept, pair.schema, n_o, n_s - removed, o.random_seed, options))
+        record["strategy_details"] = details
+        kept = reduction.kept(kept, deleted)
+    elif o.reduction_method:
+        log.warning("the synthetic table is not larger than the original: nothing to reduce")
+    # What is deleted is reported by row number; these lists are as long as the deletions, written by executors.
+    gone = s.join(kept.select("row_id"), "row_id", "left_anti").select("row_id")
+    gone.orderBy("row_id").write.mode("overwrite").json(str(base / "deleted_row_indices.json"))
+    verbatim = with_row_ids(tables.read_table_as_strings(spark, o.synthetic)).join(kept.select("row_id"), "row_id", "left_semi")
+    path = base / "synthetic_processed.csv"
+    tables.write_csv(verbatim, str(path), "row_id")
+    n_after = kept.count()
+    record |= {"n_synthetic_after": n_after, "n_deleted_total": n_s - n_after, "deleted_row_indices": "deleted_row_indices.json", "processed_synthetic": str(path), "processed_synthetic_copy": _sibling_copy(path, o.synthetic)}
+    tables.save_json(record, base / "reduction.json")
+    return record
+
+
+def _sibling_copy(path: Path, synthetic: str) -> str | None:
+    target = Path(synthetic).with_name(f"{Path(synthetic).stem}_processed.csv")
+    if target.resolve() == path.resolve():
+        return None
+    try:
+        shutil.copyfile(path, target)
+        return str(target)
+    except OSError as e:
+        log.warning("no copy beside the input: %s", e)
+        return None
+
+
+# --- report ------------------------------------------------------------------------
+
+
+def select_metrics(o: Options, metrics: list[str] | None, skip: list[str] | None) -> list[str]:
+    names = [m for m in (metrics or thresholds.METRICS) if m not in (skip or [])]
+    if "linkage_risk" in names and not (o.quasi_identifiers and o.sensitive_attributes):
+        log.warning("linkage_risk is skipped: it needs quasi-identifiers and sensitive attributes")
+        names.remove("linkage_risk")
+    return names
+
+
+def run_report(spark: SparkSession, o: Options, method: str = "simulation", metrics: list[str] | None = None, skip: list[str] | None = None) -> dict:
+    """Thresholds on the original, then preprocessing, then the metrics on the processed file."""
+    began = time.time()
+    names = select_metrics(o, metrics, skip)
+    wanted = [m for m in names if m in thresholds.SUPPORTED]
+    if o.reduction_method == "inference_distance" and o.inference_threshold is None and "inference_risk" not in wanted:
+        wanted.append("inference_risk")
+    records = {}
+    for m in wanted:
+        own = method if method in thresholds.SUPPORTED[m] else "simulation"
+        records[m] = run_threshold(spark, m, own, Options(**(asdict(o) | {"strict": o.strict and m == "single_out_risk", "manual_threshold": None})))
+    preprocess = run_preprocess(spark, o)
+    results = run_metrics(spark, names, Options(**(asdict(o) | {"synthetic": preprocess["processed_synthetic"]})))
+    verdicts = [r["passed"] for r in results.values() if r.get("passed") is not None]
+    report = {"overall_passed": all(verdicts) if verdicts else None, "metrics": results, "thresholds": records, "preprocess": preprocess, "parameters": asdict(o), "computed_at": tables.now(), "elapsed_seconds": time.time() - began}
+    tables.save_json(report, Path(o.output_dir) / "report.json")
+    return report
+
+

@@ -1,0 +1,71 @@
+"""Figures of the univariate comparison as plain SVG files; their data come from two small jobs."""
+
+from __future__ import annotations
+
+import re
+from html import escape
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+
+from ..functions.schema import AnalysisSchema
+from ..operators.univariate import category_bars, ecdf_grid, test_text
+
+WIDTH, HEIGHT, PAD = 420, 280, 36
+
+
+def file_name(column: str) -> str:
+    return re.sub(r"[^\w\-]+", "_", column).strip("_") or "column"
+
+
+def short(label: str, n: int = 14) -> str:
+    return label if len(label) <= n else label[: n - 1] + "…"
+
+
+def _frame(title: str, inner: str) -> str:
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{WIDTH}" height="{HEIGHT}" font-family="sans-serif" font-size="11"><rect width="100%" height="100%" fill="white"/><text x="{PAD}" y="18">{escape(title)}</text>{inner}<line x1="{PAD}" y1="{HEIGHT - PAD}" x2="{WIDTH - PAD}" y2="{HEIGHT - PAD}" stroke="#333"/><line x1="{PAD}" y1="{PAD}" x2="{PAD}" y2="{HEIGHT - PAD}" stroke="#333"/></svg>'
+
+
+def _curve(rows: list, name: str, color: str) -> str:
+    lo, hi = rows[0]["x"], rows[-1]["x"]
+    span = (hi - lo) or 1.0
+    points = " ".join(f"{PAD + (r['x'] - lo) / span * (WIDTH - 2 * PAD):.1f},{HEIGHT - PAD - (r[name] or 0) * (HEIGHT - 2 * PAD):.1f}" for r in rows)
+    return f'<polyline points="{points}" fill="none" stroke="{color}" stroke-width="2"/>'
+
+
+def _bars(rows: list) -> str:
+    step = (WIDTH - 2 * PAD) / max(1, len(rows))
+    top = max([1e-9, *(max(r["percent_o"], r["percent_s"]) for r in rows)])
+    out = []
+    for k, r in enumerate(rows):
+        for j, (name, color) in enumerate((("percent_o", "#2a6f97"), ("percent_s", "#e07a5f"))):
+            h = r[name] / top * (HEIGHT - 2 * PAD)
+            out.append(f'<rect x="{PAD + k * step + j * step * 0.4:.1f}" y="{HEIGHT - PAD - h:.1f}" width="{step * 0.38:.1f}" height="{h:.1f}" fill="{color}"/>')
+        out.append(f'<text x="{PAD + k * step:.1f}" y="{HEIGHT - PAD + 13}">{escape(short(str(r["value"])))}</text>')
+    return "".join(out)
+
+
+def write_figures(original: DataFrame, synthetic: DataFrame, schema: AnalysisSchema, folder: Path, variables: dict, max_levels: int = 40) -> list[str]:
+    """One file per column; bars of a column with more levels than ``max_levels`` show the most frequent ones."""
+    folder.mkdir(parents=True, exist_ok=True)
+    by: dict[str, list] = {}
+    numeric = [c for c in schema.numeric if variables[c]["statistic"] is not None]
+    if numeric:
+        for r in ecdf_grid(original, synthetic, numeric).orderBy("column", "point").collect():  # 50 rows a column
+            by.setdefault(r["column"], []).append(r)
+    if schema.categorical:
+        from pyspark.sql import Window
+        from pyspark.sql import functions as F
+
+        bars = category_bars(original, synthetic, schema.categorical)
+        rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc(F.col("percent_o") + F.col("percent_s")), "value"))
+        for r in bars.withColumn("__r", rank).where(F.col("__r") <= max_levels).orderBy("column", "value").collect():
+            by.setdefault(r["column"], []).append(r)
+    out = []
+    for c, rows in by.items():
+        inner = _curve(rows, "ecdf_o", "#2a6f97") + _curve(rows, "ecdf_s", "#e07a5f") if c in schema.numeric else _bars(rows)
+        path = folder / f"{file_name(c)}.svg"
+        path.write_text(_frame(f"{short(c, 30)}  {test_text(variables[c])}", inner), encoding="utf-8")
+        variables[c]["figure"] = path.name
+        out.append(path.name)
+    return sorted(out)

@@ -1,0 +1 @@
+"""The evaluation reads bounded tables only; there is no streaming operator to build."""
