@@ -51,6 +51,8 @@ def k_nearest(queries: DataFrame, targets: DataFrame, f: Features, k: int = 1, n
     other = _distinct(targets, f, spare)
     nq, nt = (_blocks(x.count()) for x in (own, other))
     h = F.xxhash64(*f.names)
+    # Co-grouping names columns by their frame: fresh ones keep a table apart from itself.
+    own, other = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (own, other))
     left = own.withColumn("qb", F.pmod(h, F.lit(nq)).cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
     right = other.withColumn("tb", F.pmod(h, F.lit(nt)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
@@ -87,11 +89,12 @@ def k_nearest(queries: DataFrame, targets: DataFrame, f: Features, k: int = 1, n
 
     found = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(best, "query long, dkey long, neighbour long")
     # Back to every query row of an equal record.
+    every = queries.select("row_id", *(F.col(c).alias(f"__q_{c}") for c in f.names))
+    known = own.select("query", *(F.col(c).alias(f"__k_{c}") for c in f.names))
     same = F.lit(True)
-    named = own.select("query", *(F.col(c).alias(f"__{c}") for c in f.names))
     for c in f.names:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    members = queries.join(named, same).select("row_id", "query")
+        same = same & F.col(f"__q_{c}").eqNullSafe(F.col(f"__k_{c}"))
+    members = every.join(known, same).select("row_id", "query")
     if k == 1 and not not_itself:
         one = found.groupBy("query").agg(F.min(F.struct("dkey", "neighbour")).alias("b")).select("query", F.lit(0).alias("pos"), F.col("b.neighbour").alias("neighbour"), F.col("b.dkey").alias("dkey"))
         return members.join(one, "query").select("row_id", "pos", "neighbour", "dkey")

@@ -15,7 +15,7 @@ from ..functions.distance import Features, pair_key, prepare
 from ..functions.schema import contiguous_ids
 from ..functions.stats import normal_threshold
 from ..operators import association, inference, linkage, neighbours, propensity, reduction, single_out, thresholds, univariate, validation
-from .pairs import CAP, CONSTANT, CUSTOMER, EVENTS, LINEITEM, ORDERS, PART, PART_OVERSIZED, PART_SHIFTED, SUPPLIER, PairPlan
+from .pairs import CAP, CONSTANT, CUSTOMER, EVENTS, LINEITEM, ORDERS, ORDERS_FINE, PART, PART_OVERSIZED, PART_SHIFTED, SUPPLIER, PairPlan
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -181,18 +181,18 @@ def validation_missing_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _levels_sql(a: str, b: str) -> str:
-    return f"""WITH {ORDERS.sql()}, l AS (SELECT DISTINCT price_bucket AS v FROM {a} WHERE price_bucket IS NOT NULL EXCEPT SELECT price_bucket FROM {b})
+    return f"""WITH {ORDERS_FINE.sql()}, l AS (SELECT DISTINCT price_bucket AS v FROM {a} WHERE price_bucket IS NOT NULL EXCEPT SELECT price_bucket FROM {b})
 SELECT 'price_bucket' AS "column", count(*) AS n_levels, array_to_string(list_slice(list(v ORDER BY v), 1, 10), ',') AS first_levels FROM l HAVING count(*) > 0"""
 
 
 @query("validation_unseen", _levels_sql("s", "o"))
 def validation_unseen(spark: SparkSession, d: str) -> DataFrame:
-    return validation.unseen_levels(*ORDERS.load(spark, d), ["price_bucket"])
+    return validation.unseen_levels(*ORDERS_FINE.load(spark, d), ["price_bucket"])
 
 
 @query("validation_unused", _levels_sql("o", "s"))
 def validation_unused(spark: SparkSession, d: str) -> DataFrame:
-    return validation.unused_levels(*ORDERS.load(spark, d), ["price_bucket"])
+    return validation.unused_levels(*ORDERS_FINE.load(spark, d), ["price_bucket"])
 
 
 @query("validation_out_of_range", f"WITH {PART_SHIFTED.sql()}, b AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", (SELECT min({c}) FROM o) AS low, (SELECT max({c}) FROM o) AS high, (SELECT count(*) FROM s WHERE {c} < (SELECT min({c}) FROM o) OR {c} > (SELECT max({c}) FROM o)) AS n_outside" for c in PART.numeric) + ") SELECT * FROM b WHERE n_outside > 0")

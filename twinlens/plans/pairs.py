@@ -45,6 +45,7 @@ def _halves(table: str, key: str, columns: dict[str, str], categorical: tuple[st
 
 
 ORDERS = _halves("orders", "o_orderkey", {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "price_bucket": "CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING)"}, ("o_orderstatus", "o_orderpriority", "price_bucket"), ())
+ORDERS_FINE = _halves("orders", "o_orderkey", {"price_bucket": "CAST(CAST(floor(o_totalprice / 100) AS BIGINT) AS STRING)"}, ("price_bucket",), ())
 CAP = _halves("orders", "o_orderkey", {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "order_year": "CAST(year(o_orderdate) AS STRING)", "price_band": "CAST(CAST(floor(o_totalprice / 50000) AS BIGINT) AS STRING)"}, ("o_orderstatus", "o_orderpriority", "order_year", "price_band"), ())
 CUSTOMER = _halves("customer", "c_custkey", {"nation": "CAST(c_nationkey AS STRING)", "segment": "c_mktsegment", "balance": "c_acctbal"}, ("nation", "segment"), ("balance",))
 SUPPLIER = _halves("supplier", "s_suppkey", {"nation": "CAST(s_nationkey AS STRING)", "balance": "s_acctbal"}, ("nation",), ("balance",))
