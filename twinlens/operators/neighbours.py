@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import Features, block_keys
+from ..sources.workers import ship_package
 
 BLOCK = 4096
 
@@ -46,6 +47,7 @@ def k_nearest(queries: DataFrame, targets: DataFrame, f: Features, k: int = 1, n
 
     ``not_itself``: both frames are the same table, and a row is no neighbour of itself.
     """
+    ship_package(queries.sparkSession)
     spare = k + int(not_itself)
     own = queries.groupBy(*f.names).agg(F.min("row_id").alias("query"))
     other = _distinct(targets, f, spare)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.distance import Features
 from ..functions.schema import AnalysisSchema, q
 from ..functions.stats import normal_threshold
+from ..sources.workers import ship_package
 from .association import associations, constant_columns, difference_value
 from .neighbours import k_nearest
 from .propensity import pmse, propensity_scores
@@ -53,6 +54,7 @@ def split_in_a(n: int, seed: int) -> np.ndarray:
 def splits(original: DataFrame, n: int, seeds: Sequence[int]) -> DataFrame:
     """sim, row_id, in_a for row ids 0 to n-1; one task per simulation makes its permutation."""
     spark = original.sparkSession
+    ship_package(spark)
     table = spark.createDataFrame([(k, s) for k, s in enumerate(seeds)], "sim int, seed long").repartition(len(seeds), "sim")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
