@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from twinlens.llm import bpe, exact_dedup, jaccard_join, mixing, queries, toxicity
-from twinlens.llm._store import Scratch, ship_package
+from twinlens.llm._store import Scratch
+from twinlens.sources.workers import ship_package
 
 #: Four fifths of the tokens that are left, sources by equal weights within their language and domain.
 MIXTURE = mixing.Plan(share=0.8, max_epochs=2)
