@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
@@ -74,8 +74,9 @@ def with_base(docs: DataFrame) -> DataFrame:
 def language_groups(docs: DataFrame) -> DataFrame:
     """lang_key, total: the languages with a reference of their own."""
     totals = docs.groupBy(F.coalesce("lang", F.lit("\0")).alias("lang_key")).agg(F.sum(F.size(words(F.col("text")))).alias("total"))
-    whole = totals.agg(F.sum("total").alias("whole"))
-    return totals.crossJoin(F.broadcast(whole)).where(F.col("total") * LEAST_LANGUAGE >= F.col("whole")).select("lang_key", "total")
+    # One row per language; those with a share of 1/1000 are 1000 at most.
+    whole = totals.withColumn("whole", F.sum("total").over(Window.partitionBy()))
+    return whole.where(F.col("total") * LEAST_LANGUAGE >= F.col("whole")).select("lang_key", "total")
 
 
 def with_language(docs: DataFrame, groups: DataFrame) -> DataFrame:
