@@ -23,6 +23,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Size and 128 bits of hash of a set of edges: a set that a round leaves as it is has converged."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64(F.lit(1), "b", "a"))).first())
+
+
 def components(edges: DataFrame, store: Scratch, name: str = "components") -> DataFrame:
     """vertex, component (its least vertex) of every vertex of an edge (a, b).
 
@@ -31,12 +36,13 @@ def components(edges: DataFrame, store: Scratch, name: str = "components") -> Da
     round is written and reread; rounds grow with the logarithm of the longest chain.
     """
     edges = store.put(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    before = _fingerprint(edges)
     while True:
         after = store.put(_small_star(_large_star(edges)), name)
-        same = edges.exceptAll(after).isEmpty() and after.exceptAll(edges).isEmpty()
         store.drop(edges)
-        edges = after
-        if same:
+        edges, now = after, _fingerprint(after)
+        if now == before:
             break
+        before = now
     found = edges.select(F.col("b").alias("vertex"), F.col("a").alias("component"))
     return found.unionByName(edges.select(F.col("a").alias("vertex"), F.col("a").alias("component")).distinct())
