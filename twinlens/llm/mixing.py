@@ -48,7 +48,7 @@ class Plan:
     share: float = 0.5
     max_epochs: int = 4
     seed: int = 42
-    max_leaves: int = 1_000_000
+    max_leaves: int = 100_000
 
 
 #: Four groups of sources stand for domains where the table names none.
