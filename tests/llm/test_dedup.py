@@ -195,6 +195,25 @@ def test_bitmaps_bound_the_overlap():
         assert len(a) - int(np.bitwise_count(x & ~y).sum()) >= len(np.intersect1d(a, b))
 
 
+def test_tile_candidates_agree():
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        base = np.unique(r.integers(0, 1 << 62, 300).astype(np.uint64))
+        sets = [np.unique(np.concatenate([r.choice(base, r.integers(3, len(base)), replace=False), r.integers(0, 1 << 62, r.integers(1, 30)).astype(np.uint64)])) for _ in range(10)]
+        sets += [np.unique(np.concatenate([base, r.integers(0, 1 << 62, k).astype(np.uint64)])) for k in (1, 20, 60)]
+        n = np.array([len(s) for s in sets])
+        sig = [jaccard_join.bitmap(s, jaccard_join.bitmap_bits(len(s))).tobytes() for s in sets]
+        label = r.integers(0, 6, len(sets))
+        many = {tuple(sorted((int(i), int(j)))) for i, js, _ in jaccard_join.may_link(sig, n, label, 80) for j in js}
+        assert {(i, j) for i, j, _ in jaccard_join.few_pairs(sig, n, label, 80)} == many
+        for i, j in many:
+            assert label[i] != label[j]
+        linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if label[i] != label[j] and 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j]))}
+        assert linked <= many
+        near = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in jaccard_join.nearest_apart(sig, n, label, 80)))}
+        assert near <= many and bool(near) == bool(many)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(50)]

@@ -12,12 +12,13 @@ passes on the pairs that may link; these are verified by intersecting sorted arr
 one only makes smaller tiles.
 
 *Copies and hot groups.*  Equal sets become one class, shown by its least doc_id.  A
-class group is connected in two rounds: first the members of each key are verified
-against the key's least class alone, and connected components are formed; then only
-classes of different components meet in tiles, so a group of thousands of near copies
-is not expanded into its pairs.  Large tiles are cut into sub-tiles of ``TILE`` rows
-which meet two by two in tasks of their own.  No pair of different components that
-may link is left out.
+class group is connected in rounds: first the members of each key are verified against the
+key's least class alone, and connected components are formed; then only classes of
+different components meet in tiles, where in two rounds each component of a tile names
+its most similar neighbour, and in the last round every pair that may link is verified.
+So a group of thousands of near copies is not expanded into its pairs, and no pair of
+different components that may link is left out.  Large tiles are cut into sub-tiles of
+``TILE`` rows which meet two by two in tasks of their own.
 
 Defined results: a null text, or one without words, has an empty set and links with
 nothing; a text of fewer than five words is one shingle of all its words; doc_id is
@@ -40,7 +41,7 @@ from ._text import mix, prefix, span, words
 
 NGRAM = 5
 SKETCH = 1 << 20
-BLOCKS, TILE = 64, 1024
+BLOCKS, TILE, FEW_ROWS = 64, 1024, 12
 BLOOM_BITS = 1 << 23
 U64 = np.uint64
 
@@ -175,8 +176,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
         yield rest, cut(rest)
 
 
-def may_link(sig: list[bytes], n: np.ndarray, apart: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j), i < j, of rows of a tile whose sizes and bitmaps allow a link; ``apart`` are labels, rows that share one are no pair."""
+def may_link(sig: list[bytes], n: np.ndarray, apart: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others, bounds): rows of a tile whose sizes and bitmaps allow a link with row i, and the bounds of their overlaps.
+
+    ``apart`` are labels; rows that share one are no pair.  A pair comes once.
+    """
     widths = np.array([bitmap_bits(x) for x in n])
     for bits in np.unique(widths):
         # A pair is judged at the width of its smaller set, against sets of that width or a wider one.
@@ -195,9 +199,68 @@ def may_link(sig: list[bytes], n: np.ndarray, apart: np.ndarray, percent: int) -
                 only_k = np.bitwise_count(rows[k] & ~rest).sum(1, dtype=np.int64)
                 only_other = np.bitwise_count(rest & ~rows[k]).sum(1, dtype=np.int64)
                 bound = np.minimum(size[k] - only_k, size[hit] - only_other)
-                hit = hit[bound >= _least_overlap(size[k], size[hit], percent)]
-                if len(hit):
-                    yield np.full(len(hit), at[k]), at[hit]
+                good = bound >= _least_overlap(size[k], size[hit], percent)
+                if good.any():
+                    yield at[k], at[hit[good]], bound[good]
+
+
+def nearest_apart(sig: list[bytes], n: np.ndarray, apart: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of ``may_link``, the most similar one of each label: at most one pair per label."""
+    _, code = np.unique(apart, return_inverse=True)
+    score, pair = np.full(code.max() + 1, -1.0), np.zeros((code.max() + 1, 2), np.int64)
+    for i, others, bound in may_link(sig, n, apart, percent):
+        similar = bound / (n[i] + n[others] - bound)
+        order = np.argsort(similar, kind="stable")  # the last one written to a label is its best
+        for label in (np.full(len(order), code[i]), code[others[order]]):
+            better = similar[order] > score[label]
+            at = label[better]
+            score[at] = similar[order][better]
+            pair[at] = np.stack([np.full(len(at), i), others[order][better]], 1)
+    pair = pair[score >= 0]
+    return pair[:, 0], pair[:, 1]
+
+
+def few_pairs(sig: list[bytes], n: np.ndarray, apart: np.ndarray, percent: int) -> list[tuple[int, int, float]]:
+    """The pairs of ``may_link`` with their greatest possible similarity, for a tile of few rows: whole numbers are quicker there than arrays."""
+    bits = [int.from_bytes(x, "little") for x in sig]
+    size, label, out = n.tolist(), apart.tolist(), []
+    for i in range(len(size) - 1):
+        for j in range(i + 1, len(size)):
+            small, large = sorted((size[i], size[j]))
+            if label[i] == label[j] or 100 * small < percent * large:
+                continue
+            x, y, width = bits[i], bits[j], bitmap_bits(small)
+            for k, v in ((i, x), (j, y)):
+                wide = len(sig[k]) * 8
+                while wide > width:
+                    wide //= 2
+                    v = v >> wide | v & (1 << wide) - 1
+                if k == i:
+                    x = v
+                else:
+                    y = v
+            bound = min(size[i] - (x & ~y).bit_count(), size[j] - (y & ~x).bit_count())
+            if bound * (100 + percent) >= percent * (small + large):
+                out.append((i, j, bound / (small + large - bound)))
+    return out
+
+
+def tile_candidates(sig: list[bytes], n: np.ndarray, apart: np.ndarray, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile that may link: all of them, or the most similar one of each label."""
+    if len(n) > FEW_ROWS:
+        if not every:
+            return nearest_apart(sig, n, apart, percent)
+        found = [(np.full(len(j), i), j) for i, j, _ in may_link(sig, n, apart, percent)]
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+    pairs = few_pairs(sig, n, apart, percent)
+    if not every:
+        best: dict[int, tuple[int, int, float]] = {}
+        for p in pairs:
+            for k in p[:2]:
+                if apart[k] not in best or p[2] > best[apart[k]][2]:
+                    best[apart[k]] = p
+        pairs = list(best.values())
+    return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
 
 
 def _bloom(ids: DataFrame) -> Broadcast:
@@ -233,39 +296,51 @@ def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             a, b = _bloom_places(batch.column(0))
             yield batch.filter(pa.array(bits[a] & bits[b]))
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, text string").join(ids, "doc_id", "left_semi")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, store: Scratch, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection of their sorted arrays."""
-    pairs = store.put(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], ["doc_id", "s"])
-
-    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = (np.frombuffer(v.as_py(), U64) for v in (x, y))
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
-                keep.append(bool(both) and 100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    sets = store.put(map_arrow(rows_of(docs, ids), arrays, "doc_id long, s binary"), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    out = store.put(map_arrow(both, intersect, "a long, b long"), "links")
-    store.drop(sets)
-    return out
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, text string").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+
+
+class Verifier:
+    """Exact intersection of the sorted arrays of pairs; a document's array is made once."""
+
+    def __init__(self, docs: DataFrame, store: Scratch, percent: int):
+        self.docs, self.store, self.percent, self.sets = docs, store, percent, None
+
+    def _arrays(self, ids: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], ["doc_id", "s"])
+
+        return self.store.put(map_arrow(rows_of(self.docs, ids), run, "doc_id long, s binary"), "sets")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets link; ``pairs`` is a written table."""
+        percent = self.percent
+
+        def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(2), batch.column(3)):
+                    s, t = (np.frombuffer(v.as_py(), U64) for v in (x, y))
+                    if len(s) > len(t):
+                        s, t = t, s
+                    at = np.searchsorted(t, s)
+                    both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
+                    keep.append(bool(both) and 100 * both >= percent * (len(s) + len(t) - both))
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
+        ids = self.store.put(ids, "ids")
+        if self.sets is None or not ids.isEmpty():
+            new = self._arrays(ids)
+            self.sets = new if self.sets is None else self.sets.unionByName(new)
+        left = self.sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
+        right = self.sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+        return self.store.put(map_arrow(both, intersect, "a long, b long"), "links")
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -288,8 +363,12 @@ def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return map_arrow(sized.select("a", "b", "na", "nb", "ga", "gb"), run, "a long, b long")
 
 
-def tile_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a key, from tiles of neighbouring size bands."""
+def tile_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs of classes of different components that share a key, from tiles of neighbouring size bands.
+
+    h, a, b.  ``every``: all that may link; else a tile's most similar pair for each
+    component in it, so a key without a pair has none that may link, now or later.
+    """
     comp = shared.join(labels, shared["doc_id"] == labels["vertex"], "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     mixed = comp.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("g")).where("low < high")
     rows = comp.join(mixed.select("h", "g"), "h").join(reps.select("doc_id", "n", "signature"), "doc_id")
@@ -308,17 +387,20 @@ def tile_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, percent: i
             ends = [*first[1:], len(table)]
             ids, comps, sizes = (table.column(c).to_numpy() for c in ("doc_id", "comp", "n"))
             sigs = table.column("signature").to_pylist()
-            a, b = [], []
+            key = table.column("h").to_numpy()
+            h, a, b = [], [], []
             for x, y in zip(first, ends):
                 if y - x > 1 and (comps[x:y] != comps[x]).any():
-                    for i, j in may_link(sigs[x:y], sizes[x:y], comps[x:y], percent):
+                    i, j = tile_candidates(sigs[x:y], sizes[x:y], comps[x:y], percent, every)
+                    if len(i):
+                        h.append(np.full(len(i), key[x]))
                         a.append(np.minimum(ids[x + i], ids[x + j]))
                         b.append(np.maximum(ids[x + i], ids[x + j]))
             if a:
-                pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+                rows = np.unique(np.stack([np.concatenate(h), np.concatenate(a), np.concatenate(b)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in range(3)], ["h", "a", "b"])
 
-    return map_arrow(dealt, run, "a long, b long")
+    return map_arrow(dealt, run, "h long, a long, b long")
 
 
 def link_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -341,12 +423,21 @@ def link_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
     shared = store.put(key.join(counted.select("h", "pivot"), "h"), "shared")
     small = store.put(made.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "signature"), "met")
     stars = shared.where("pivot <> doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = verified(bounded(stars, small, percent), docs, store, percent)
-    labels = store.put(components(first, store), "labels")
-    more = tile_pairs(shared, labels, small, percent).distinct()
-    second = verified(more, docs, store, percent)
-    links = first.unionByName(second).distinct()
-    return members, links, store.put(components(links, store), "labels")
+    verify = Verifier(docs, store, percent)
+    links = verify.links(store.put(bounded(stars, small, percent), "stars"))
+    labels = store.put(components(links, store), "labels")
+    for every in (False, False, True):
+        met = store.put(tile_pairs(shared, labels, small, percent, every), "met-pairs")
+        pairs = store.put(met.select("a", "b").distinct(), "pairs")
+        if pairs.isEmpty():
+            break  # no two components have a pair left that may link
+        if not every:
+            shared = store.put(shared.join(met.select("h").distinct(), "h", "left_semi"), "shared")
+        found = verify.links(pairs)
+        links = links.unionByName(found)
+        known = labels.select(F.col("component").alias("a"), F.col("vertex").alias("b"))
+        labels = store.put(components(known.unionByName(found), store), "labels")
+    return members, links, labels
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -359,4 +450,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def keep_representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their group: the smallest doc_id of each component."""
     gone = near_duplicates(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
