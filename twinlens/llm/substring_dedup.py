@@ -167,11 +167,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = snippets(docs)
     own = found.groupBy("h", "s").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"), F.min("len").alias("len"))
-    own = store.put(own, "snippets")
-    groups = store.put(own.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "groups")
+    groups = own.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    # Snippets that stand alone, most of all, end here.
+    own = store.put(own.join(groups, "h", "left").where("n > 1 or kinds is not null"), "snippets")
     copied = own.where("n > 1").select("s", "first")
     whole = found.join(copied, "s").where("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start", "len")
-    wanted = store.put(own.join(groups, "h").select("h", "first.doc_id", "first.start", "len", (F.col("kinds") > HOT_SNIPPETS).alias("hot")), "wanted")
+    wanted = store.put(own.where("kinds is not null").select("h", "first.doc_id", "first.start", "len", (F.col("kinds") > HOT_SNIPPETS).alias("hot")), "wanted")
     n_words = wanted.agg(F.sum(F.col("len") + WINDOW)).first()[0] or 0
     between = store.put(repeats_between(_with_words(docs, wanted), n_words), "between")
     return whole.unionByName(between).select("doc_id", "start", (F.col("len") + (WINDOW - 1)).alias("len"))
