@@ -80,15 +80,16 @@ def duplicate_groups(docs: DataFrame, salts: range = range(8)) -> DataFrame:
     groups = sized.groupBy("recipe").agg(
         F.max_by("first", F.struct(F.col("n_chars"), -F.col("first"))).alias("keep_id"), F.sum("n").alias("group_size")
     )
-    return made.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # Written first, so that the join stands alone on its exchanges and a hot recipe can be split.
+    return made.join(store.put(groups, "groups"), "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text stays, with all their columns.
 
     Rows that share a doc_id with the row that stays are one row each; only rows
-    of dropped texts go.  Ids that go are few next to the texts, so they are what
+    of dropped texts go; a row without a doc_id stays.  Ids that go are few next to the texts, so they are what
     is spread: the text side is hashed once on doc_id.
     """
-    gone = duplicate_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    gone = duplicate_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
