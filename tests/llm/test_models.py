@@ -21,6 +21,23 @@ def test_kneser_ney_sums_to_one():
     assert e[0] > 0 > e[1] and e[2] > 0
 
 
+def test_classes_back_off_to_all_orders_of_the_corpus():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs = [a + b for a in letters for b in letters]
+
+    def model(corpus):
+        counts = np.zeros((3, toxicity.CELLS))
+        for kind, words in ((0, corpus), (1, ["hello", "help"]), (2, ["bad", "badly"])):
+            for at in toxicity.cells(toxicity.grams(words)[0]):
+                np.add.at(counts[kind], at, 1)
+        return toxicity.KneserNey(counts)
+
+    # Every pair of letters occurs in both corpora: only their longer n-grams differ.
+    before, after = model(pairs), model([*pairs, *["badge"] * 1000])
+    assert 0 < after.evidence(["badge"])[0] < before.evidence(["badge"])[0] - 0.5
+    assert after.evidence(["help"])[0] < 0 < after.evidence(["bad"])[0]
+
+
 def test_grams_stay_within_words():
     window, lengths = toxicity.grams(["ab", "c"])
     assert list(lengths) == [3, 2]

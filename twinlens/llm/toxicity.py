@@ -11,9 +11,11 @@ order 4 are counted exactly in dense tables (32**4 cells), order 5 in
 Class counts come from the labelled rows; the shared backoff counts, which smooth
 what a class has hardly seen, come from every document of the corpus.
 
-*Kneser-Ney.*  p_y(c|h) = (max(n_y(hc) - D, 0) + D N_y(h.) p_y(c|h')) / n_y(h); lower
-orders use continuation counts (how many different letters precede), and the lowest
-class order backs off to the shared continuation model of the whole corpus.
+*Kneser-Ney.*  p_y(c|h) = (max(n_y(hc) - D, 0) + D N_y(h.) b_y(c|h)) / n_y(h); lower
+orders use continuation counts (how many different letters precede).  At every order
+the backoff b_y mixes two models: the class's next lower order, p_y(c|h'), by ``OWN``,
+and the same order of the whole corpus, p(c|h), by the rest; the lowest class order
+backs off to the corpus alone.
 
 *Labels* are a bounded sample: at most ``max_labelled`` rows of lowest hash, spread
 as two arrays of 12 bytes a row.  Rows of ``calibration`` (one in four of them) are
@@ -43,6 +45,8 @@ from ._text import mix
 ORDER, SYMBOLS = 5, 32
 HASHED_CONTEXTS = 1 << 15
 DISCOUNT = 0.75
+#: Share of a class's own lower order in what its n-grams back off to; the corpus has the rest.
+OWN = 0.5
 BLOCKS = 64
 #: Cells of the count tables of orders 1 to 5, one after the other.
 SIZES = [SYMBOLS**k for k in range(1, ORDER)] + [HASHED_CONTEXTS * SYMBOLS]
@@ -189,7 +193,7 @@ def _continuations(counts: np.ndarray, k: int) -> np.ndarray:
     return (_table(counts, k + 1).reshape(SYMBOLS, -1) > 0).sum(0).reshape(-1, SYMBOLS).astype(float)
 
 
-def _interpolate(n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _interpolate(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Discounted shares of each n-gram, and each context's weight of the lower order."""
     total = n.sum(1, keepdims=True)
     kinds = (n > 0).sum(1, keepdims=True)
@@ -197,21 +201,30 @@ def _interpolate(n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.maximum(n - DISCOUNT, 0) / safe, np.where(total > 0, DISCOUNT * kinds / safe, 1.0)
 
 
+def _raised(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The model ``p`` of a lower order, one row for each context of the table ``n``."""
+    return np.tile(p, (len(n) // len(p), 1))
+
+
 class KneserNey:
-    """The two class models over one shared lowest order."""
+    """The two class models, each order of which backs off to the same order of the corpus model too."""
 
     def __init__(self, counts: np.ndarray):
-        base = np.full((1, SYMBOLS), 1 / SYMBOLS)
-        own, weight = _interpolate(_continuations(counts[0], 1), base)
-        shared = own + weight * base
+        table = lambda y, k: _table(counts[y], k) if k >= ORDER - 1 else _continuations(counts[y], k)
+        corpus, p = [], np.full((1, SYMBOLS), 1 / SYMBOLS)
+        for k in range(1, ORDER):
+            n = table(0, k)
+            own, weight = _interpolate(n)
+            p = own + weight * _raised(p, n)
+            corpus.append(p)
         self.exact, self.top, self.weight = [], [], []
-        for y in (1, 2):
-            p = shared
-            for k in range(1, ORDER):
-                n = _table(counts[y], k) if k == ORDER - 1 else _continuations(counts[y], k)
-                own, weight = _interpolate(n, p)
-                p = own + weight * np.tile(p, (len(n) // len(p), 1))
-            own, weight = _interpolate(_table(counts[y], ORDER), p)
+        for y in (1, 2, 0):
+            p = corpus[0] if y else corpus[-1]
+            for k in range(1, ORDER) if y else ():
+                n = table(y, k)
+                own, weight = _interpolate(n)
+                p = own + weight * (OWN * _raised(p, n) + (1 - OWN) * corpus[k - 1])
+            own, weight = _interpolate(table(y, ORDER))
             self.exact.append(p.ravel().astype(np.float32))
             self.top.append(own.ravel().astype(np.float32))
             self.weight.append(weight.ravel().astype(np.float32))
@@ -221,7 +234,9 @@ class KneserNey:
         window, lengths = grams(words)
         low = window % SYMBOLS ** (ORDER - 1)
         cell = list(cells(window))[-1] - OFFSETS[ORDER - 1]
-        p = [self.top[y][cell] + self.weight[y][cell // SYMBOLS] * self.exact[y][low] for y in (0, 1)]
+        above = lambda y, lower: self.top[y][cell] + self.weight[y][cell // SYMBOLS] * lower
+        corpus = above(2, self.exact[2][low])
+        p = [above(y, OWN * self.exact[y][low] + (1 - OWN) * corpus) for y in (0, 1)]
         ratio = np.log(np.maximum(p[1], 1e-12)) - np.log(np.maximum(p[0], 1e-12))
         return np.add.reduceat(ratio, np.concatenate([[0], np.cumsum(lengths)])[:-1])
 
