@@ -48,6 +48,18 @@ def test_divergence_rejects_junk_only(spark):
     assert quality_rules.judge(docs.limit(0)).collect() == []
 
 
+def test_small_languages_have_references_of_their_own(spark):
+    r = random.Random(6)
+    latin, cyrillic = "et in non ad cum sed per pro".split(), "и в не на что с по как".split()
+    text = lambda common, parts, n: " ".join(r.choice(common) if r.random() < 0.5 else "".join(r.choices(parts, k=3)) for _ in range(n))
+    small = [(k, text(latin, ["us", "um", "ae"], 100), "la") for k in range(2)] + [(2 + k, text(cyrillic, ["ть", "ов", "ен"], 100), "ru") for k in range(2)]
+    large = [(10 + k, text(["the", "of", "and", "to"], ["an", "er", "th", "ou"], 11000), "en") for k in range(20)]
+    judged = lambda rows: {x.doc_id: x for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    alone, beside = judged(small), judged(small + large)
+    assert all(beside[k].kept for k in range(4))
+    assert all(beside[k] == alone[k] for k in range(4))
+
+
 def test_js_distance(spark):
     from pyspark.sql import functions as F
 

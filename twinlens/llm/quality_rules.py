@@ -4,14 +4,15 @@ Each document's character-class histogram and common-word histogram are compared
 with those of its language by the Jensen-Shannon distance (base 2, 0 to 1).  The
 language references are sums over all documents: a language's common words are the
 ``TOP_WORDS`` most frequent of its short words, and both histograms are word or
-character totals.  Languages with under 1/1000 of all words share one reference,
-so the reference table has at most 1001 rows and can be spread to every task.
+character totals.  Every language has a reference of its own, however small it is.  The
+references are written, one row per language, before documents are joined with them, so
+that Spark knows their size: few are spread to every task, many are joined by shuffling.
 
 Short documents have noisy histograms: the distances count only from
 ``min_words`` words on, and the limit is widened by ``slack / sqrt(n_words)``.
 
 Defined results: a null text has no words; rows with a null language form a
-language of their own; white space other than ``[\\x20\\x09-\\x0D]`` belongs to words;
+language of their own; the only document of a language is its own reference and not far from it; white space other than ``[\\x20\\x09-\\x0D]`` belongs to words;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch
@@ -28,7 +29,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
 #: The character classes of a histogram, and the class of text they are counted in.
 CLASSES = {"lower": "[^a-z]+", "upper": "[^A-Z]+", "digit": "[^0-9]+", "symbol": "[^#*$%&|<>]+", "beyond_ascii": r"[\x00-\x7F]+"}
-TOP_WORDS, COMMON_LENGTH, LEAST_SHARE, LEAST_LANGUAGE = 24, 8, 500, 1000
+TOP_WORDS, COMMON_LENGTH, LEAST_SHARE = 24, 8, 500
 
 
 @dataclass(frozen=True)
@@ -71,18 +72,9 @@ def with_base(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def language_groups(docs: DataFrame) -> DataFrame:
-    """lang_key, total: the languages with a reference of their own."""
-    totals = docs.groupBy(F.coalesce("lang", F.lit("\0")).alias("lang_key")).agg(F.sum(F.size(words(F.col("text")))).alias("total"))
-    # One row per language; those with a share of 1/1000 are 1000 at most.
-    whole = totals.withColumn("whole", F.sum("total").over(Window.partitionBy()))
-    return whole.where(F.col("total") * LEAST_LANGUAGE >= F.col("whole")).select("lang_key", "total")
-
-
-def with_language(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    key = F.coalesce("lang", F.lit("\0"))
-    own = F.broadcast(groups.select("lang_key"))
-    return docs.join(own, key == own["lang_key"], "left").withColumn("language", F.coalesce("lang_key", F.lit("\1"))).drop("lang_key")
+def with_language(docs: DataFrame) -> DataFrame:
+    """Adds language: never null, and different for a null lang and every other one."""
+    return docs.withColumn("language", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
@@ -91,13 +83,13 @@ def word_totals(docs: DataFrame) -> DataFrame:
     return word.groupBy("language", F.when(F.length("word") <= COMMON_LENGTH, F.col("word")).alias("word")).agg(F.count("*").alias("n"))
 
 
-def common_words(counted: DataFrame) -> DataFrame:
+def common_words(counted: DataFrame, store: Scratch) -> DataFrame:
     """language, common: the most frequent short words of each language.
 
     Only words with at least 1/500 of their language's words qualify, so a language
     has at most 500 candidates when they meet in one row.
     """
-    totals = F.broadcast(counted.groupBy("language").agg(F.sum("n").alias("total")))
+    totals = store.put(counted.groupBy("language").agg(F.sum("n").alias("total")), "totals")
     frequent = counted.where("word is not null").join(totals, "language").where(F.col("n") * LEAST_SHARE >= F.col("total"))
     ranked = frequent.groupBy("language").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "word"))).alias("found"))
     return ranked.select("language", F.transform(F.slice("found", 1, TOP_WORDS), lambda x: x["word"]).alias("common"))
@@ -105,8 +97,8 @@ def common_words(counted: DataFrame) -> DataFrame:
 
 def features(docs: DataFrame, store: Scratch) -> DataFrame:
     """One small row per document: language, base counts, class histogram, common-word histogram."""
-    grouped = with_language(docs.select("doc_id", "text", "lang"), store.put(language_groups(docs), "languages"))
-    common = F.broadcast(store.put(common_words(store.put(word_totals(grouped), "words")), "common"))
+    grouped = with_language(docs.select("doc_id", "text", "lang"))
+    common = store.put(common_words(store.put(word_totals(grouped), "words"), store), "common")
     df = with_base(grouped.join(common, "language", "left"))
     n = F.size("words")
     hits = F.transform(F.coalesce("common", F.array().cast("array<string>")), lambda w: (n - F.size(F.array_remove("words", w))).cast("long"))
@@ -138,7 +130,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B00
     summed = lambda column, k: F.array(*(F.sum(F.get(column, F.lit(i))) for i in range(k)))
     ref = made.groupBy("language").agg(summed("class_counts", len(CLASSES) + 1).alias("class_ref"), summed("word_counts", TOP_WORDS + 1).alias("word_ref"))
     ref = ref.select("language", shares(F.col("class_ref")).alias("class_ref"), shares(F.filter("word_ref", lambda x: x.isNotNull())).alias("word_ref"))
-    df = made.join(F.broadcast(ref), "language")
+    df = made.join(store.put(ref, "references"), "language")
     df = df.withColumn("class_distance", js_distance(shares(F.col("class_counts")), F.col("class_ref"))).withColumn("word_distance", js_distance(shares(F.col("word_counts")), F.col("word_ref")))
     slack = F.lit(limits.slack) / F.sqrt(F.greatest("n_words", F.lit(1)).cast("double"))
     far = (F.col("class_distance") > limits.class_distance + slack) | (F.col("word_distance") > limits.word_distance + slack)
