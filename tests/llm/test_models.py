@@ -142,6 +142,24 @@ def test_extraction(spark, trees):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"), trees).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>T</title><p>Before<article><header><h1>Top</h1></header><p>Body</article>", ["Before", "Top", "Body"]),
+        ("<head><title>T</title></head><header>Top</header>", ["Top"]),
+        ("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<object data=x><p>Fallback</object><p>End", ["where x=2 holds", "Fallback", "End"]),
+        ("<math><mi>x</mi><p>One<object><p>Two", ["x", "One", "Two"]),
+        ("<div><svg><path d=x><title>d</title></div><p>One<svg><svg/><svg><text>t</text></svg>u</svg> two", ["One two"]),
+        ("<select><option>a<option>b<article><p>One</article><select><option>c</select>", ["One"]),
+        ("One<svg>two<select>three", ["Onetwothree"]),
+        ("İ" * 40 + "<script>x</script>One<STYLE>y</Style >two<script></scripts></script>", ["İ" * 40 + "Onetwo"]),
+        ("<template><p>x<template>y</template>z</template>One<script>never closed", ["One"]),
+    ],
+)
+def test_no_text_is_cut(page, texts):
+    assert [t for _, t in html_extract.parse(page)[1]] == texts
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     nodes = [html_extract.Node("body", -1, 0)]
     for parent in (0, 1, 1, 0):

@@ -14,7 +14,9 @@ blocks (cut at block elements; ``br`` is white space) are joined in page order b
 
 Defined results: null or empty html gives an empty text; unclosed and stray tags are
 closed as browsers do for paragraphs, list items and table cells; comments, scripts,
-styles, templates and the head never hold text; an empty table gives an empty result.
+styles, titles, templates, drawings and lists of options never hold text; a drawing or
+list of options that is not closed ends where the next block begins or ends; formulas and
+the fallback of objects are text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,8 +43,11 @@ TAG = re.compile(
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPLIT = re.compile(r"[^a-z0-9]+")
 #: Kinds of elements.
-RAW = frozenset("script style textarea title template noscript svg iframe math object select xmp noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input label meta link base source track embed param area col".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noframes noembed".split())
+#: Skipped with the elements in them; all but template end at a block, too.
+SKIPPED = frozenset("template svg select annotation annotation-xml".split())
+BREAKS = "p article section main header footer nav aside form h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table tr td th blockquote pre hr body html"
+INLINE = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts menclose mtable mtr mtd semantics object a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input label meta link base source track embed param area col".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "body": {"head"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "option": set(), "body": set()}
 TAGS = "nav header footer aside form button article main section p h li ul table td blockquote pre div body other".split()
@@ -52,6 +57,33 @@ WIDTH = len(TAGS) + 2 * len(GROUPS) + 16
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
+@lru_cache(None)
+def _bounds(name: str) -> re.Pattern:
+    """End tags of a raw or skipped element; of a skipped one also start tags of its kind, and tags of blocks that end it."""
+    if name in RAW:
+        return re.compile(rf"</{name}(?=[\s/>])", re.I | re.A)
+    breaks = {"template": "", "select": BREAKS}.get(name, f"{BREAKS} div")
+    other = f"|(?P<block></?(?:{'|'.join(breaks.split())})(?=[\\s/>]))" if breaks else ""
+    return re.compile(rf"<(?P<end>/?){name}(?=[\s/>])(?P<attrs>[^>]*){other}", re.I | re.A)
+
+
+def _after(page: str, name: str, at: int) -> int:
+    """Where the page goes on after a raw or skipped element whose start tag ends at ``at``; -1: it has no end."""
+    depth = 1
+    for m in _bounds(name).finditer(page, at):
+        if name in SKIPPED:
+            if name != "template" and m["block"]:
+                return m.start()
+            if not m["end"]:
+                depth += not m["attrs"].endswith("/")
+                continue
+        depth -= 1
+        if not depth:
+            close = page.find(">", m.end())
+            return close + 1 if close >= 0 else len(page)
+    return -1
+
+
 class Node:
     __slots__ = ("attrs", "children", "depth", "elements", "groups", "label", "link_chars", "links", "own", "parent", "place", "tag", "text_chars", "marks")
 
@@ -103,7 +135,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 blocks.append((stack[-1], text))
             piece.clear()
 
-    lower = None
+    endless = set()
     while (m := TAG.search(page, at)) is not None:
         add(page[at : m.start()])
         at = m.end()
@@ -111,20 +143,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if not name:
             continue
         name, end, attrs = name.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
-        if name in RAW or name == "head":
-            if end or attrs.endswith("/"):
+        if name in RAW or name in SKIPPED:
+            if end or attrs.endswith("/") or name in endless:
                 continue
-            lower = lower or page.lower()
-            stop = lower.find(f"</{name}", at)
-            if name == "head" and stop < 0:
-                stop = lower.find("<body", at)
-                at = stop if stop >= 0 else at
-                continue
-            if stop < 0:
+            stop = _after(page, name, at)
+            if stop >= 0:
+                at = stop
+            elif name in RAW or name == "template":
                 at = len(page)
                 break
-            close = page.find(">", stop)
-            at = close + 1 if close >= 0 else len(page)
+            else:
+                endless.add(name)
+            continue
+        if name == "head":
             continue
         if name in INLINE:
             if name == "br":
