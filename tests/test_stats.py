@@ -32,6 +32,13 @@ def test_ks_limit():
     assert abs(stats.ks_tail_exact(0.1, 900, 900) - stats.kolmogorov_tail(0.1 * math.sqrt(450))) < 0.01
 
 
+def test_ks_is_exact_up_to_its_bound():
+    for m, n in ((3000, 2500), (10_000, 9_999), (10_000, 2)):
+        d = 1.36 * math.sqrt((m + n) / (m * n)) if n > 2 else 0.75
+        assert stats.ks_tail(d, m, n) == stats.ks_tail_exact(d, m, n) != stats.kolmogorov_tail(d * math.sqrt(m * n / (m + n)))
+    assert stats.ks_tail(0.02, 10_001, 10_000) == stats.kolmogorov_tail(0.02 * math.sqrt(10_001 * 10_000 / 20_001))
+
+
 def test_normal_threshold():
     t = stats.normal_threshold(0.2, 1000, 0.95)
     assert abs(t["threshold"] - (0.2 + 1.6448536 * math.sqrt(0.16 / 1000))) < 1e-6 and t["normal_approximation_reliable"]

@@ -38,33 +38,32 @@ def kolmogorov_tail(t: float) -> float:
 def ks_tail_exact(d: float, m: int, n: int) -> float:
     """P(D >= d) of the two-sample statistic for sizes m and n: lattice paths that leave the band.
 
-    Paths are counted as probabilities along anti-diagonals of one row at a time.
+    Paths are counted as probabilities, one anti-diagonal i + j at a time, within the band.
     """
     if m < n:
         m, n = n, m
     h = round(d * m * n / math.gcd(m, n)) * math.gcd(m, n)
     if h <= 0:
         return 1.0
-    # inside[j]: probability that a random path reaches (i, j) and stayed where |i n - j m| < h.
-    j = np.arange(n + 1)
-    inside = (j * m < h).astype(float)
-    inside = np.cumprod(inside)
-    for i in range(1, m + 1):
-        ok = np.abs(i * n - j * m) < h
-        right = i / (i + j)  # a path to (i, j) came from (i - 1, j) with this share
-        row = np.zeros(n + 1)
-        carried = 0.0
-        come = inside * right
-        for k in np.flatnonzero(ok):
-            carried = come[k] + (row[k - 1] * k / (i + k) if k else 0.0)
-            row[k] = carried
-        inside = row
-    return float(min(1.0, max(0.0, 1.0 - inside[n])))
+    # inside[j + 1]: probability that a random path reaches (i, j) and stayed where |i n - j m| < h.
+    inside = np.zeros(n + 2)
+    inside[1] = 1.0
+    before = 0, 1
+    for s in range(1, m + n + 1):
+        low = max(0, s - m, (s * n - h) // (m + n) + 1)
+        high = min(n, s, -((-s * n - h) // (m + n)) - 1)
+        j = np.arange(low, high + 1)
+        # A path to (i, j) came from (i - 1, j) with the share i / s.
+        row = (inside[low + 1 : high + 2] * (s - j) + inside[low : high + 1] * j) / s
+        inside[before[0] + 1 : before[1] + 1] = 0.0
+        inside[low + 1 : high + 2] = row
+        before = low, high + 1
+    return float(min(1.0, max(0.0, 1.0 - inside[n + 1])))
 
 
 def ks_tail(d: float, m: int, n: int) -> float:
     """Two-sided p-value: exact up to 10,000 rows a side, the limit beyond."""
-    if max(m, n) <= EXACT_KS_ROWS and m * n <= 4_000_000:
+    if max(m, n) <= EXACT_KS_ROWS:
         return ks_tail_exact(d, m, n)
     return kolmogorov_tail(d * math.sqrt(m * n / (m + n)))
 
