@@ -2,9 +2,10 @@
 
 ``LineRuns`` is a log-structured index: each batch of documents adds one run of
 ``(key, n_docs, last_doc)`` rows, sorted by key; when a level holds ``fan_in``
-runs they are merged into one run of the next level.  A batch whose documents are
-looked up is merge-joined with the runs (both sides sorted by key): lines whose
-key is condemned and whose document is not the last holder lose (an anti-join).
+runs they are merged into one run of the next level.  Adding a batch does not look
+it up in the runs: which document holds a key last, and whether enough do, is known
+only after all batches.  So one join at the end, of all line keys with the condemned
+ones, takes the place of an anti-join for each batch; Spark chooses its kind.
 
 A key is the line, ``[\\x20\\x09-\\x0D]`` stripped at both ends, A-Z lower-cased;
 keys under ``min_chars`` code points are never indexed.  A key in at least
