@@ -40,3 +40,13 @@ def test_query_equals_sql(spark, sf, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_runs(spark, sf, name):
     assert catalogue.queries()[name](spark, sf).count() > 0
+
+
+def test_simulations_are_those_of_the_reports(spark, sf):
+    from twinlens.plans.evaluate import Options
+
+    assert catalogue.SIMULATIONS == Options.n_simulations
+    assert "simulate_pmse" in catalogue.queries()
+    for plan in (catalogue.ORDERS, catalogue.PART, catalogue.CUSTOMER):
+        rows = catalogue._numbered(spark, sf, plan)
+        assert rows.count() == spark.read.parquet(f"{sf}/{plan.table}.parquet").count() == rows.agg({"row_id": "max"}).first()[0] + 1

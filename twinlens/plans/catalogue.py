@@ -1,6 +1,7 @@
 """Registered queries of the evaluation operators, and their SQL.
 
-Every query runs over its whole tables.  Doubles are rounded on both sides, so that a
+Pair queries run over whole tables, dealt to both sides, and simulations over whole
+tables; other queries of one table run over the original side, as their SQL does.  Doubles are rounded on both sides, so that a
 different order of summation doesn't show.
 """
 
@@ -21,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Rows of the simulations registered as queries.
-SIMULATIONS, SEED, QUANTILE = 20, 42, 0.95
+SIMULATIONS, SEED, QUANTILE = 100, 42, 0.95
 
 
 def query(name: str, sql: str | None = None):
@@ -458,7 +459,9 @@ def judge_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, d: str, plan: PairPlan) -> DataFrame:
-    return contiguous_ids(plan.load(spark, d)[0].withColumnRenamed("row_id", "key"), "key").drop("key")
+    """All rows of the plan's table, those of both sides, numbered from 0."""
+    o, s = plan.load(spark, d)
+    return contiguous_ids(o.unionByName(s).withColumnRenamed("row_id", "key"), "key").drop("key")
 
 
 @query("simulate_single_out")
@@ -480,6 +483,12 @@ def simulate_inference(spark: SparkSession, d: str) -> DataFrame:
     return thresholds.simulate_inference(f.of(o, "row_id"), f, o.count(), thresholds.derive_seeds(SEED, SIMULATIONS))
 
 
+@query("simulate_pmse")
+def simulate_pmse(spark: SparkSession, d: str) -> DataFrame:
+    o = _numbered(spark, d, PART)
+    return spark.createDataFrame(thresholds.simulate_pmse(o, PART.schema, o.count(), thresholds.derive_seeds(SEED, SIMULATIONS)), "sim int, value double")
+
+
 # --- models and reduction ----------------------------------------------------------
 
 
@@ -491,8 +500,8 @@ def _pmse_query(model: str, params: dict) -> Query:
     return run
 
 
-for _name, _params in (("logistic_regression", {}), ("decision_tree", {"max_depth": 8}), ("gradient_boosting", {"n_estimators": 10})):
-    query(f"pmse_{_name}")(_pmse_query(_name, _params))
+for _name in ("logistic_regression", "decision_tree", "gradient_boosting"):
+    query(f"pmse_{_name}")(_pmse_query(_name, {}))
 
 
 def _reduce_query(method: str, options: dict) -> Query:
