@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -129,12 +129,14 @@ def test_words_and_hashes():
     assert len(set(h.tolist())) == 5
 
 
-def near_expected(texts, percent=80):
+def shingles(text):
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    sets = []
-    for t in texts:
-        w = [x for x in SPACE.split((t or "").translate(fold)) if x]
-        sets.append(set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    w = [x for x in SPACE.split((text or "").translate(fold)) if x]
+    return set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def near_expected(texts, percent=80):
+    sets = [shingles(t) for t in texts]
     up = list(range(len(texts)))
 
     def root(x):
@@ -171,11 +173,43 @@ def test_jaccard_join_of_chains_and_edges(make):
     assert as_dict(jaccard_join.near_duplicates(make(values))) == near_expected(values)
 
 
-def test_jaccard_join_with_small_tiles(make, texts, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "TILE", 3)
+@pytest.mark.parametrize(("rows", "size"), [(3, 1 << 20), (1000, 200)])
+def test_jaccard_join_with_small_tiles(make, texts, monkeypatch, rows, size):
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", rows)
+    monkeypatch.setattr(jaccard_join, "TILE_BYTES", size)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 50)
     assert as_dict(jaccard_join.near_duplicates(make(texts))) == near_expected(texts)
 
 
+def test_jaccard_join_of_repeated_and_null_ids(spark, texts):
+    """Every row is a document of its own; a component has its least id, nulls last."""
+    ids = [None if k % 5 == 0 else k % 17 for k in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts)], "doc_id long, text string, row long")
+    component = {k: v for k, v in near_expected(texts).items()}
+    names = {}
+    for k, (_, c) in component.items():
+        names.setdefault(c, []).append(ids[k])
+    want = Counter((ids[k], n, min((x for x in names[c] if x is not None), default=None)) for k, (n, c) in component.items())
+    assert Counter(map(tuple, jaccard_join.near_duplicates(docs).collect())) == want
+    kept = jaccard_join.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert sum(got.values()) == len(names)  # one of each component, all that link with nothing
+    for c, members in names.items():
+        assert any((i, t) in got for i, t in zip(ids, texts) if component[texts.index(t)][1] == c or t is None)
+
+
+def test_jaccard_all_links(make, texts):
+    members, links = jaccard_join.all_links(make(texts))
+    of = {}
+    for r in sorted(members.where("class_id is not null").collect()):
+        of.setdefault(r.class_id, r.doc_id)
+    sets = {k: shingles(t) for k, t in enumerate(texts)}
+    want = {(i, j) for i in of.values() for j in of.values() if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert {tuple(sorted((of[r.a], of[r.b]))) for r in links.collect()} == want
+    assert links.count() == len(want) > 50
+
+
 def test_jaccard_representatives_and_empty(make, texts):
     docs = make(texts)
     kept = jaccard_join.keep_representatives(docs)
@@ -185,33 +219,31 @@ def test_jaccard_representatives_and_empty(make, texts):
 
 
 def test_bitmaps_bound_the_overlap():
-    r = np.random.default_rng(5)
-    for _ in range(200):
-        a = np.unique(r.integers(0, 1 << 62, r.integers(1, 300)).astype(np.uint64))
-        b = np.unique(np.concatenate([r.choice(a, max(1, len(a) // 2)), r.integers(0, 1 << 62, 40).astype(np.uint64)]))
-        bits = jaccard_join.bitmap_bits(min(len(a), len(b)))
-        x, y = (jaccard_join.widened(jaccard_join.bitmap(s, jaccard_join.bitmap_bits(len(s))), bits) for s in (a, b))
-        assert list(x) == list(jaccard_join.bitmap(a, bits))
-        assert len(a) - int(np.bitwise_count(x & ~y).sum()) >= len(np.intersect1d(a, b))
-
-
-def test_tile_candidates_agree():
+    """No pair that links is refused, in whatever order and widths; the bound is the one that bit by bit counting gives."""
     r = np.random.default_rng(6)
-    for _ in range(60):
+    for _ in range(30):
         base = np.unique(r.integers(0, 1 << 62, 300).astype(np.uint64))
         sets = [np.unique(np.concatenate([r.choice(base, r.integers(3, len(base)), replace=False), r.integers(0, 1 << 62, r.integers(1, 30)).astype(np.uint64)])) for _ in range(10)]
         sets += [np.unique(np.concatenate([base, r.integers(0, 1 << 62, k).astype(np.uint64)])) for k in (1, 20, 60)]
         n = np.array([len(s) for s in sets])
-        sig = [jaccard_join.bitmap(s, jaccard_join.bitmap_bits(len(s))).tobytes() for s in sets]
-        label = r.integers(0, 6, len(sets))
-        many = {tuple(sorted((int(i), int(j)))) for i, js, _ in jaccard_join.may_link(sig, n, label, 80) for j in js}
-        assert {(i, j) for i, j, _ in jaccard_join.few_pairs(sig, n, label, 80)} == many
-        for i, j in many:
-            assert label[i] != label[j]
-        linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if label[i] != label[j] and 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j]))}
-        assert linked <= many
-        near = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in jaccard_join.nearest_apart(sig, n, label, 80)))}
-        assert near <= many and bool(near) == bool(many)
+        column = pa.chunked_array([pa.array([jaccard_join.bitmap(s, jaccard_join.bitmap_bits(len(s))).tobytes() for s in sets], pa.binary())])
+        i, j = (np.array(v) for v in zip(*[(i, j) for i in range(len(n)) for j in range(i) if 10 * min(n[i], n[j]) >= 8 * max(n[i], n[j])]))
+        for x, y, bound in zip(i, j, jaccard_join.Signatures(column, n).may_link(i, j, 80)):
+            bits = min(jaccard_join.bitmap_bits(n[x]), jaccard_join.bitmap_bits(n[y]))
+            p, q = (set((_text.mix(sets[k]) % np.uint64(bits)).tolist()) for k in (x, y))
+            both = len(np.intersect1d(sets[x], sets[y]))
+            most = min(n[x] - len(p - q), n[y] - len(q - p))
+            assert both == jaccard_join.overlap(sets[x], sets[y]) <= most
+            assert bound == (most if 180 * most >= 80 * (n[x] + n[y]) else -1)
+            assert bound >= 0 or 100 * both < 80 * (n[x] + n[y] - both)
+
+
+def test_pair_blocks_give_each_pair_once(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRS", 700)
+    first, end = np.array([0, 1, 3, 303, 310]), 400
+    got = [(int(a), int(b)) for i, j in jaccard_join.pair_blocks(first, end) for a, b in zip(i, j)]
+    want = {(a, b) for x, y in zip(first, [*first[1:], end]) for a in range(x, y) for b in range(a + 1, y)}
+    assert len(got) == len(want) and set(got) == want
 
 
 def test_components(spark):

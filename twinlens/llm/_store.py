@@ -7,6 +7,9 @@ re-read, not a recompute, and no plan depends on executor-local blocks.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,16 +20,37 @@ from pyspark.sql.types import StructType
 
 from ..sources.workers import ship_package
 
+#: Rows go to Python in Arrow batches of at most so many bytes (besides a row that is larger by itself).
+BATCH_BYTES = "8m"
+
+
+def _released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, whose freed memory goes back to the system: workers are kept for later tasks of other stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``df.mapInArrow`` with this package importable on the workers."""
+    """``df.mapInArrow`` with this package importable on the workers, in batches bounded by bytes."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(_released(run), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a fresh local one, kept for the session."""
+    """The folder in spark.checkpoint.dir; where it is unset, a fresh one, on a single machine only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="twinlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -3,31 +3,40 @@
 Two documents link when their sets of 5-word shingles have a Jaccard similarity of
 at least 80 %.  Linked sets share a shingle among the first ``n - ceil(0.8 n) + 1``
 of each, in any fixed order of shingles; the order used here puts rare shingles
-first.  Documents that share such a key and have sizes of neighbouring bands meet in
-a tile; a tile compares bitmaps, whose bit counts bound the overlap from above, and
-passes on the pairs that may link; these are verified by intersecting sorted arrays.
+first.  Each such key is shown by its least class (its pivot); the classes that share
+a key with a pivot, cut into bands of sizes that may link, are a tile.  In a tile bit
+counts of bitmaps bound the overlap from above; what may link is settled there by
+intersecting sorted arrays.
 
 *Rarity* is read from a count sketch of all shingles: ``SKETCH`` cells of one byte
 (log2 of the count), a fixed size whatever the input.  Any order is exact; a better
 one only makes smaller tiles.
 
-*Copies and hot groups.*  Equal sets become one class, shown by its least doc_id.  A
-class group is connected in rounds: first the members of each key are verified against the
-key's least class alone, and connected components are formed; then only classes of
-different components meet in tiles, where in two rounds each component of a tile names
-its most similar neighbour, and in the last round every pair that may link is verified.
-So a group of thousands of near copies is not expanded into its pairs, and no pair of
-different components that may link is left out.  Large tiles are cut into sub-tiles of
-``TILE`` rows which meet two by two in tasks of their own.
+*Copies and hot groups.*  Equal sets become one class.  First the members of each tile
+are verified against its pivot alone, and components are formed.  Then only classes of
+different components meet: a first pass over bitmaps finds the rows of a tile that may
+link with another component at all, and those rows alone bring their sorted arrays to a
+second pass, which intersects them and leaves out pairs that it has connected already.
+No table of pairs is made: a tile emits rows it was given, or links that form a forest.
+A tile beyond ``TILE_ROWS`` or ``TILE_BYTES`` is cut into parts that meet two by two in
+tasks of their own; rows of the tile's largest component need not meet one another, so
+they move once for each part of the rest.
+
+*Identity.*  Classes are told apart by 128 bits and their size.  A shingle is 64 bits,
+which are only ever compared within one text or one pair of texts.  A row is found again
+by a hash of its doc_id and text, and what is found is checked against its class.
 
 Defined results: a null text, or one without words, has an empty set and links with
-nothing; a text of fewer than five words is one shingle of all its words; doc_id is
-taken as unique; an empty table gives an empty result; other columns are ignored.
+nothing; a text of fewer than five words is one shingle of all its words; doc_id may
+repeat or be null: every row is a document of its own, a component is named by its least
+doc_id that is not null (null if it has none); an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +50,10 @@ from ._text import mix, prefix, span, words
 
 NGRAM = 5
 SKETCH = 1 << 20
-BLOCKS, TILE, FEW_ROWS = 64, 1024, 12
-BLOOM_BITS = 1 << 23
+BLOCKS = 64
+TILE_ROWS, TILE_BYTES = 2048, 8 << 20
+PAIRS, STEP_BYTES = 1 << 17, 4 << 20
+FILTER_WORDS = 1 << 17
 U64 = np.uint64
 
 
@@ -114,42 +125,55 @@ def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out)
 
 
-def widened(row: np.ndarray, bits: int) -> np.ndarray:
-    """A signature folded to a narrower width (widths are powers of two, places are taken modulo)."""
-    while len(row) * 8 > bits:
-        row = row[: len(row) // 2] | row[len(row) // 2 :]
-    return row
-
-
 def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """The least intersection with which sets of n and m elements link."""
     return -((-percent * (n + m)) // (100 + percent))
 
 
-def signatures(docs: DataFrame, levels: Broadcast, percent: int) -> DataFrame:
-    """doc_id, n, s1 and s2 (hashes of the whole set), signature, keys (the prefix of the set, rare first)."""
+def set_hashes(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set from others."""
+    low = int(np.bitwise_xor.reduce(mix(s ^ U64(0x5BF03635)))) + len(s) & (1 << 64) - 1
+    return low, int(np.add.reduce(mix(s + U64(0x27D4EB2F))))
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, U64).view(np.int64))
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """row (a hash of the whole row that any later read gives again), doc_id, text."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+
+
+def signatures(keyed: DataFrame, levels: Broadcast, percent: int) -> DataFrame:
+    """row, doc_id, n, s1 and s2 (hashes of the whole set), signature, keys (the prefix of the set, rare first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = []
-                for s in shingle_sets(part.column(1)):
-                    n = len(s)
-                    if not n:
-                        rows.append((0, 0, 0, b"", []))
-                        continue
-                    s1 = int(np.bitwise_xor.reduce(mix(s ^ U64(0x5BF03635)))) + n & (1 << 64) - 1
-                    s2 = int(np.add.reduce(mix(s + U64(0x27D4EB2F))))
+            rows, size, at = [], 0, 0
+
+            def made(at: int = 0) -> pa.RecordBatch:
+                n, s1, s2, sig, keys = zip(*rows)
+                part = batch.slice(at, len(rows))
+                return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), _signed(s1), _signed(s2), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "n", "s1", "s2", "signature", "keys"])
+
+            for s in shingle_sets(batch.column(2)):
+                n = len(s)
+                if n:
                     keep = n - -(-percent * n // 100) + 1
                     order = np.lexsort((s, level[_cell(s)]))[:keep]
-                    rows.append((n, s1, s2, bitmap(s, bitmap_bits(n)).tobytes(), s[order].view(np.int64)))
-                n, s1, s2, sig, keys = zip(*rows)
-                signed = lambda v: pa.array(np.array(v, U64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), signed(s1), signed(s2), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "signature", "keys"])
+                    rows.append((n, *set_hashes(s), bitmap(s, bitmap_bits(n)).tobytes(), s[order].view(np.int64)))
+                else:
+                    rows.append((0, 0, 0, b"", []))
+                size += n
+                if size > 1 << 20:
+                    yield made(at)
+                    at, rows, size = at + len(rows), [], 0
+            if rows:
+                yield made(at)
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, s1 long, s2 long, signature binary, keys array<long>")
+    return map_arrow(keyed, run, "row long, doc_id long, n long, s1 long, s2 long, signature binary, keys array<long>")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -176,278 +200,369 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
         yield rest, cut(rest)
 
 
-def may_link(sig: list[bytes], n: np.ndarray, apart: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, others, bounds): rows of a tile whose sizes and bitmaps allow a link with row i, and the bounds of their overlaps.
-
-    ``apart`` are labels; rows that share one are no pair.  A pair comes once.
-    """
-    widths = np.array([bitmap_bits(x) for x in n])
-    for bits in np.unique(widths):
-        # A pair is judged at the width of its smaller set, against sets of that width or a wider one.
-        at = np.flatnonzero((widths >= bits) & (n * percent <= 100 * bits))
-        if len(at) < 2:
+class Signatures:
+    """The bitmaps of a table's rows, by width; a pair is judged at the width of its smaller set."""
+
+    def __init__(self, column: pa.ChunkedArray, n: np.ndarray):
+        self.n, self.width = n, np.maximum(64, 1 << (np.frexp(n.astype(float))[1]))
+        self.at = np.zeros(len(n), np.int64)
+        self.rows: dict[tuple[int, int], np.ndarray] = {}
+        values = column.to_pylist()
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            self.at[own] = np.arange(len(own))
+            bits = np.frombuffer(b"".join([values[k] for k in own.tolist()]), U64).reshape(len(own), width // 64)
+            self.rows[width, width] = bits
+            if width > 64:  # places are taken modulo the width, so a signature folds to half of it
+                self.rows[width, width // 2] = bits[:, : width // 128] | bits[:, width // 128 :]
+
+    def _at(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out = np.empty((len(rows), width // 64), U64)
+        for own in (width, 2 * width):
+            mine = self.width[rows] == own
+            if mine.any():
+                out[mine] = self.rows[own, width][self.at[rows[mine]]]
+        return out
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """The greatest possible overlap of each pair (i, j), or -1 where it can't link."""
+        n, m = self.n[i], self.n[j]
+        least, out = _least_overlap(n, m, percent), np.full(len(i), -1)
+        width = np.minimum(self.width[i], self.width[j])
+        for bits in np.unique(width).tolist():
+            at = np.flatnonzero(width == bits)
+            step = max(1, STEP_BYTES * 8 // bits)
+            for k in range(0, len(at), step):
+                part = at[k : k + step]
+                x, y = self._at(i[part], bits), self._at(j[part], bits)
+                only_x = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
+                only_y = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+                bound = np.minimum(n[part] - only_x, m[part] - only_y)
+                out[part] = np.where(bound >= least[part], bound, -1)
+        return out
+
+
+@lru_cache(maxsize=256)
+def _triangle(g: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(g, 1)
+
+
+def pair_blocks(first: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same group, a block of about ``PAIRS`` at a time; ``first``: first row of each group."""
+    held, size = [], 0
+    for x, y in zip(first.tolist(), [*first[1:].tolist(), end]):
+        g = y - x
+        if g <= 256:
+            i, j = _triangle(g)
+            held.append((x + i, x + j))
+            size += len(i)
+            if size > PAIRS:
+                yield tuple(np.concatenate(v) for v in zip(*held))
+                held, size = [], 0
             continue
-        rows = np.array([widened(np.frombuffer(sig[i], np.uint8), bits) for i in at]).view(U64)
-        size, width = n[at], widths[at]
-        for k in range(len(at) - 1):
-            other = slice(k + 1, None)
-            small, large = np.minimum(size[k], size[other]), np.maximum(size[k], size[other])
-            ok = (100 * small >= percent * large) & (apart[at[k]] != apart[at[other]]) & (np.minimum(width[k], width[other]) == bits)
-            hit = k + 1 + np.flatnonzero(ok)
-            if len(hit):
-                rest = rows[hit]
-                only_k = np.bitwise_count(rows[k] & ~rest).sum(1, dtype=np.int64)
-                only_other = np.bitwise_count(rest & ~rows[k]).sum(1, dtype=np.int64)
-                bound = np.minimum(size[k] - only_k, size[hit] - only_other)
-                good = bound >= _least_overlap(size[k], size[hit], percent)
-                if good.any():
-                    yield at[k], at[hit[good]], bound[good]
-
-
-def nearest_apart(sig: list[bytes], n: np.ndarray, apart: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs of ``may_link``, the most similar one of each label: at most one pair per label."""
-    _, code = np.unique(apart, return_inverse=True)
-    score, pair = np.full(code.max() + 1, -1.0), np.zeros((code.max() + 1, 2), np.int64)
-    for i, others, bound in may_link(sig, n, apart, percent):
-        similar = bound / (n[i] + n[others] - bound)
-        order = np.argsort(similar, kind="stable")  # the last one written to a label is its best
-        for label in (np.full(len(order), code[i]), code[others[order]]):
-            better = similar[order] > score[label]
-            at = label[better]
-            score[at] = similar[order][better]
-            pair[at] = np.stack([np.full(len(at), i), others[order][better]], 1)
-    pair = pair[score >= 0]
-    return pair[:, 0], pair[:, 1]
-
-
-def few_pairs(sig: list[bytes], n: np.ndarray, apart: np.ndarray, percent: int) -> list[tuple[int, int, float]]:
-    """The pairs of ``may_link`` with their greatest possible similarity, for a tile of few rows: whole numbers are quicker there than arrays."""
-    bits = [int.from_bytes(x, "little") for x in sig]
-    size, label, out = n.tolist(), apart.tolist(), []
-    for i in range(len(size) - 1):
-        for j in range(i + 1, len(size)):
-            small, large = sorted((size[i], size[j]))
-            if label[i] == label[j] or 100 * small < percent * large:
-                continue
-            x, y, width = bits[i], bits[j], bitmap_bits(small)
-            for k, v in ((i, x), (j, y)):
-                wide = len(sig[k]) * 8
-                while wide > width:
-                    wide //= 2
-                    v = v >> wide | v & (1 << wide) - 1
-                if k == i:
-                    x = v
-                else:
-                    y = v
-            bound = min(size[i] - (x & ~y).bit_count(), size[j] - (y & ~x).bit_count())
-            if bound * (100 + percent) >= percent * (small + large):
-                out.append((i, j, bound / (small + large - bound)))
-    return out
-
+        step = max(1, PAIRS // g)
+        for k in range(x, y - 1, step):
+            i = np.arange(k, min(k + step, y - 1))
+            i, j = np.repeat(i, y - x), np.tile(np.arange(x, y), len(i))
+            yield i[j > i], j[j > i]
+    if size:
+        yield tuple(np.concatenate(v) for v in zip(*held))
+
+
+class Tiles:
+    """A table of whole cells (see ``dealt``) and the pairs in it that may link."""
+
+    def __init__(self, table: pa.Table, first: np.ndarray, percent: int):
+        column = {c: table.column(c).to_numpy() for c in ("comp", "n", "home", "mine", "t1", "t2")}
+        self.comp, self.n, self.first, self.rows, self.percent = column["comp"], column["n"], first, len(table), percent
+        self.home, self.mine, self.one = column["home"].astype(bool), column["mine"], column["t1"] == column["t2"]
+        self.signatures = Signatures(table.column("signature"), self.n)
+
+    def pairs(self, done: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of (i, j, bound) of different components; pairs of two rows that are ``done`` (updated by the caller) are left out."""
+        for i, j in pair_blocks(self.first, self.rows):
+            small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+            ok = (self.comp[i] != self.comp[j]) & (100 * small >= self.percent * large) & (self.home[i] | self.home[j]) & (self.one[i] | (self.mine[i] != self.mine[j]))
+            if done is not None:
+                ok &= ~(done[i] & done[j])
+            i, j = i[ok], j[ok]
+            if len(i):
+                bound = self.signatures.may_link(i, j, self.percent)
+                yield i[bound >= 0], j[bound >= 0], bound[bound >= 0]
+
+
+def may_meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows of cells that may link with a row of another component."""
+    for table, first in whole_groups(batches, 4):
+        tiles, hit = Tiles(table, first, percent), np.zeros(len(table), bool)
+        for i, j, _ in tiles.pairs(hit):
+            hit[i] = hit[j] = True
+        if hit.any():
+            yield from table.select(["pivot", "band", "home", "id", "comp", "n"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+
+def overlap(s: np.ndarray, t: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct values."""
+    if len(s) > len(t):
+        s, t = t, s
+    if not len(s):
+        return 0
+    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+
+
+def sets_link(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = overlap(s, t)
+    return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def verified(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between rows of cells, by exact intersection: those that connect components, or every one."""
+    for table, first in whole_groups(batches, 4):
+        tiles, ids = Tiles(table, first, percent), table.column("id").to_numpy()
+        column = table.column("s")
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+
+        found = []
+        for i, j, bound in tiles.pairs():
+            order = np.argsort(-bound / (tiles.n[i] + tiles.n[j] - bound), kind="stable")
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                a, b = root(int(tiles.comp[x])), root(int(tiles.comp[y]))
+                if a != b and sets_link(np.frombuffer(column[x].as_py(), U64), np.frombuffer(column[y].as_py(), U64), percent):
+                    found.append((ids[x], ids[y]))
+                    if not every:
+                        parent[max(a, b)] = min(a, b)
+        if found:
+            ends = np.sort(np.array(found, np.int64), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
+
+
+def rows_of(keyed: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``keyed`` whose ``key`` (long) is in ``wanted`` (distinct keys of that name).
+
+    A bit table of ``FILTER_WORDS`` 64-bit words, a fixed size, goes to every executor
+    and only saves moving rows that nobody needs: it passes all when far more are wanted.
+    """
+    spread = F.xxhash64(key)
+    at, bit = F.pmod(spread, F.lit(FILTER_WORDS)), F.shiftrightunsigned(spread, 58).cast("int")
+    words = wanted.select(at.alias("__at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bit")).groupBy("__at").agg(F.bit_or("__bit").alias("__bits"))
+    flag = F.shiftrightunsigned("__bits", 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
+    near = keyed.join(F.broadcast(words), (at == F.col("__at")) & flag, "inner").select(*[keyed[c] for c in keyed.columns])
+    return near.join(wanted.select(key).hint("shuffle_hash"), key, "left_semi")
+
+
+class Sets:
+    """Sorted arrays of classes, made once from the text of a row of each."""
+
+    def __init__(self, keyed: DataFrame, classes: DataFrame, store: Scratch):
+        self.keyed, self.classes, self.store, self.made = keyed, classes, store, None
+        self.parts: list[DataFrame] = []
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """id, s for the ids (distinct) and perhaps more; equal rows may each give one."""
+        if self.made is not None:
+            ids = ids.join(self.made.select("id"), "id", "left_anti")
+        who = self.store.put(self.classes.join(ids, "id", "left_semi").select("id", "row", "s1", "s2"), "ids")
+        if self.made is None or not who.isEmpty():
+            found = rows_of(self.keyed.select("row", "text"), who.select("row").distinct(), "row").join(who, "row").select("id", "s1", "s2", "text")
+            new = self.store.put(map_arrow(found, self._arrays, "id long, s binary"), "sets")
+            self.parts.append(new)
+            self.made = new if self.made is None else self.made.unionByName(new)
+        self.store.drop(who)
+        return self.made
+
+    def written(self) -> list[DataFrame]:
+        return self.parts
+
+    @staticmethod
+    def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            own = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            rows, size = [], 0
+            for (k, s1, s2), s in zip(own, shingle_sets(batch.column(3))):
+                mask = (1 << 64) - 1
+                if k not in seen and set_hashes(s) == (s1 & mask, s2 & mask):
+                    seen.add(k)
+                    rows.append((k, s.tobytes()))
+                    size += 8 * len(s)
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["id", "s"])
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["id", "s"])
+
+
+def star_links(tiles: DataFrame, sized: DataFrame, sets: Sets, store: Scratch, percent: int) -> DataFrame:
+    """The links (a, b) between a pivot and the other rows of its tile."""
+    one = sized.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("ga"))
+    two = sized.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("gb"))
+    stars = tiles.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    near = stars.join(one.drop("ga"), "a").join(two.drop("gb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    near = near.join(one.select("a", "ga"), "a").join(two.select("b", "gb"), "b").select("a", "b", "na", "nb", "ga", "gb")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = pa.chunked_array([batch.column(4), batch.column(5)])
+            n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+            at = np.arange(batch.num_rows)
+            if len(at):
+                bound = Signatures(both, n).may_link(at, at + len(at), percent)
+                yield batch.select([0, 1]).filter(pa.array(bound >= 0))
 
-def tile_candidates(sig: list[bytes], n: np.ndarray, apart: np.ndarray, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile that may link: all of them, or the most similar one of each label."""
-    if len(n) > FEW_ROWS:
-        if not every:
-            return nearest_apart(sig, n, apart, percent)
-        found = [(np.full(len(j), i), j) for i, j, _ in may_link(sig, n, apart, percent)]
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
-    pairs = few_pairs(sig, n, apart, percent)
-    if not every:
-        best: dict[int, tuple[int, int, float]] = {}
-        for p in pairs:
-            for k in p[:2]:
-                if apart[k] not in best or p[2] > best[apart[k]][2]:
-                    best[apart[k]] = p
-        pairs = list(best.values())
-    return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
-
-
-def _bloom(ids: DataFrame) -> Broadcast:
-    """A filter of fixed size over ids: it only saves moving texts that no pair needs."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS, bool)
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in _bloom_places(batch.column(0)):
-                bits[at] = True
-        packed = np.packbits(bits).view(np.int64)
-        at = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(packed[at])], ["at", "bits"])
+            keep = [sets_link(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), percent) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    words = map_arrow(ids, part, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    out[words["at"].to_numpy()] = words["bits"].to_numpy()
-    return ids.sparkSession.sparkContext.broadcast(np.unpackbits(out.view(np.uint8)).astype(bool))
+    pairs = store.put(map_arrow(near, bounded, "a long, b long"), "stars")
+    made = sets.of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    left, right = made.select(F.col("id").alias("a"), F.col("s").alias("sa")), made.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    links = store.put(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), intersect, "a long, b long"), "links")
+    store.drop(pairs)
+    return links
 
 
-def _bloom_places(ids: pa.Array) -> list[np.ndarray]:
-    h = mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
-    return [(h % U64(BLOOM_BITS)).astype(np.int64), ((h >> U64(32)) * U64(7) % U64(BLOOM_BITS)).astype(np.int64)]
+def mixed(rows: DataFrame, size: str) -> DataFrame:
+    """pivot, band, rest, main (numbers of parts), big (the component whose rows need not meet): tiles with rows of different components.
 
+    rows: pivot, band, home, comp, n.  ``size``: SQL of the bytes that a row brings.
+    """
+    each = rows.groupBy("pivot", "band", "comp").agg(F.count("*").alias("g"), F.sum(F.expr(size)).alias("bytes"), F.max("home").alias("home"))
+    tile = each.groupBy("pivot", "band").agg(F.count("*").alias("comps"), F.max("home").alias("home"), F.sum("g").alias("g"), F.sum("bytes").alias("bytes"), F.max(F.struct("g", "bytes", "comp")).alias("top"))
+    parts = lambda g, b: F.greatest(F.ceil(g / TILE_ROWS), F.ceil(b / TILE_BYTES)).cast("int")
+    large = (F.col("g") > TILE_ROWS) | (F.col("bytes") > TILE_BYTES)
+    rest = F.when(large, parts(F.col("g") - F.col("top.g"), F.col("bytes") - F.col("top.bytes"))).otherwise(1)
+    main = F.when(large, parts(F.col("top.g"), F.col("top.bytes"))).otherwise(0)
+    return tile.where("comps > 1 and home > 0").select("pivot", "band", rest.alias("rest"), main.alias("main"), F.col("top.comp").alias("big"))
 
-def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the rows whose doc_id is in ``ids`` (doc_id, distinct)."""
-    seen = _bloom(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = seen.value
-        for batch in batches:
-            a, b = _bloom_places(batch.column(0))
-            yield batch.filter(pa.array(bits[a] & bits[b]))
-
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, text string").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-
-
-class Verifier:
-    """Exact intersection of the sorted arrays of pairs; a document's array is made once."""
-
-    def __init__(self, docs: DataFrame, store: Scratch, percent: int):
-        self.docs, self.store, self.percent, self.sets = docs, store, percent, None
-
-    def _arrays(self, ids: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], ["doc_id", "s"])
-
-        return self.store.put(map_arrow(rows_of(self.docs, ids), run, "doc_id long, s binary"), "sets")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets link; ``pairs`` is a written table."""
-        percent = self.percent
-
-        def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3)):
-                    s, t = (np.frombuffer(v.as_py(), U64) for v in (x, y))
-                    if len(s) > len(t):
-                        s, t = t, s
-                    at = np.searchsorted(t, s)
-                    both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
-                    keep.append(bool(both) and 100 * both >= percent * (len(s) + len(t) - both))
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        if self.sets is not None:
-            ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
-        ids = self.store.put(ids, "ids")
-        if self.sets is None or not ids.isEmpty():
-            new = self._arrays(ids)
-            self.sets = new if self.sets is None else self.sets.unionByName(new)
-        left = self.sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-        right = self.sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-        return self.store.put(map_arrow(both, intersect, "a long, b long"), "links")
-
-
-def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) whose sizes and bitmaps allow a link."""
-    sig = reps.select("doc_id", "n", "signature")
-    one = sig.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("ga"))
-    two = sig.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("gb"))
+def dealt(rows: DataFrame, size: str, *payload: DataFrame) -> DataFrame:
+    """Rows of mixed tiles with their payloads (by id), dealt into cells (pivot, band, t1, t2) and sorted by them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for na, nb, ga, gb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                bits = bitmap_bits(min(na, nb))
-                x, y = widened(np.frombuffer(ga, np.uint8), bits), widened(np.frombuffer(gb, np.uint8), bits)
-                bound = min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
-                keep.append(bound >= _least_overlap(na, nb, percent))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    sized = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return map_arrow(sized.select("a", "b", "na", "nb", "ga", "gb"), run, "a long, b long")
+    A cell holds the parts t1 and t2 of a tile.  Only rows from different parts are
+    pairs in it, or all where the two are one.
+    """
+    rows = rows.join(mixed(rows, size), ["pivot", "band"])
+    for columns in payload:
+        rows = rows.join(columns, "id")
+    is_big = (F.col("main") > 0) & (F.col("comp") == F.col("big"))
+    mine = F.when(is_big, F.col("rest") + F.pmod(F.xxhash64("id"), F.greatest("main", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), "rest")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(is_big, F.col("rest")).otherwise(F.col("rest") + F.col("main")) - 1))
+    cells = rows.withColumn("mine", mine).withColumn("other", other).withColumn("t1", F.least("mine", "other")).withColumn("t2", F.greatest("mine", "other"))
+    made = cells.select("pivot", "band", "t1", "t2", "mine", "home", "id", "comp", "n", *[c for p in payload for c in p.columns if c != "id"])
+    return made.repartition("pivot", "band", "t1", "t2").sortWithinPartitions("pivot", "band", "t1", "t2")
 
 
-def tile_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs of classes of different components that share a key, from tiles of neighbouring size bands.
+def tile_links(tiles: DataFrame, sized: DataFrame, comp: DataFrame | None, sets: Sets, store: Scratch, percent: int, every: bool = False) -> DataFrame:
+    """Links (a, b) of rows of the same tile and different components: enough to connect what links connect, or every one.
 
-    h, a, b.  ``every``: all that may link; else a tile's most similar pair for each
-    component in it, so a key without a pair has none that may link, now or later.
-    """
-    comp = shared.join(labels, shared["doc_id"] == labels["vertex"], "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = comp.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("g")).where("low < high")
-    rows = comp.join(mixed.select("h", "g"), "h").join(reps.select("doc_id", "n", "signature"), "doc_id")
-    # Sizes that may link lie in the same or in neighbouring bands; a row stands in its own band and the one below.
-    step = float(np.log(100 / percent))
-    own = F.floor(F.log(F.col("n").cast("double")) / step - 1e-9)
-    rows = rows.withColumn("band", F.explode(F.array(own, own - 1)))
-    parts = F.ceil(F.col("g") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    tile = rows.select("h", "band", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "mine", "doc_id", "comp", "n", "signature")
-    dealt = tile.repartition("h", "band", "t1", "t2").sortWithinPartitions("h", "band", "t1", "t2", "n", "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first in whole_groups(batches, 4):
-            ends = [*first[1:], len(table)]
-            ids, comps, sizes = (table.column(c).to_numpy() for c in ("doc_id", "comp", "n"))
-            sigs = table.column("signature").to_pylist()
-            key = table.column("h").to_numpy()
-            h, a, b = [], [], []
-            for x, y in zip(first, ends):
-                if y - x > 1 and (comps[x:y] != comps[x]).any():
-                    i, j = tile_candidates(sigs[x:y], sizes[x:y], comps[x:y], percent, every)
-                    if len(i):
-                        h.append(np.full(len(i), key[x]))
-                        a.append(np.minimum(ids[x + i], ids[x + j]))
-                        b.append(np.maximum(ids[x + i], ids[x + j]))
-            if a:
-                rows = np.unique(np.stack([np.concatenate(h), np.concatenate(a), np.concatenate(b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in range(3)], ["h", "a", "b"])
-
-    return map_arrow(dealt, run, "h long, a long, b long")
-
-
-def link_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, component of each class with a link).
-
-    members: doc_id, n_shingles, class_id (least doc_id of the same set; null for an
-    empty set).  links: verified pairs (a, b) of classes that connect every
-    component.  The third: vertex, component.
+    comp: vertex, component (a row that has none is its own); None: every class for itself.
     """
+    rows = tiles.join(sized.select("id", "n"), "id")
+    if comp is None:
+        rows = rows.withColumn("comp", F.col("id"))
+    else:
+        rows = rows.join(comp, rows["id"] == comp["vertex"], "left").select("pivot", "id", "n", F.coalesce("component", "id").alias("comp"))
+    # Sizes that may link lie in the same or in neighbouring bands; a row is at home in its own and a guest in the one below.
+    own = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) - 1e-9).cast("int")
+    rows = rows.select("pivot", "id", "n", "comp", F.explode(F.array(F.struct(own.alias("band"), F.lit(1).alias("home")), F.struct((own - 1).alias("band"), F.lit(0).alias("home")))).alias("at")).select("pivot", "id", "n", "comp", "at.*")
+    rows = store.put(rows, "rows")
+    some = "pivot long, band int, home int, id long, comp long, n long"
+    met = dealt(rows, "n / 4", sized.select("id", "signature"))
+    met = store.put(map_arrow(met, lambda it: may_meet(it, percent), some).distinct(), "met")
+    store.drop(rows)
+    arrays = sets.of(met.select("id").distinct())
+    cells = dealt(met, "8 * n", sized.select("id", "signature"), arrays)
+    links = store.put(map_arrow(cells, lambda it: verified(it, percent, every), "a long, b long").distinct(), "links")
+    store.drop(met)
+    return links
+
+
+class Joined:
+    """What the join of a table knows: ``made`` (row, doc_id, n, s1, s2), ``classes`` (id, row, doc_id, s1, s2, n), ``links`` (a, b: class ids), ``labels`` (vertex, component)."""
+
+    def __init__(self, made: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame | None):
+        self.made, self.classes, self.links, self.labels = made, classes, links, labels
+
+    def components(self) -> DataFrame:
+        """s1, s2, n, component_id, rep (doc_id missing, doc_id, row: the least row) of every class."""
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+        own = self.classes.join(self.labels, self.classes["id"] == self.labels["vertex"], "left").drop("vertex")
+        named = own.where("component is not null").groupBy("component").agg(least.alias("rep"))
+        linked = own.join(named, "component", "left")
+        rep = F.coalesce("rep", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+        return linked.select("s1", "s2", "n", rep.alias("rep"))
+
+    def rows(self) -> DataFrame:
+        """row, doc_id, n_shingles, component_id, kept (the least row of its component, or a row that links with nothing)."""
+        found = self.made.join(self.components(), ["s1", "s2", "n"], "left")
+        kept = F.col("rep").isNull() | (F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("row") == F.col("rep.row")))
+        return found.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("rep.doc_id")).alias("component_id"), kept.alias("kept"))
+
+
+def join_sets(docs: DataFrame, percent: int = 80, every: bool = False) -> Joined:
+    """The join of ``docs`` (doc_id, text); ``every``: verify each link instead of those that connect components (``labels`` is None then)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     store = Scratch(spark, "jaccard-join")
+    keyed = with_row_key(docs)
     levels = spark.sparkContext.broadcast(sketch(docs))
-    made = store.put(signatures(docs, levels, percent), "signatures")
-    classes = store.put(made.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    members = made.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id")
-    reps = made.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n", "signature", "keys")
-    key = reps.select(F.explode("keys").alias("h"), "doc_id")
-    counted = key.groupBy("h").agg(F.count("*").alias("g"), F.min("doc_id").alias("pivot")).where("g > 1")
-    shared = store.put(key.join(counted.select("h", "pivot"), "h"), "shared")
-    small = store.put(made.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "signature"), "met")
-    stars = shared.where("pivot <> doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    verify = Verifier(docs, store, percent)
-    links = verify.links(store.put(bounded(stars, small, percent), "stars"))
-    labels = store.put(components(links, store), "labels")
-    for every in (False, False, True):
-        met = store.put(tile_pairs(shared, labels, small, percent, every), "met-pairs")
-        pairs = store.put(met.select("a", "b").distinct(), "pairs")
-        if pairs.isEmpty():
-            break  # no two components have a pair left that may link
-        if not every:
-            shared = store.put(shared.join(met.select("h").distinct(), "h", "left_semi"), "shared")
-        found = verify.links(pairs)
-        links = links.unionByName(found)
-        known = labels.select(F.col("component").alias("a"), F.col("vertex").alias("b"))
-        labels = store.put(components(known.unionByName(found), store), "labels")
-    return members, links, labels
+    made = store.put(signatures(keyed, levels, percent), "signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = made.where("n > 0").groupBy("s1", "s2", "n").agg(least.alias("rep"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
+    classes = store.put(classes.select(F.monotonically_increasing_id().alias("id"), "rep.row", "rep.doc_id", "s1", "s2", "n", "signature", "keys"), "classes")
+    levels.destroy()
+    key = classes.select(F.explode("keys").alias("h"), "id")
+    counted = key.groupBy("h").agg(F.count("*").alias("g"), F.min("id").alias("pivot")).where("g > 1")
+    tiles = store.put(key.join(counted.select("h", "pivot"), "h").select("pivot", "id").distinct(), "tiles")
+    sized = store.put(classes.join(tiles.select("id").distinct(), "id", "left_semi").select("id", "n", "signature"), "met")
+    sets = Sets(keyed, classes, store)
+    if every:
+        links, labels = tile_links(tiles, sized, None, sets, store, percent, every=True), None
+    else:
+        stars = star_links(tiles, sized, sets, store, percent)
+        comp = store.put(components(stars, store), "labels")
+        more = tile_links(tiles, sized, comp, sets, store, percent)
+        links = stars.unionByName(more)
+        known = comp.select(F.col("component").alias("a"), F.col("vertex").alias("b"))
+        labels = store.put(components(known.unionByName(more), store), "labels")
+    store.drop(tiles, sized, *sets.written())
+    return Joined(made.select("row", "doc_id", "n", "s1", "s2"), classes.select("id", "row", "doc_id", "s1", "s2", "n"), links, labels)
+
+
+def all_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, links): doc_id, n_shingles, class_id of each row, and every pair (a, b) of classes whose sets link.
+
+    Rows of one class have the same set and link with one another; they are not
+    expanded into pairs.  An empty set has no class.
+    """
+    found = join_sets(docs, percent, every=True)
+    members = found.made.join(found.classes.select("s1", "s2", "n", F.col("id").alias("class_id")), ["s1", "s2", "n"], "left")
+    return members.select("doc_id", F.col("n").alias("n_shingles"), "class_id"), found.links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest doc_id that links reach."""
-    members, _, labels = link_classes(docs, percent)
-    found = members.join(labels, members["class_id"] == labels["vertex"], "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    return join_sets(docs, percent).rows().select("doc_id", "n_shingles", "component_id")
 
 
 def keep_representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the smallest doc_id of each component."""
-    gone = near_duplicates(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
+    """One row of ``docs`` for each group: its least row by doc_id (null last), then by a hash of the row.
+
+    Rows that repeat a kept row in doc_id and text go too, unless their text has no words.
+    """
+    found = join_sets(docs, percent).rows()
+    gone = found.where("not kept").select(F.col("row").alias("__gone"), F.col("doc_id").alias("__id")).distinct()
+    key = F.xxhash64("doc_id", "text")
+    left = docs.join(gone.hint("shuffle_hash"), (key == F.col("__gone")) & docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    again = found.where("kept and n_shingles > 0").groupBy("row", "doc_id").count().where("count > 1").select(F.col("row").alias("__again")).distinct()
+    if again.isEmpty():
+        return left
+    name = "__row" + "_" * max(len(c) for c in docs.columns)
+    keyed = left.withColumn(name, key)
+    once = keyed.join(again, keyed[name] == again["__again"], "left_semi").dropDuplicates([name, "doc_id"]).drop(name)
+    return keyed.join(again, keyed[name] == again["__again"], "left_anti").drop(name).unionByName(once)

@@ -82,7 +82,7 @@ def snippets(docs: DataFrame) -> DataFrame:
 def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: h, doc_id, start, len, hot.  Adds the words' hashes; hot snippets become one row per window."""
     listed = wanted.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("h", "start", "len", "hot")).alias("found"))
-    texts = rows_of(docs, wanted.select("doc_id").distinct())
+    texts = rows_of(docs, wanted.select("doc_id").distinct(), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
