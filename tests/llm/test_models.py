@@ -1,4 +1,8 @@
+import math
 import random
+import re
+import statistics
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -8,41 +12,71 @@ from twinlens.llm import html_extract, html_pages, quality_classifier, toxicity
 from twinlens.llm.gbt import BoostedTrees
 
 
-def test_kneser_ney_sums_to_one():
-    counts = np.zeros((3, toxicity.CELLS))
-    for kind, words in ((0, ["hello", "help", "bad", "badly"]), (1, ["hello", "help"]), (2, ["bad", "badly"])):
-        window, _ = toxicity.grams(words)
-        for at in toxicity.cells(window):
-            np.add.at(counts[kind], at, 1)
-    kn = toxicity.KneserNey(counts)
+def plain_evidence(corpus, learnt):
+    """Kneser-Ney by dictionaries: a function of (text, class it was learnt from or None)."""
+    split = lambda t: re.findall("[a-z]+", (t or "").lower())
+    units = lambda w: [(k, w[:k]) for k in (4, 7) if len(w) > k] + [("word", w)]
+    held = lambda t: {u for w in split(t) for u in units(w)}
+    n = Counter(u for t in corpus for u in held(t))
+    own = [Counter(u for t, y in learnt if y == k for u in held(t)) for k in (0, 1)]
+    take = lambda c: {0: 0, 1: 1.0, 2: 1.6}.get(c, 1.8)
+    order = lambda counts, k: {u: c for u, c in counts.items() if u[0] == k}
+    size = [{k: sum(order(c, k).values()) for k in (4, 7, "word")} for c in own]
+    mass = [{k: sum(map(take, order(c, k).values())) / s[k] if s[k] else 1 for k in s} for c, s in zip(own, size)]
+    whole = {k: sum(order(n, k).values()) for k in (4, 7, "word")}
+
+    def p(y, w, less):
+        lower = None
+        for u in units(w):
+            c, q = max(own[y][u] - less, 0), n[u] / whole[u[0]]
+            smooth = q if lower is None else lower[0] * q / lower[1]
+            lower = ((c - take(c)) / max(size[y][u[0]], 1) + mass[y][u[0]] * smooth, q)
+        return lower[0]
+
+    def evidence(text, label=None):
+        r = [math.log(p(1, w, label == 1) / p(0, w, label == 0)) - math.log(mass[1]["word"] / mass[0]["word"]) for w in split(text)]
+        usual = statistics.median([*r, *[0.0] * 8])
+        return sum(math.log(1 + 0.001 * (math.exp(x - usual) - 1)) for x in r) / len(r) ** 0.7 if r else 0.0
+
+    return evidence
+
+
+def test_kneser_ney_against_dictionaries(spark, labelled):
+    """Counts, discounts, backoff, shares of the classes and length, word by word in plain Python."""
+    docs, labels = labelled
+    sample = toxicity.Labels.sample(labels.where("doc_id % 3 <> 1"), "toxic", 1000)
+    table = toxicity.word_counts(docs, sample)
+    model = toxicity.KneserNey.of(table)
+    rows, label = docs.collect(), {r.doc_id: r.toxic for r in labels.where("doc_id % 3 <> 1").collect()}
+    plain = plain_evidence([r.text for r in rows], [(r.text, label[r.doc_id]) for r in rows if r.doc_id in label])
+    own = np.array([label.get(r.doc_id, -1) for r in rows])
+    texts = pa.array([r.text for r in rows], pa.string())
+    assert np.allclose(toxicity.Evidence(model).of(texts), [plain(r.text) for r in rows])
+    assert np.allclose(toxicity.Evidence(model).of(texts, own), [plain(r.text, label.get(r.doc_id)) for r in rows])
+    counts = table.toPandas()
+    words = counts[counts["key"] % 4 == 2]
+    assert words["n"].sum() == sum(len(set(re.findall("[a-z]+", r.text or ""))) for r in rows)
+    # The mass that discounts take is what lower orders hand out: with q for it, each class' shares add up to one.
     for y in (0, 1):
-        assert np.allclose(kn.exact[y].reshape(-1, toxicity.SYMBOLS).sum(1), 1, atol=1e-4)
-    e = kn.evidence(["bad", "help", "badish"])
-    assert e[0] > 0 > e[1] and e[2] > 0
-
-
-def test_classes_back_off_to_all_orders_of_the_corpus():
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    pairs = [a + b for a in letters for b in letters]
+        n, order = words[f"n{y}"].to_numpy(), model.orders[-1]
+        assert np.isclose(((n - toxicity.discount(n)) / order.total[y] + order.taken[y] * words["n"] / words["n"].sum()).sum(), 1)
 
-    def model(corpus):
-        counts = np.zeros((3, toxicity.CELLS))
-        for kind, words in ((0, corpus), (1, ["hello", "help"]), (2, ["bad", "badly"])):
-            for at in toxicity.cells(toxicity.grams(words)[0]):
-                np.add.at(counts[kind], at, 1)
-        return toxicity.KneserNey(counts)
 
-    # Every pair of letters occurs in both corpora: only their longer n-grams differ.
-    before, after = model(pairs), model([*pairs, *["badge"] * 1000])
-    assert 0 < after.evidence(["badge"])[0] < before.evidence(["badge"])[0] - 0.5
-    assert after.evidence(["help"])[0] < 0 < after.evidence(["bad"])[0]
+def test_the_corpus_decides_on_rare_words():
+    """A word that a class has hardly seen is judged by how common the whole corpus has it."""
+    learnt = [(f"bad thing{k}", 1) for k in range(4)] + [(f"good thing{k}", 0) for k in range(4)]
+    filler = [f"word{k}" for k in range(50)]
+    before = plain_evidence([t for t, _ in learnt] + filler, learnt)
+    after = plain_evidence([t for t, _ in learnt] + filler + ["bad"] * 40, learnt)
+    assert 0 < after("bad word1 word2") < before("bad word1 word2") / 2
 
 
-def test_grams_stay_within_words():
-    window, lengths = toxicity.grams(["ab", "c"])
-    assert list(lengths) == [3, 2]
-    s = toxicity.SYMBOLS
-    assert list(window) == [1, 1 * s + 2, (1 * s + 2) * s, 3, 3 * s]
+def test_words_of_letters():
+    texts = ["Ab, c\u2019d  É\u00a0x 你好 12z", None, "", "…"]
+    found = next(toxicity.letters(pa.array(texts, pa.string())))
+    raw = found.data.tobytes()
+    assert [raw[a:b].decode() for a, b in zip(found.start, found.end)] == ["ab", "c", "d", "é", "x", "你", "好", "z"]
+    assert list(np.diff(found.bounds)) == [8, 0, 0, 0]
 
 
 @pytest.fixture(scope="module")

@@ -68,25 +68,28 @@ def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a run of documents: byte bounds, hashes, and the first word of each document."""
 
-    __slots__ = ("bounds", "data", "end", "hash", "rows", "start")
+    __slots__ = ("bounds", "data", "end", "hash", "rows", "start", "sums")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, rows: range, fold: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, rows: range, fold: bool, space: np.ndarray | None = None, alone: np.ndarray | None = None):
+        """``space``: the bytes that are no part of words; ``alone``: bytes at which a word ends and another begins."""
         self.data, self.rows = data, rows
-        space = _IS_SPACE[data]
+        space = _IS_SPACE[data] if space is None else space
         begins = np.ones(len(data) + 1, bool)
         begins[1:-1] = space[:-1]
         begins[offsets] = True
+        if alone is not None:
+            begins[alone] = True
         word = ~space
         self.start = np.flatnonzero(word & begins[:-1])
         stops = np.ones(len(data) + 1, bool)
         stops[:-1] = space
         stops[offsets] = True
+        if alone is not None:
+            stops[alone] = True
         self.end = np.flatnonzero(word & stops[1:]) + 1
         self.bounds = np.searchsorted(self.start, offsets)
-        if len(data):
-            self.hash = span(prefix((_FOLDED if fold else _BYTE)[data]), self.start, self.end)
-        else:
-            self.hash = np.empty(0, U64)
+        self.sums = prefix((_FOLDED if fold else _BYTE)[data])
+        self.hash = span(self.sums, self.start, self.end)
 
 
 def binary_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
