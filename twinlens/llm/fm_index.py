@@ -1,8 +1,8 @@
 """A compressed full-text index over integer sequences: BWT in a wavelet matrix, searched backwards.
 
-The suffixes are sorted by their first ``depth`` symbols only, which is all that
-backward search for patterns of at most ``depth`` symbols needs.  Rank structures
-are one bit per symbol and level plus one count per 64 bits.
+Kept are one bit per symbol and level with one count per 64 bits, the first row of each
+symbol, and every ``SAMPLED``-th text place: other places are found by stepping back to
+the next sampled one.  Neither the text nor its suffix array is kept.
 """
 
 from __future__ import annotations
@@ -10,18 +10,17 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
+SAMPLED = 8
 
 
-def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by the ``depth`` or more symbols that begin there (prefix doubling)."""
+def suffix_order(codes: np.ndarray) -> np.ndarray:
+    """Positions in the order of the suffixes (of the text read in a circle) that begin there, by prefix doubling."""
     _, rank = np.unique(codes, return_inverse=True)
     rank = rank.astype(np.int64)
     step, n = 1, len(codes)
     order = np.argsort(rank, kind="stable")
-    while step < depth:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 1) + second
+    while step < 2 * n:
+        key = rank * n + np.roll(rank, -step)
         order = np.argsort(key, kind="stable")
         key = key[order]
         rank = np.empty(n, np.int64)
@@ -32,71 +31,121 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+class Bits:
+    """A bit array with rank."""
+
+    def __init__(self, bit: np.ndarray):
+        padded = np.zeros(-(-(len(bit) + 1) // 64) * 64, np.uint8)
+        padded[: len(bit)] = bit
+        self.words = np.packbits(padded, bitorder="little").view(U64)
+        self.counts = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)]).astype(np.int32)
+
+    def ones(self, i: np.ndarray) -> np.ndarray:
+        """Ones before place i."""
+        at = i >> 6
+        mask = (U64(1) << (i & 63).astype(U64)) - U64(1)
+        return self.counts[at] + np.bitwise_count(self.words[at] & mask).astype(np.int64)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(U64) & U64(1)).astype(bool)
+
+
 class WaveletMatrix:
-    """rank(symbol, i): how often a symbol stands before place i."""
+    """Symbols as levels of bits, the highest first, each level stably sorted by the ones above."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.levels = max(1, int(sigma - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         values = symbols.astype(np.int64)
         for level in range(self.levels - 1, -1, -1):
             bit = (values >> level & 1).astype(np.uint8)
-            padded = np.zeros(-(-(len(bit) + 1) // 64) * 64, np.uint8)
-            padded[: len(bit)] = bit
-            word = np.packbits(padded, bitorder="little").view(U64)
-            self.words.append(word)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(word))]).astype(np.int64))
+            self.bits.append(Bits(bit))
             self.zeros.append(len(bit) - int(bit.sum()))
             values = np.concatenate([values[bit == 0], values[bit == 1]])
 
-    def _ones(self, k: int, i: np.ndarray) -> np.ndarray:
-        at = i >> 6
-        mask = (U64(1) << (i & 63).astype(U64)) - U64(1)
-        return self.counts[k][at] + np.bitwise_count(self.words[k][at] & mask)
-
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How often a symbol stands before place i."""
         low = np.zeros_like(i)
         for k in range(self.levels):
             bit = (symbol >> (self.levels - 1 - k) & 1).astype(bool)
-            a, b = self._ones(k, low), self._ones(k, i)
+            a, b = self.bits[k].ones(low), self.bits[k].ones(i)
             low = np.where(bit, self.zeros[k] + a, low - a)
             i = np.where(bit, self.zeros[k] + b, i - b)
         return i - low
 
+    def at(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at place i, and how often it stands before."""
+        symbol, low = np.zeros_like(i), np.zeros_like(i)
+        for k in range(self.levels):
+            bit = self.bits[k].get(i)
+            a, b = self.bits[k].ones(low), self.bits[k].ones(i)
+            low = np.where(bit, self.zeros[k] + a, low - a)
+            i = np.where(bit, self.zeros[k] + b, i - b)
+            symbol = symbol * 2 + bit
+        return symbol, i - low
+
 
 class FmIndex:
-    """``codes``: symbols from 1; 0 separates texts."""
+    """Index of ``codes``: symbols from 1; 0 separates texts."""
 
-    def __init__(self, codes: np.ndarray, depth: int):
-        self.codes, self.depth, self.n = codes, depth, len(codes)
-        sigma = int(codes.max()) + 1 if len(codes) else 1
-        self.places = suffix_order(codes, depth)
-        self.matrix = WaveletMatrix(codes[self.places - 1], sigma)
+    def __init__(self, codes: np.ndarray):
+        self.n = len(codes)
+        sigma = int(codes.max()) + 1 if self.n else 1
+        places = suffix_order(codes)
+        self.matrix = WaveletMatrix(codes[places - 1], sigma)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=sigma))])
+        sampled = places % SAMPLED == 0
+        self.marked, self.sample = Bits(sampled.astype(np.uint8)), (places[sampled] // SAMPLED).astype(np.int32)
 
-    def search(self, starts: np.ndarray, length: int, at_least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which, low, high): suffix intervals of the indexed sequences [start, start + length) with ``at_least`` occurrences.
+    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int, at_least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, low, high) for each place before which a match ends.
 
-        Sequences are extended to the left, one symbol at a time; one that has become
-        rarer than asked for is given up there.
+        The length of the longest match of ``text`` ending there that the index holds
+        ``at_least`` times, ``most`` at the most, and the rows of its occurrences.  All
+        matches grow to the left together, a symbol at a time; one that would become
+        rarer than asked for stops.
         """
-        which = np.arange(len(starts))
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
-        for k in range(length - 1, -1, -1):
-            symbol = self.codes[starts[which] + k]
-            low = self.before[symbol] + self.matrix.rank(symbol, low)
-            high = self.before[symbol] + self.matrix.rank(symbol, high)
-            alive = high - low >= at_least
-            which, low, high = which[alive], low[alive], high[alive]
-            if not len(which):
+        length = np.zeros(len(ends), np.int64)
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        alive = np.arange(len(ends))
+        for k in range(1, most + 1):
+            alive = alive[ends[alive] >= k]
+            symbol = text[ends[alive] - k]
+            a = self.before[symbol] + self.matrix.rank(symbol, low[alive])
+            b = self.before[symbol] + self.matrix.rank(symbol, high[alive])
+            good = (b - a >= at_least) & (symbol > 0)
+            alive = alive[good]
+            if not len(alive):
                 break
-        return which, low, high
-
-    def first_places(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The least text place of each suffix interval."""
-        if not len(low):
-            return low
-        own, back = np.unique(low, return_index=True)
-        cut = np.stack([own, high[back]], 1).ravel()
-        least = np.minimum.reduceat(np.append(self.places, 0), cut)[::2]
-        return least[np.searchsorted(own, low)]
+            low[alive], high[alive], length[alive] = a[good], b[good], k
+        return length, low, high
+
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        """Text places of index rows: steps to the left up to the next sampled place."""
+        out, steps = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        rows, todo = rows.copy(), np.arange(len(rows))
+        while len(todo):
+            here = self.marked.get(rows[todo])
+            done = todo[here]
+            out[done] = self.sample[self.marked.ones(rows[done])].astype(np.int64) * SAMPLED + steps[done]
+            todo = todo[~here]
+            symbol, before = self.matrix.at(rows[todo])
+            rows[todo] = self.before[symbol] + before
+            steps[todo] += 1
+        return out % self.n
+
+    def first_places(self, low: np.ndarray, high: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+        """The least text place of each range of rows; equal ranges are looked up once, ``block`` rows or so at a time."""
+        _, back, where = np.unique(low * (self.n + 1) + high, return_index=True, return_inverse=True)
+        own, sizes = low[back], high[back] - low[back]
+        least = np.empty(len(own), np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, "right")))
+            size = sizes[at:to]
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            rows = np.repeat(own[at:to] - first, size) + np.arange(int(size.sum()))
+            least[at:to] = np.minimum.reduceat(self.places(rows), first)
+            at = to
+        return least[where]

@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
+from ._rows import row_key, rows_of, without
 from ._store import Scratch, map_arrow
 from ._text import mix, prefix, span, words
 
@@ -53,7 +54,6 @@ SKETCH = 1 << 20
 BLOCKS = 64
 TILE_ROWS, TILE_BYTES = 2048, 8 << 20
 PAIRS, STEP_BYTES = 1 << 17, 4 << 20
-FILTER_WORDS = 1 << 17
 U64 = np.uint64
 
 
@@ -142,7 +142,7 @@ def _signed(values: list[int]) -> pa.Array:
 
 def with_row_key(docs: DataFrame) -> DataFrame:
     """row (a hash of the whole row that any later read gives again), doc_id, text."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    return docs.select(row_key().alias("row"), "doc_id", "text")
 
 
 def signatures(keyed: DataFrame, levels: Broadcast, percent: int) -> DataFrame:
@@ -341,20 +341,6 @@ def verified(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> It
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
 
 
-def rows_of(keyed: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows of ``keyed`` whose ``key`` (long) is in ``wanted`` (distinct keys of that name).
-
-    A bit table of ``FILTER_WORDS`` 64-bit words, a fixed size, goes to every executor
-    and only saves moving rows that nobody needs: it passes all when far more are wanted.
-    """
-    spread = F.xxhash64(key)
-    at, bit = F.pmod(spread, F.lit(FILTER_WORDS)), F.shiftrightunsigned(spread, 58).cast("int")
-    words = wanted.select(at.alias("__at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bit")).groupBy("__at").agg(F.bit_or("__bit").alias("__bits"))
-    flag = F.shiftrightunsigned("__bits", 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
-    near = keyed.join(F.broadcast(words), (at == F.col("__at")) & flag, "inner").select(*[keyed[c] for c in keyed.columns])
-    return near.join(wanted.select(key).hint("shuffle_hash"), key, "left_semi")
-
-
 class Sets:
     """Sorted arrays of classes, made once from the text of a row of each."""
 
@@ -556,13 +542,5 @@ def keep_representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows that repeat a kept row in doc_id and text go too, unless their text has no words.
     """
     found = join_sets(docs, percent).rows()
-    gone = found.where("not kept").select(F.col("row").alias("__gone"), F.col("doc_id").alias("__id")).distinct()
-    key = F.xxhash64("doc_id", "text")
-    left = docs.join(gone.hint("shuffle_hash"), (key == F.col("__gone")) & docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
-    again = found.where("kept and n_shingles > 0").groupBy("row", "doc_id").count().where("count > 1").select(F.col("row").alias("__again")).distinct()
-    if again.isEmpty():
-        return left
-    name = "__row" + "_" * max(len(c) for c in docs.columns)
-    keyed = left.withColumn(name, key)
-    once = keyed.join(again, keyed[name] == again["__again"], "left_semi").dropDuplicates([name, "doc_id"]).drop(name)
-    return keyed.join(again, keyed[name] == again["__again"], "left_anti").drop(name).unionByName(once)
+    repeated = found.where("kept and n_shingles > 0").groupBy("row", "doc_id").count().where("count > 1")
+    return without(docs, found.where("not kept").select("row", "doc_id").distinct(), repeated)

@@ -11,16 +11,23 @@ to the earliest one; all later ones are repeats as a whole.  The different snipp
 an anchor, each shown by its earliest copy, meet in one shard.
 
 *Shards.*  A shard takes whole anchor groups up to about ``SHARD_WORDS`` words, builds
-a compressed FM-index over them (``fm_index``) and streams its own windows through it:
-backward search gives each window's interval of occurrences, those of one occurrence
-are given up at the word where they became unique, and the earliest text place of the
-others tells which windows repeat an earlier one.  An anchor with more than
-``HOT_SNIPPETS`` different snippets is split: its windows are routed one by one, by
-their own hashes.
+a compressed FM-index over them (``fm_index``) and streams its own snippets through it:
+backward search gives the matching statistics (at each word, how many words up to it
+occur at least twice, 20 at the most); places that reach the threshold of 20 words are
+located, and those whose words occur earlier are reported as intervals.  An anchor with
+more than ``HOT_SNIPPETS`` different snippets is split: its windows are routed one by
+one, by their own hashes.
+
+*Identity.*  A snippet is told from others by its anchor, its own 64 bits and its length,
+so only snippets that share six words could be confused.  In a shard words are told apart
+by 64 bits; windows are equal when all 20 words are.
 
 Defined results: a null text has no words; documents of fewer than 20 words lose
-nothing; windows are judged on the input, not on what is left; doc_id is taken as
-unique; an empty table gives an empty result; other columns are ignored.
+nothing; windows are judged on the input, not on what is left; doc_id may repeat or be
+null: rows of one id are documents of their own in an order of their texts' hashes, rows
+without an id come last, rows equal in id and text are one document, whose result each
+gets; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -33,14 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import near, numbered, rows_of
 from ._store import Scratch, map_arrow
 from ._text import U64, Words, chunks, prefix, span, words
 from .fm_index import FmIndex
-from .jaccard_join import rows_of, whole_groups
+from .jaccard_join import whole_groups
 
 WINDOW, GRAM = 20, 6
 SHARD_WORDS, HOT_SNIPPETS = 1_000_000, 2_000
-SPANS = "doc_id long, start int, len int"
+SPANS = "doc long, start int, len int"
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
@@ -63,8 +71,8 @@ def _runs(found: Words) -> tuple[np.ndarray, ...] | None:
     return doc[start], start, stop - start, gram[anchor[start]], span(sums, start, stop + WINDOW - 1)
 
 
-def snippets(docs: DataFrame) -> DataFrame:
-    """h (anchor), s (snippet), doc_id, start (word), len (windows) of every run of windows."""
+def snippets(own: DataFrame) -> DataFrame:
+    """h (anchor), s (snippet), doc, start (word), len (windows) of every run of windows of (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,15 +82,15 @@ def snippets(docs: DataFrame) -> DataFrame:
                     doc, start, n, h, s = r
                     who = ids[found.rows.start + doc]
                     local = (start - found.bounds[doc]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(who.astype(np.int64)), pa.array(local), pa.array(n.astype(np.int32))], ["h", "s", "doc_id", "start", "len"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(who.astype(np.int64)), pa.array(local), pa.array(n.astype(np.int32))], ["h", "s", "doc", "start", "len"])
 
-    return map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), run, "h long, s long, doc_id long, start int, len int")
+    return map_arrow(own.select("doc", "text"), run, "h long, s long, doc long, start int, len int")
 
 
-def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: h, doc_id, start, len, hot.  Adds the words' hashes; hot snippets become one row per window."""
-    listed = wanted.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("h", "start", "len", "hot")).alias("found"))
-    texts = rows_of(docs, wanted.select("doc_id").distinct(), "doc_id")
+def _with_words(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: h, doc, start, len, hot.  Adds the words' hashes; hot snippets become one row per window."""
+    listed = wanted.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("h", "start", "len", "hot")).alias("found"))
+    texts = rows_of(own, wanted.select("doc").distinct(), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,10 +109,10 @@ def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         out.append((r["h"], a, n, found.hash[a : a + n + WINDOW - 1].tobytes()))
                 if out:
                     key, start, n, sequence = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([batch.column(0)[k].as_py()] * len(out), pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(sequence, pa.binary())], ["key", "doc_id", "start", "len", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([batch.column(0)[k].as_py()] * len(out), pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(sequence, pa.binary())], ["key", "doc", "start", "len", "words"])
 
-    joined = texts.join(listed.hint("shuffle_hash"), texts["doc_id"] == listed["__doc"]).select("doc_id", "text", "found")
-    return map_arrow(joined, run, "key long, doc_id long, start int, len int, words binary")
+    joined = texts.join(listed.hint("shuffle_hash"), texts["doc"] == listed["__doc"]).select("doc", "text", "found")
+    return map_arrow(joined, run, "key long, doc long, start int, len int, words binary")
 
 
 def index_and_search(doc: np.ndarray, start: np.ndarray, n: np.ndarray, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,12 +126,13 @@ def index_and_search(doc: np.ndarray, start: np.ndarray, n: np.ndarray, sequence
     text = np.zeros(int((length + 1).sum()), np.int64)
     place = np.repeat(first - np.concatenate([[0], np.cumsum(length)])[:-1], length) + np.arange(len(code))
     text[place] = code + 1
-    index = FmIndex(text, WINDOW)
+    index = FmIndex(text)
     owner = np.repeat(np.arange(len(n)), n)
     offset = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
     windows = first[owner] + offset
-    which, low, high = index.search(windows, WINDOW)
-    later = which[index.first_places(low, high) < windows[which]]
+    length, low, high = index.matching_statistics(text, windows + WINDOW, WINDOW)
+    which = np.flatnonzero(length >= WINDOW)
+    later = which[index.first_places(low[which], high[which]) < windows[which]]
     if not len(later):
         return doc[:0], start[:0], n[:0]
     at = start[owner[later]] + offset[later]
@@ -132,7 +141,7 @@ def index_and_search(doc: np.ndarray, start: np.ndarray, n: np.ndarray, sequence
 
 
 def repeats_between(rows: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, start, len of repeated windows among the different snippets of each key."""
+    """doc, start, len of repeated windows among the different snippets of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -140,9 +149,9 @@ def repeats_between(rows: DataFrame, n_words: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             table = pa.concat_tables(held)
-            d, s, n = index_and_search(*(table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "len")), table.column("words").to_pylist())
+            d, s, n = index_and_search(*(table.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "len")), table.column("words").to_pylist())
             if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "start", "len"])
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "start", "len"])
 
         for table, first in whole_groups(batches, 1):
             # A group of one snippet repeats nothing: windows of one anchor occurrence all differ.
@@ -161,20 +170,20 @@ def repeats_between(rows: DataFrame, n_words: int) -> DataFrame:
     return map_arrow(rows.repartition(shards, "key").sortWithinPartitions("key"), run, SPANS)
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start, len (words): the spans of words that repeat earlier windows; they may overlap."""
-    store = Scratch(docs.sparkSession, "substring-dedup")
-    docs = docs.select("doc_id", "text")
-    found = snippets(docs)
-    own = found.groupBy("h", "s").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"), F.min("len").alias("len"))
-    own = store.put(own, "snippets")
-    groups = store.put(own.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "groups")
-    copied = own.where("n > 1").select("s", "first")
-    whole = found.join(copied, "s").where("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start", "len")
-    wanted = store.put(own.join(groups, "h").select("h", "first.doc_id", "first.start", "len", (F.col("kinds") > HOT_SNIPPETS).alias("hot")), "wanted")
+def removed_spans(own: DataFrame, store: Scratch) -> DataFrame:
+    """doc, start, len (words): the spans of words of (doc, text) that repeat earlier windows; they may overlap."""
+    found = snippets(own)
+    kinds = found.groupBy("h", "s", "len").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
+    kinds = store.put(kinds.select("h", "s", "len", "first.doc", "first.start", "n"), "snippets")
+    groups = store.put(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "groups")
+    copied = store.put(kinds.where("n > 1").select("h", "s", "len", F.col("doc").alias("__doc"), F.col("start").alias("__start")), "copied")
+    wanted = store.put(near(kinds, groups, "h").join(groups, "h").select("h", "doc", "start", "len", (F.col("kinds") > HOT_SNIPPETS).alias("hot")), "wanted")
+    store.drop(kinds, groups)
+    whole = near(found, copied, "s").join(copied, ["h", "s", "len"]).where("doc <> __doc or start <> __start").select("doc", "start", "len")
     n_words = wanted.agg(F.sum(F.col("len") + WINDOW)).first()[0] or 0
-    between = store.put(repeats_between(_with_words(docs, wanted), n_words), "between")
-    return whole.unionByName(between).select("doc_id", "start", (F.col("len") + (WINDOW - 1)).alias("len"))
+    between = store.put(repeats_between(_with_words(own, wanted), n_words), "between")
+    store.drop(wanted)
+    return whole.unionByName(between).select("doc", "start", (F.col("len") + (WINDOW - 1)).alias("len"))
 
 
 def _without_spans(docs: DataFrame) -> DataFrame:
@@ -206,9 +215,10 @@ def _without_spans(docs: DataFrame) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for each row of ``docs``."""
-    docs = docs.select("doc_id", "text")
-    spans = removed_spans(docs).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("start", "len")).alias("spans"))
-    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == spans["__doc"], "left").select("doc_id", "text", "spans")
+    store = Scratch(docs.sparkSession, "substring-dedup")
+    rows, own = numbered(docs, store)
+    spans = removed_spans(own, store).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "len")).alias("spans"))
+    joined = rows.join(spans.hint("shuffle_hash"), rows["doc"] == spans["__doc"], "left").select("doc_id", "text", "spans")
     return _without_spans(joined)
 
 
