@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from twinlens.llm import _text, exact_dedup, jaccard_join, line_dedup, substring_dedup
 from twinlens.llm._graph import components
@@ -54,14 +55,31 @@ def test_chunks_rebuild_the_text(spark):
         assert all(len(c) <= exact_dedup.MAX_CHUNK for c in row.c)
 
 
-def test_chunk_identifiers_are_verified(make, monkeypatch, texts):
-    from pyspark.sql import functions as F
-
+@pytest.mark.parametrize("kinds", [1, 256])
+def test_chunk_identifiers_are_verified(make, monkeypatch, texts, kinds):
+    """Identifiers cut to a few values collide everywhere; ranks keep the chunks apart."""
     real = exact_dedup._identifier
-    monkeypatch.setattr(exact_dedup, "_identifier", lambda c, salt: F.lit(1).cast("long") if salt == 0 else real(c, salt))
-    docs = make(texts[:20])
-    assert not exact_dedup.collisions(docs.select("doc_id", "text"), 0).isEmpty()
-    assert as_dict(exact_dedup.duplicate_groups(docs)) == exact_expected(texts[:20])
+    monkeypatch.setattr(exact_dedup, "_identifier", lambda c: F.struct(F.pmod(real(c)["a"], F.lit(kinds)).alias("a"), F.lit(0).alias("b")))
+    docs = make(texts)
+    assert not exact_dedup.ranked_chunks(docs.select("doc_id", "text")).isEmpty()
+    assert as_dict(exact_dedup.duplicate_groups(docs)) == exact_expected(texts)
+
+
+def test_exact_dedup_of_repeated_and_null_ids(spark, texts):
+    """Every row is a document of its own; one row of each group stays."""
+    ids = [None if k % 5 == 0 else k % 17 for k in range(len(texts))]
+    rows = [(i, t, 1, "a") for i, t in zip(ids, texts)] + [(2, texts[9], 2, "b")] * 3 + [(None, "lone", 3, "c")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid int, row string")
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[SPACE.sub("", t or "")].append((-len(t or ""), i is None, i or 0, i))
+    got = exact_dedup.duplicate_groups(docs).collect()
+    want = Counter((i, min(groups[n])[3], len(groups[n]), hashlib.sha256(n.encode()).hexdigest()) for i, n in ((i, SPACE.sub("", t or "")) for i, t, *_ in rows))
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(hashlib.sha256(n.encode()).hexdigest() for n in groups)
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert Counter(SPACE.sub("", r.text or "") for r in kept.collect()) == Counter(list(groups))
 
 
 @pytest.mark.parametrize("batches", [1, 5])
@@ -88,25 +106,51 @@ def test_substring_dedup_splits_hot_anchors(make, texts, monkeypatch):
     assert got == substring_dedup.brute_force(list(enumerate(texts)))
 
 
+def test_substring_dedup_of_repeated_and_null_ids(spark, texts):
+    """Rows of one id are documents of their own; those equal in id and text are one."""
+    ids = [None if k % 6 == 0 else k % 11 for k in range(len(texts))]
+    rows = [(i, t, "x", 1) for i, t in zip(ids, texts)] + [(3, texts[8], "y", 2)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, doc int")
+    keys = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).distinct().collect()
+    order = sorted(keys, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.row))
+    want = substring_dedup.brute_force([(k, r.text) for k, r in enumerate(order)])
+    of = {(r.doc_id, r.text): want[k] for k, r in enumerate(order)}
+    got = Counter(tuple(r) for r in substring_dedup.kept_sha256(substring_dedup.dedup_substrings(docs)).collect())
+    assert got == Counter((r[0], *of[r[0], r[1]]) for r in rows)
+
+
+def test_substring_dedup_with_few_anchors(make, texts, monkeypatch):
+    """Anchors cut to eight bits only make larger groups."""
+    real = substring_dedup._runs
+    monkeypatch.setattr(substring_dedup, "_runs", lambda found: None if (r := real(found)) is None else (*r[:3], r[3] & np.uint64(255), r[4]))
+    got = as_dict(substring_dedup.kept_sha256(substring_dedup.dedup_substrings(make(texts))))
+    assert got == substring_dedup.brute_force(list(enumerate(texts)))
+
+
 def test_substring_dedup_empty(make):
     assert substring_dedup.dedup_substrings(make([])).collect() == []
     assert as_dict(substring_dedup.dedup_substrings(make([None, "a b"]))) == {0: (0, 0, ""), 1: (2, 0, "a b")}
 
 
 def test_fm_index_against_scanning():
+    """Matching statistics and located places against scans of the text."""
     r = np.random.default_rng(3)
     text = r.integers(1, 5, 400)
-    text[[50, 130, 399]] = 0
-    index = FmIndex(text, 8)
-    order = suffix_order(text, 400)
-    assert [tuple(text[i : i + 20]) for i in order] == sorted(tuple(text[i : i + 20]) for i in range(400))
-    starts = np.array([i for i in range(392) if 0 not in text[i : i + 8]])
-    which, low, high = index.search(starts, 8, at_least=1)
-    assert list(which) == list(range(len(starts)))
-    first = index.first_places(low, high)
-    for k, s in enumerate(starts):
-        same = [i for i in range(393) if (text[i : i + 8] == text[s : s + 8]).all()]
-        assert (high[k] - low[k], first[k]) == (len(same), same[0])
+    text[[0, 50, 130, 399]] = 0
+    index = FmIndex(text)
+    circle = np.concatenate([text, text])
+    assert [tuple(circle[i : i + 400]) for i in suffix_order(text)] == sorted(tuple(circle[i : i + 400]) for i in range(400))
+    ends = np.arange(1, 400)
+    length, low, high = index.matching_statistics(text, ends, 8)
+    held = {n: Counter(tuple(text[i : i + n]) for i in range(401 - n)) for n in range(1, 9)}
+    for end, n, a, b in zip(ends, length, low, high):
+        good = [k for k in range(1, min(8, end) + 1) if 0 not in text[end - k : end] and held[k][tuple(text[end - k : end])] > 1]
+        assert n == max(good, default=0)
+        if n:
+            assert sorted(index.places(np.arange(a, b))) == [i for i in range(401 - n) if (text[i : i + n] == text[end - n : end]).all()]
+    some = np.flatnonzero(length)
+    first = index.first_places(low[some], high[some], block=7)
+    assert list(first) == [min(index.places(np.arange(low[k], high[k]))) for k in some]
 
 
 def test_wavelet_rank():

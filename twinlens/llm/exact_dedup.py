@@ -1,31 +1,36 @@
 """Exact deduplication by content-defined chunk recipes, with DataFrame functions only.
 
 The normalised text (white space deleted) is cut where its content says so, each
-chunk becomes an identifier, and a document becomes the ordered list of its
-identifiers (its recipe).  Identifiers are verified over the whole corpus: every
-distinct chunk must have an identifier of its own.  Long texts move at most once
-(their distinct chunks, combined on the map side); grouping and choosing the row
-that stays move recipes only.
-
-Defined results: a null text counts as empty; empty texts are equal to each
-other (their recipe is the empty list); rows with equal ``doc_id`` count as rows
-of one document each; an empty table gives an empty result; other columns pass
-by untouched, whatever they are called.
+chunk becomes an identifier of 128 bits, and a document becomes the ordered list of its
+identifiers (its recipe).  Identifiers are verified over the whole corpus: of distinct
+chunks that share one, each gets a rank, and documents that hold such chunks add the
+ranks to their recipe, so equal recipes are equal texts.  Long texts move at most once
+(their distinct chunks, combined on the map side); grouping and choosing the row that
+stays move recipes only.
+
+Defined results: a null text counts as empty; empty texts are equal to each other (their
+recipe is the empty list); doc_id may repeat or be null: of equal texts with most code
+points the row of the smallest doc_id stays (null last), then that of the least hash of
+id and text, and of rows equal in both any one, so that one row of each group stays; an
+empty table gives an empty result; other columns pass by untouched, whatever they are
+called.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._rows import row_key, without
 from ._store import Scratch
 
 #: White space that is deleted before texts are compared.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Chunks have at least MIN_CHUNK characters and at most MAX_CHUNK; after the minimum, a
-#: chunk ends behind the first vowel-consonant-vowel-consonant-vowel run of these letters.
+#: chunk ends behind the first vowel-consonant-vowel-consonant run of these letters or
+#: the first punctuation mark of any script.
 MIN_CHUNK, MAX_CHUNK = 384, 4096
-CUT = "(?<=[aeiou][bcdfghlmnprst][aeiou][bcdfghlmnprst])"
+CUT = r"(?<=[aeiou][bcdfghlmnprst][aeiou][bcdfghlmnprst]|\p{P})"
 
 
 def normalised(text: Column) -> Column:
@@ -38,58 +43,76 @@ def chunked(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(pattern), F.lit(0))
 
 
-def _identifier(chunk: Column, salt: int) -> Column:
-    return F.xxhash64(F.lit(salt), chunk)
+def _identifier(chunk: Column) -> Column:
+    return F.struct(F.xxhash64(F.lit(0), chunk).alias("a"), F.xxhash64(F.lit(1), chunk).alias("b"))
 
 
-def recipes(docs: DataFrame, salt: int) -> DataFrame:
-    """doc_id, n_chars, text_sha256 and the ordered identifiers of each document; no shuffle."""
-    norm = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), normalised(F.col("text")).alias("norm"))
+def recipes(docs: DataFrame) -> DataFrame:
+    """uid, row, doc_id, n_chars, text_sha256 and the ordered identifiers of each document; no shuffle.
+
+    uid numbers the rows of one run; it is fixed by writing the table.
+    """
+    norm = docs.select(row_key().alias("row"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), normalised(F.col("text")).alias("norm"))
     return norm.select(
+        F.monotonically_increasing_id().alias("uid"),
+        "row",
         "doc_id",
         "n_chars",
         F.sha2("norm", 256).alias("text_sha256"),
-        F.transform(chunked(F.col("norm")), lambda c: _identifier(c, salt)).alias("recipe"),
+        F.transform(chunked(F.col("norm")), _identifier).alias("recipe"),
     )
 
 
-def collisions(docs: DataFrame, salt: int) -> DataFrame:
-    """Identifiers that stand for more than one chunk content; each distinct chunk is moved once."""
-    chunk = docs.select(F.explode(chunked(normalised(F.col("text")))).alias("chunk"))
-    distinct = chunk.select(_identifier(F.col("chunk"), salt).alias("id"), "chunk").distinct()
-    return distinct.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+def ranked_chunks(docs: DataFrame) -> DataFrame:
+    """id, chunk, rank: the distinct chunks that share their identifier with a lesser one; each distinct chunk is moved once."""
+    chunk = docs.select(F.explode(chunked(normalised(F.col("text")))).alias("chunk")).select(_identifier(F.col("chunk")).alias("id"), "chunk").distinct()
+    several = chunk.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("chunk")) - 1
+    return chunk.join(several.select("id"), "id", "left_semi").withColumn("rank", rank).where("rank > 0")
 
 
-def duplicate_groups(docs: DataFrame, salts: range = range(8)) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def _with_ranks(made: DataFrame, docs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Adds ranks: place and rank of each of a document's chunks that is in ``ranked``."""
+    norm = docs.select(row_key().alias("row"), "doc_id", normalised(F.col("text")).alias("norm"))
+    chunk = norm.select("row", F.sha2("norm", 256).alias("text_sha256"), F.posexplode(chunked(F.col("norm"))).alias("place", "chunk"))
+    held = chunk.withColumn("id", _identifier(F.col("chunk"))).join(ranked, ["id", "chunk"])
+    ranks = held.groupBy("row", "text_sha256").agg(F.array_sort(F.collect_set(F.struct("place", "rank"))).alias("ranks"))
+    return made.join(ranks, ["row", "text_sha256"], "left")
 
-    Of equal texts the one with most code points in the original text stays, then
-    the smallest doc_id.  A salt under which two chunks share an identifier is
-    given up for the next one, so equal recipes mean equal texts.
-    """
-    spark = docs.sparkSession
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """uid, row, doc_id, text_sha256 of each row, keep (of the row that stays) and group_size of its group."""
     docs = docs.select("doc_id", "text")
-    for salt in salts:
-        if collisions(docs, salt).isEmpty():
-            break
+    store = Scratch(docs.sparkSession, "exact-dedup")
+    ranked = store.put(ranked_chunks(docs), "ranked")
+    made = store.put(recipes(docs), "recipes")
+    if ranked.isEmpty():
+        made = made.withColumn("ranks", F.lit(None).cast("array<struct<place:int,rank:int>>"))
     else:
-        raise RuntimeError("chunk identifiers collide under every salt")
-    store = Scratch(spark, "exact-dedup")
-    made = store.put(recipes(docs, salt), "recipes")
-    sized = made.groupBy("recipe", "n_chars").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    groups = sized.groupBy("recipe").agg(
-        F.max_by("first", F.struct(F.col("n_chars"), -F.col("first"))).alias("keep_id"), F.sum("n").alias("group_size")
-    )
+        made = store.put(_with_ranks(made, docs, ranked), "ranked-recipes")
+    made = made.withColumn("ranks", F.coalesce("ranks", F.array().cast("array<struct<place:int,rank:int>>")))
+    order = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("none"), "doc_id", "row", "uid")
+    groups = made.groupBy("recipe", "ranks").agg(F.min(order).alias("keep"), F.count("*").alias("group_size"))
     # Written first, so that the join stands alone on its exchanges and a hot recipe can be split.
-    return made.join(store.put(groups, "groups"), "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return made.join(store.put(groups, "groups"), ["recipe", "ranks"])
+
+
+def duplicate_groups(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of equal texts the one with most code points in the original text stays, then
+    the smallest doc_id.
+    """
+    return _grouped(docs).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text stays, with all their columns.
+    """The rows of ``docs`` whose text stays, with all their columns: one row of each group.
 
-    Rows that share a doc_id with the row that stays are one row each; only rows
-    of dropped texts go; a row without a doc_id stays.  Ids that go are few next to the texts, so they are what
-    is spread: the text side is hashed once on doc_id.
+    Rows that go are few next to the texts, so their hashes are what is spread: the
+    text side is hashed once.
     """
-    gone = duplicate_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
+    found = _grouped(docs)
+    stays = (F.col("row") == F.col("keep.row")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))
+    repeated = found.where(stays).groupBy("row", "doc_id").count().where("count > 1")
+    return without(docs, found.where(~stays).select("row", "doc_id").distinct(), repeated)
