@@ -157,7 +157,7 @@ def trees():
 def test_held_out_pages(trees):
     exact = 0
     for page in html_pages.pages(200, 77):
-        nodes, blocks = html_extract.parse(page)
+        nodes, blocks = html_extract.parse(page, html_pages.page_label)
         label = [n.label for n in nodes]
         for k in range(1, len(nodes)):
             label[k] = label[nodes[k].parent] if label[k] < 0 else label[k]
@@ -202,3 +202,41 @@ def test_decoding_never_keeps_below_a_dropped_node():
     assert list(kept) == [True, False, False, False, False]
     kept = html_extract.decode(nodes, np.array([1.0, -2.0, 2.0, 3.0, -1.0]))
     assert list(kept) == [True, True, True, True, False]
+
+
+ARTICLE = "<article><h1>Title of it</h1><p>{}</p><p>Second paragraph, with some more words in it. It goes on for a while.</p></article>"
+MENU = "<nav class=menu><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>"
+FOOT = "<footer class=footer><p><a href=/c>Imprint</a> &copy; us</p></footer>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("Plain &amp; simple,\n  two&nbsp;words &#x41;&lt;b&gt;.", "Plain & simple, two words A<b>."),
+        ("Odd <b data-y='top'>labels</b> <i data-y>are</i> <u data-y=''>text</u>.", "Odd labels are text."),
+        ("\u0130" * 30 + "<script>var x = '</p>';</script> after the script.", "\u0130" * 30 + " after the script."),
+        ("With <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object data=a>a fallback</object>.", "With x=1 and a fallback."),
+        ("Open <noscript> and <select> and <iframe> do not end it.", "Open and"),
+        ("Styles <style>p{}</style>and <textarea>typed</textarea>go, <template><p>so</p></template>too.", "Styles and go, too."),
+        ("Attributes <a title='a > b' class=\"x'y\" href=>with</a> signs < 3 & more.", "Attributes with signs < 3 & more."),
+        ("<xmp>if (a < b) &amp; <p></xmp>", "if (a < b) &amp; <p>"),
+    ],
+)
+def test_hand_written_pages(trees, inner, text):
+    """What is in the article stays, whatever it is made of; what is around it goes."""
+    got = html_extract.main_texts(["<html><body>" + MENU + ARTICLE.format(inner) + FOOT + "</body></html>"], trees)[0]
+    lines = got.split("\n")
+    assert lines[0] == "Title of it" and lines[-1].startswith("Second paragraph")
+    assert lines[1].startswith(text) if inner.startswith("Open") else "\n".join(lines[1:-1]) == text
+    assert "Home" not in got and "Imprint" not in got
+
+
+def test_odd_pages(spark, trees):
+    """Nulls, empties, repeated rows, pages without markup, long pages, attributes of every kind."""
+    long = ARTICLE.format("word " * 200_000)
+    found = [None, "", "   ", "<", "<p", "no markup at all", "<p data-y=top>x</p>", "</p></div>", "<!-- open", "<div " * 500, long, long]
+    docs = spark.createDataFrame([(k, None, h, "t") for k, h in enumerate(found)], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html_extract.extract(docs, trees).collect()}
+    assert len(got) == len(found) and all(r.n_chars == len(r.text) for r in got.values())
+    assert [got[k].text for k in (0, 1, 2)] == ["", "", ""] and got[5].text in ("", "no markup at all")
+    assert got[10].text == got[11].text and got[10].n_chars > 900_000

@@ -14,16 +14,17 @@ blocks (cut at block elements; ``br`` is white space) are joined in page order b
 
 Defined results: null or empty html gives an empty text; unclosed and stray tags are
 closed as browsers do for paragraphs, list items and table cells; comments, scripts,
-styles, titles, templates, drawings and lists of options never hold text; a drawing or
-list of options that is not closed ends where the next block begins or ends; formulas and
-the fallback of objects are text; an empty table gives an empty result.
+styles, titles, templates, drawings, lists of options and what stands in for scripts and
+frames never hold text; a drawing or list of options that is not closed ends where the
+next block begins or ends; formulas, the fallback of objects and verbatim text are text; no attribute but class, id, role, itemprop, hidden and style is read, whatever it
+holds; rows may repeat; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from ._store import map_arrow
 from .gbt import BoostedTrees
-from .html_pages import TOKENS, pages
+from .html_pages import TOKENS, page_label, pages
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -43,7 +44,11 @@ TAG = re.compile(
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPLIT = re.compile(r"[^a-z0-9]+")
 #: Kinds of elements.
-RAW = frozenset("script style textarea title noscript iframe xmp noframes noembed".split())
+RAW = frozenset("script style textarea title noscript iframe noframes noembed".split())
+#: Of these, the ones that go on to the end of the page where they are not closed; of the others the tag is ignored then.
+OPEN_ENDED = frozenset("script style textarea title template".split())
+#: Shown as it stands: no tags or references in it.
+VERBATIM = "xmp"
 #: Skipped with the elements in them; all but template end at a block, too.
 SKIPPED = frozenset("template svg select annotation annotation-xml".split())
 BREAKS = "p article section main header footer nav aside form h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table tr td th blockquote pre hr body html"
@@ -60,7 +65,7 @@ EXTRACTED = "page_id long, url string, text string, n_chars long"
 @lru_cache(None)
 def _bounds(name: str) -> re.Pattern:
     """End tags of a raw or skipped element; of a skipped one also start tags of its kind, and tags of blocks that end it."""
-    if name in RAW:
+    if name in RAW or name == VERBATIM:
         return re.compile(rf"</{name}(?=[\s/>])", re.I | re.A)
     breaks = {"template": "", "select": BREAKS}.get(name, f"{BREAKS} div")
     other = f"|(?P<block></?(?:{'|'.join(breaks.split())})(?=[\\s/>]))" if breaks else ""
@@ -93,9 +98,9 @@ class Node:
         self.own = self.text_chars = self.link_chars = self.links = self.elements = self.marks = self.place = 0
 
 
-def _groups(attrs: str) -> tuple[list[int] | None, int, bool]:
-    """Attribute tokens by group, the training label, and whether the element is hidden."""
-    out, label, hidden = None, -1, False
+def _groups(attrs: str) -> tuple[list[int] | None, bool]:
+    """Attribute tokens by group, and whether the element is hidden."""
+    out, hidden = None, False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id", "role", "itemprop"):
@@ -105,22 +110,23 @@ def _groups(attrs: str) -> tuple[list[int] | None, int, bool]:
                 if (k := TOKEN_GROUP.get(token)) is not None:
                     out = out or [0] * len(GROUPS)
                     out[k] += 1
-        elif name == "data-y":
-            label = int(value)
         elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower()):
             hidden = True
-    return out, label, hidden
+    return out, hidden
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block elements in page order (parents first), and the blocks of text with their element."""
+def parse(page: str, label: Callable[[str], int] | None = None) -> tuple[list[Node], list[tuple[int, str]]]:
+    """Block elements in page order (parents first), and the blocks of text with their element.
+
+    ``label``: reads the labels of composed pages from attributes, for fitting only.
+    """
     nodes, blocks, stack = [Node("body", -1, 0)], [], [0]
     piece: list[str] = []
     at, in_link = 0, 0
 
-    def add(raw: str) -> None:
+    def add(raw: str, coded: bool = True) -> None:
         if raw:
-            text = html.unescape(raw) if "&" in raw else raw
+            text = html.unescape(raw) if coded and "&" in raw else raw
             piece.append(text)
             if (n := len(text)) and not text.isspace():
                 node = nodes[stack[-1]]
@@ -149,7 +155,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             stop = _after(page, name, at)
             if stop >= 0:
                 at = stop
-            elif name in RAW or name == "template":
+            elif name in OPEN_ENDED:
                 at = len(page)
                 break
             else:
@@ -157,6 +163,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if name == "head":
             continue
+        if name == VERBATIM:
+            cut()
+            m = None if end else _bounds(name).search(page, at)
+            if m:
+                add(page[at : m.start()], False)
+                cut()
+                close = page.find(">", m.end())
+                at = close + 1 if close >= 0 else len(page)
+            continue
         if name in INLINE:
             if name == "br":
                 piece.append(" ")
@@ -175,9 +190,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
             continue
         if name in ("html", "body"):
-            groups, label, _ = _groups(attrs)
-            if label >= 0:
-                nodes[0].label = label
+            if label:
+                nodes[0].label = label(attrs)
             continue
         if nodes[stack[-1]].tag == "p" and len(stack) > 1:
             stack.pop()
@@ -193,7 +207,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if name in ("hr",):
             continue
         node = Node(name, stack[-1], len(stack))
-        node.groups, node.label, hidden = _groups(attrs)
+        node.groups, hidden = _groups(attrs)
+        if label:
+            node.label = label(attrs)
         if hidden:
             node.groups = node.groups or [0] * len(GROUPS)
             node.groups[GROUPS.index("notice")] += 2
@@ -262,7 +278,7 @@ def fit(n_pages: int = 1200, seed: int = 11) -> BoostedTrees:
     """Trees fitted on ``n_pages`` composed pages."""
     x, y = [], []
     for page in pages(n_pages, seed):
-        nodes, _ = parse(page)
+        nodes, _ = parse(page, page_label)
         labels = [n.label for n in nodes]
         for k in range(1, len(nodes)):
             if labels[k] < 0:

@@ -10,6 +10,7 @@ in ``data-y`` whether it (still) holds main text.
 from __future__ import annotations
 
 import random
+import re
 
 #: Class and id tokens that pages commonly use for each kind of part.
 TOKENS = {
@@ -28,6 +29,12 @@ TOKENS = {
 _SYLLABLES = "an er th in ou re on at es ed nd to st en or ti hi as te et ng of al de se le sa si ar ve ra ld ur".split()
 
 
+def page_label(attrs: str) -> int:
+    """The label in a composed element's attributes, -1 without one."""
+    found = re.search(r'data-y="([01])"', attrs)
+    return int(found[1]) if found else -1
+
+
 class Composer:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
