@@ -2,10 +2,12 @@ import hashlib
 import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from twinlens.llm import bpe, mixing, quality_rules
 from twinlens.llm.queries import vocabulary
@@ -125,41 +127,77 @@ def test_budgets_go_to_siblings_before_ancestors():
     assert got == {("a", "x", "1"): 10.0, ("a", "x", "2"): 40.0, ("a", "y", "1"): 50.0, ("b", "x", "1"): 100.0}
 
 
-def mixture_expected(spark, rows, plan):
-    from pyspark.sql import functions as F
-
-    order = {}
-    for e in range(plan.max_epochs):
-        for r in spark.createDataFrame([(k,) for k, *_ in rows], "doc_id long").select("doc_id", mixing._order(F.lit(e), plan.seed).alias("o")).collect():
-            order[e, r.doc_id] = r.o
-    paths = {r[0]: tuple(r["__path"]) for r in spark.createDataFrame([(k, s) for k, _, _, s in rows], "doc_id long, source string").select("doc_id", F.array(mixing.default_domain(), F.lit("")).alias("__path")).collect()}
+def chained_hash(*values):
+    """Spark's xxhash64 of several values: each is hashed with the hash before it as the seed; nulls are passed over."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, np.int32) else "<q", v)
+            h = xxhash.xxh64(raw, seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_fill(budget, children):
+    """Water level by bisection: child k gets min(supply, weight * level)."""
+    if sum(s for w, s in children if w > 0) <= budget:
+        return [s if w > 0 else 0.0 for w, s in children]
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(min(s, w * mid) for w, s in children) < budget:
+            low = mid
+        else:
+            high = mid
+    return [min(s, w * low) for w, s in children]
+
+
+def mixture_expected(rows, plan):
+    """rows: (doc_id, text, lang, source), repeated and null ids included; a row is known by its place in the list."""
     leaf = defaultdict(list)
-    for k, text, lang, source in rows:
-        leaf[paths[k][0], lang or "", source or ""].append((k, len(WORD.findall(text or ""))))
-    sums = {p: float(sum(n for _, n in v)) for p, v in leaf.items()}
+    for k, (doc, text, lang, source) in enumerate(rows):
+        digits = re.search(r"([0-9]{1,9})$", source or "")
+        path = (f"domain{int(digits[1]) % 4 if digits else 0}", lang or "", source or "")
+        leaf[path].append((k, len(WORD.findall(text or "")), doc, chained_hash(doc, text)))
+    weight = lambda path: plan.weights.get(path, 1.0)
+    allowed = {p: all(weight(p[:k]) > 0 for k in (1, 2, 3)) for p in leaf}
+    supply = lambda prefix: sum(n * plan.max_epochs for p, found in leaf.items() if p[: len(prefix)] == prefix and allowed[p] for _, n, *_ in found)
+    budget = {(): min(plan.share * sum(n for found in leaf.values() for _, n, *_ in found), supply(()))}
+    for depth in range(3):
+        for node in {p[:depth] for p in leaf}:
+            children = sorted({p[: depth + 1] for p in leaf if p[:depth] == node})
+            budget |= dict(zip(children, plain_fill(budget[node], [(weight(c), supply(c)) for c in children])))
     out = Counter()
-    for p, budget in mixing.budgets(sums, plan, plan.share * sum(sums.values())).items():
+    for p, found in leaf.items():
+        total, left = sum(n for _, n, *_ in found), budget[p]
+        if not allowed[p] or not total:
+            continue
         for e in range(plan.max_epochs):
-            at = 0
-            for k, n in sorted(leaf[p], key=lambda x: (order[e, x[0]], x[0])):
-                if at < budget - 1e-6 * max(sums[p], 1):
+            at, taken = 0, {}
+            for o, n, k in sorted((chained_hash(np.int32(plan.seed), np.int32(e), doc, row), n, k) for k, n, doc, row in found):
+                taken.setdefault(o, left >= total * (1 - 1e-9) or at < left - 1e-6 * total)
+                if taken[o]:
                     out[k, e] += 1
                 at += n
-            budget -= sums[p]
+            left -= total
     return out
 
 
 @pytest.mark.parametrize("plan", [mixing.Plan(share=0.5), mixing.Plan(share=1.5, max_epochs=3, weights={("domain1",): 3.0, ("domain2", "en"): 0.0}), mixing.Plan(share=9.0, max_epochs=2)])
-def test_mixture(spark, make, texts, plan):
-    docs = make(texts)
-    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+@pytest.mark.parametrize("odd", [False, True])
+def test_mixture(spark, make, texts, plan, odd):
+    """Against plain Python; odd: ids that repeat or are null, equal rows, and columns of every name that the operator uses."""
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in make(texts).collect()]
+    if odd:
+        rows = [(None if k % 7 == 0 else 5 if k % 3 else k, *r[1:]) for k, r in enumerate(rows)] + rows[8:12] * 2
+    names = "__path __tokens __times __epoch times epoch path tokens row all whole cut".split()
+    docs = spark.createDataFrame([(*r, k, *["x"] * len(names)) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in names))
     chosen = mixing.select_mixture(docs, plan)
-    assert chosen.columns[: len(docs.columns)] == docs.columns
-    got = Counter((r.doc_id, r["__epoch"]) for r in chosen.collect())
-    want = mixture_expected(spark, rows, plan)
-    sized = {k for k, t, *_ in rows if WORD.search(t or "")}
-    # Texts without words weigh nothing; whether one at the very end of a prefix is in it makes no difference to the budget.
-    assert {x: n for x, n in got.items() if x[0] in sized} == {x: n for x, n in want.items() if x[0] in sized}
+    assert chosen.columns == [*docs.columns, *mixing.added_names(docs)]
+    got = Counter((r.n_chars, r[mixing.added_names(docs)[2]]) for r in chosen.collect())
+    assert got == mixture_expected(rows, plan)
+    taken, whole = (sum(n * len(WORD.findall(rows[k][1] or "")) for (k, _), n in x.items()) for x in (got, Counter((k, 0) for k in range(len(rows)))))
+    if plan.share == 0.5 and not odd:
+        assert 0.5 * whole <= taken + 1e-6 and taken <= 0.5 * whole + 20 * 9000
 
 
 def test_mixture_is_seeded_and_handles_empty(make, texts):

@@ -14,15 +14,17 @@ them are under what is left (so a leaf passes its budget by less than one row).
 
 *Scale.*  Leaf totals are one row per leaf of the tree; budgets are worked out from
 them on the driver, guarded by ``max_leaves``.  A prefix is found without putting a
-leaf into one task: token sums of ``BUCKETS`` ranges of the seeded order say in which
-range the budget ends, and only that range's rows are added up one by one.  Selecting
-is then a comparison with one cut per leaf; texts are never moved.
+leaf into one task: token sums of 2**``BUCKET_BITS`` ranges of the seeded order say in which
+range the budget ends, those of as many ranges of that range narrow it down again, and
+only the rows of the last one are added up one by one.  Selecting is then a comparison
+with one cut per leaf; texts are never moved.
 
 Defined results: null lang or source count as a leaf named by the empty text; null or
-empty texts have 0 tokens and belong to a prefix as its order has them; ties of the
-seeded order are broken by doc_id; leaves of weight 0 are never taken; a budget beyond
-what all leaves can supply takes everything ``max_epochs`` times; an empty table gives
-an empty result; other columns pass by untouched.
+empty texts have 0 tokens and belong to a prefix as its order has them; the order is by
+a hash of doc_id and text, so doc_id may repeat or be null, and rows equal in both are
+taken together, as one row; leaves of weight 0 are never taken; a budget beyond what all
+leaves can supply takes everything ``max_epochs`` times; an empty table gives an empty
+result; other columns pass by untouched, whatever they are called.
 """
 
 from __future__ import annotations
@@ -33,11 +35,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._rows import row_key
 from ._store import Scratch
 from .quality_rules import words
 
 LEVELS = ("domain", "language", "source")
-BUCKETS = 1024
+#: Ranges of the order in a round, as bits, and rounds.
+BUCKET_BITS, ROUNDS = 10, 2
 
 
 @dataclass(frozen=True)
@@ -99,52 +103,63 @@ def budgets(leaves: dict[tuple[str, ...], float], plan: Plan, total: float) -> d
 
 
 def _order(epoch: Column | int, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.lit(epoch) if isinstance(epoch, int) else epoch, "doc_id")
+    return F.xxhash64(F.lit(seed), F.lit(epoch) if isinstance(epoch, int) else epoch, "doc_id", "row")
+
+
+def added_names(docs: DataFrame) -> tuple[str, str, str]:
+    """Names of the columns that ``select_mixture`` adds: __path, __tokens and __epoch, with more underscores where ``docs`` has them."""
+    mark = "__"
+    while {f"{mark}path", f"{mark}tokens", f"{mark}epoch"} & set(docs.columns):
+        mark += "_"
+    return f"{mark}path", f"{mark}tokens", f"{mark}epoch"
 
 
 def select_mixture(docs: DataFrame, plan: Plan = Plan(), domain: Column | None = None) -> DataFrame:  # noqa: B008
-    """The rows of ``docs`` once per epoch they are taken in, with __path (the leaf), __tokens and __epoch added."""
+    """The rows of ``docs`` once per epoch they are taken in, with their leaf, tokens and epoch added (see ``added_names``)."""
     store = Scratch(docs.sparkSession, "mixing")
     path = F.array(domain if domain is not None else default_domain(), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
-    own = docs.select("doc_id", path.alias("__path"), F.size(words(F.col("text"))).cast("long").alias("__tokens"))
-    rows = store.put(own, "tokens")
-    sums = rows.groupBy("__path").agg(F.sum("__tokens").alias("tokens")).limit(plan.max_leaves + 1).collect()
+    tokens = F.size(words(F.col("text"))).cast("long")
+    rows = store.put(docs.select("doc_id", row_key().alias("row"), path.alias("path"), tokens.alias("tokens")), "tokens")
+    sums = rows.groupBy("path").agg(F.sum("tokens").alias("tokens")).limit(plan.max_leaves + 1).collect()
     if len(sums) > plan.max_leaves:
         raise ValueError(f"the tree has more than {plan.max_leaves} leaves")
-    leaves = {tuple(r["__path"]): float(r["tokens"]) for r in sums}
+    leaves = {tuple(r["path"]): float(r["tokens"]) for r in sums}
     given = budgets(leaves, plan, plan.share * sum(leaves.values()))
     table = []
-    for leaf, tokens in leaves.items():
-        whole = min(int(given[leaf] // tokens), plan.max_epochs) if tokens else 0
-        left = given[leaf] - whole * tokens if tokens else 0.0
-        if left < 1e-6 * max(tokens, 1.0) or whole == plan.max_epochs:
+    for leaf, total in leaves.items():
+        whole = min(int(given[leaf] // total), plan.max_epochs) if total else 0
+        left = given[leaf] - whole * total if total else 0.0
+        if left < 1e-6 * max(total, 1.0) or whole == plan.max_epochs:
             left = 0.0
         table.append((list(leaf), whole, left))
-    schema = T.StructType([T.StructField("__path", T.ArrayType(T.StringType())), T.StructField("whole", T.IntegerType()), T.StructField("left_over", T.DoubleType())])
+    schema = T.StructType([T.StructField("path", T.ArrayType(T.StringType())), T.StructField("whole", T.IntegerType()), T.StructField("left_over", T.DoubleType())])
     leaf = store.put(docs.sparkSession.createDataFrame(table, schema), "leaves")
-    cut = store.put(_cuts(rows, leaf, plan.seed), "cuts")
-    limit = leaf.join(cut, "__path", "left").select(F.col("__path").alias("__leaf"), F.col("whole").alias("__whole"), F.col("cut_order").alias("__cut_order"), F.col("cut_doc").alias("__cut_doc"))
+    limit = leaf.join(store.put(_cuts(rows, leaf, plan.seed), "cuts"), "path", "left").select("path", "whole", "cut")
+    store.drop(rows)
+    marked = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("all"), path.alias("path"), tokens.alias("tokens"), docs["doc_id"], row_key().alias("row"))
     # One row per leaf of the tree; its size was checked above.
-    marked = docs.withColumn("__path", path).withColumn("__tokens", F.size(words(F.col("text"))).cast("long"))
-    marked = marked.join(F.broadcast(limit), F.col("__path") == F.col("__leaf"))
-    order = _order(F.col("__whole"), plan.seed)
-    in_prefix = F.coalesce((order < F.col("__cut_order")) | ((order == F.col("__cut_order")) & (F.col("doc_id") <= F.col("__cut_doc"))), F.lit(False))
-    times = F.col("__whole") + F.when(in_prefix, 1).otherwise(0)
-    taken = marked.withColumn("__times", times).where("__times > 0")
-    return taken.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).select(*(docs[c] for c in docs.columns), "__path", "__tokens", "__epoch")
+    marked = marked.join(F.broadcast(limit), "path")
+    in_prefix = F.coalesce(_order(F.col("whole"), plan.seed) <= F.col("cut"), F.lit(False))
+    taken = marked.withColumn("times", F.col("whole") + F.when(in_prefix, 1).otherwise(0)).where("times > 0")
+    names = added_names(docs)
+    return taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).select(*(F.col("all")[c].alias(c) for c in docs.columns), *(F.col(c).alias(n) for c, n in zip(("path", "tokens", "epoch"), names)))
 
 
 def _cuts(rows: DataFrame, leaf: DataFrame, seed: int) -> DataFrame:
-    """__path, cut_order, cut_doc: the last row of each leaf's prefix in the seeded order of its last epoch."""
-    some = rows.join(F.broadcast(leaf.where("left_over > 0")), "__path").withColumn("o", _order(F.col("whole"), seed))
-    # Ranges of equal width of the signed 64-bit order.
-    some = some.withColumn("bucket", F.shiftright("o", 54))
-    sums = some.groupBy("__path", "left_over", "bucket").agg(F.sum("__tokens").alias("t"))
-    before = Window.partitionBy("__path").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sums.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0)))
-    last = placed.where(F.col("before") < F.col("left_over")).groupBy("__path").agg(F.max_by(F.struct("bucket", "before"), "bucket").alias("at"))
-    last = last.select("__path", F.col("at.bucket").alias("bucket"), F.col("at.before").alias("before"))
-    ending = some.join(F.broadcast(last), ["__path", "bucket"])
-    upto = Window.partitionBy("__path").orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    inside = ending.withColumn("start", F.col("before") + F.coalesce(F.sum("__tokens").over(upto), F.lit(0))).where(F.col("start") < F.col("left_over"))
-    return inside.groupBy("__path").agg(F.max(F.struct("o", "doc_id")).alias("cut")).select("__path", F.col("cut.o").alias("cut_order"), F.col("cut.doc_id").alias("cut_doc"))
+    """path, cut: the last place of each leaf's prefix in the seeded order of its last epoch; rows of one place count as one."""
+    some = rows.join(F.broadcast(leaf.where("left_over > 0")), "path").select("path", "left_over", "tokens", _order(F.col("whole"), seed).alias("o"))
+    some = some.withColumn("before", F.lit(0).cast("long"))
+    for k in range(1, ROUNDS + 1):
+        # Ranges of equal width of the signed 64-bit order, then of the range in which the budget ends.
+        some = some.withColumn("bucket", F.shiftright("o", 64 - k * BUCKET_BITS))
+        sums = some.groupBy("path", "left_over", "before", "bucket").agg(F.sum("tokens").alias("t"))
+        ahead = Window.partitionBy("path").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        placed = sums.withColumn("start", F.col("before") + F.coalesce(F.sum("t").over(ahead), F.lit(0)))
+        last = placed.where(F.col("start") < F.col("left_over")).groupBy("path").agg(F.max_by(F.struct("bucket", "start"), "bucket").alias("at"))
+        # One row per leaf of the tree.
+        last = F.broadcast(last.select("path", F.col("at.bucket").alias("bucket"), F.col("at.start").alias("start")))
+        some = some.join(last, ["path", "bucket"]).select("path", "left_over", "tokens", "o", F.col("start").alias("before"))
+    units = some.groupBy("path", "left_over", "before", "o").agg(F.sum("tokens").alias("t"))
+    ahead = Window.partitionBy("path").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    inside = units.withColumn("start", F.col("before") + F.coalesce(F.sum("t").over(ahead), F.lit(0))).where(F.col("start") < F.col("left_over"))
+    return inside.groupBy("path").agg(F.max("o").alias("cut"))

@@ -40,9 +40,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = mixing.select_mixture(table(spark, sf_dir, "documents"), MIXTURE)
-    path = [F.get("__path", F.lit(k)).alias(name) for k, name in enumerate(mixing.LEVELS)]
-    return chosen.select("doc_id", *path, F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"))
+    docs = table(spark, sf_dir, "documents")
+    path, tokens, epoch = mixing.added_names(docs)
+    levels = [F.get(path, F.lit(k)).alias(name) for k, name in enumerate(mixing.LEVELS)]
+    return mixing.select_mixture(docs, MIXTURE).select("doc_id", *levels, F.col(tokens).alias("n_tokens"), F.col(epoch).alias("epoch"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
