@@ -227,16 +227,17 @@ class KneserNey:
         kinds = range(1, len(DISCOUNTS) + 1)
         each = [F.sum(F.when(F.col(c) == k if k < len(DISCOUNTS) else F.col(c) >= k, 1).otherwise(0)).alias(f"{c}_{k}") for c in ("n0", "n1") for k in kinds]
         sums = {r["level"]: r for r in table.groupBy(level).agg(*(F.sum(c).alias(c) for c in ("n", "n0", "n1")), *each).collect()}
-        rows = table.where("n0 > 1 or n1 > 1").select("key", "n", "n0", "n1", level).toPandas()
         out = []
         for k in range(len(PREFIXES) + 1):
-            mine, s = rows[rows["level"] == k], sums.get(k)
-            key = mine["key"].to_numpy(np.int64).view(U64)
+            # One order at a time, as plain arrays: 24 bytes a word.
+            mine, s = table.where("n0 > 1 or n1 > 1").where(level == k).select("key", "n", F.col("n0").cast("int"), F.col("n1").cast("int")).toArrow(), sums.get(k)
+            column = lambda c: mine.column(c).to_numpy()  # noqa: B023, E731
+            key = column("key").view(U64)
             order = np.argsort(key)
             total = np.array([s["n0"], s["n1"]], float) if s else np.zeros(2)
             taken = np.array([sum(d * s[f"{c}_{j}"] for j, d in zip(kinds, DISCOUNTS)) for c in ("n0", "n1")], float) if s else np.ones(2)
             # A class without a beginning of this order leaves all to the order below.
-            out.append(Order(key[order], mine[["n0", "n1"]].to_numpy(np.int64)[order], mine["n"].to_numpy(float)[order] / (s["n"] if s else 1), np.maximum(total, 1), np.where(total > 0, taken / np.maximum(total, 1), 1.0)))
+            out.append(Order(key[order], np.stack([column("n0")[order], column("n1")[order]], 1), column("n")[order] / (s["n"] if s else 1), np.maximum(total, 1), np.where(total > 0, taken / np.maximum(total, 1), 1.0)))
         return KneserNey(out)
 
 
@@ -301,7 +302,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = 200_000) -> Model | None:
+def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = 100_000) -> Model | None:
     """docs: doc_id, text of the whole corpus; labelled: doc_id, toxic of the rows that may be learnt from."""
     sample = Labels.sample(labelled, "toxic", max_labelled)
     if sample.toxic.all() or not sample.toxic.any():
