@@ -3,6 +3,7 @@ import math
 import random
 import re
 import struct
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -95,6 +96,23 @@ def test_bpe_like_the_library(model, library, texts):
         assert decoded == library.decode(ids, skip_special_tokens=False) == model.decode(ids)
 
 
+def test_long_words_like_the_library(model, library, monkeypatch):
+    """Words beyond the scanned length, runs of one letter among them, and both ways of merging on short ones."""
+    r = random.Random(9)
+    long = ["a" * 5000, "ab" * 3000, "".join(r.choices("etaoinshr", k=20_000)), "x" * 65, "é" * 700, "é中" * 900, "zqj" * 200 + "ing"]
+    short = ["".join(r.choices("aet nisor", k=r.randint(1, 30))) for _ in range(400)]
+    for text in long:
+        assert model.encode(text) == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "SCANNED", 1)
+    fresh = bpe.ForcedBpe(vocabulary())
+    for text in short:
+        assert fresh.encode(text) == library.encode(text, add_special_tokens=False).ids
+    began = time.perf_counter()
+    assert model.packed("".join(r.choices("etaoinshrdlu", k=1_000_000)))[0]
+    assert time.perf_counter() - began < 30
+    assert max(map(len, model.seen)) <= bpe.LONGEST
+
+
 def test_cuts_are_forced(model):
     for word in ("internationalization", "zqxjk", "thethethe"):
         parts = model.fragments("".join(bpe.byte_alphabet()[b] for b in word.encode()))

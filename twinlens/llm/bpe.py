@@ -10,12 +10,14 @@ path is a parameter, its tables are read on each worker and cached there.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes
 to the empty text; the strings of special tokens in a raw text become their ids, as
-in the library; an empty table gives an empty result; other columns are ignored.
+in the library; rows may repeat, each has its result; a word of any length is encoded in
+n log n steps; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from array import array
@@ -29,8 +31,10 @@ from pyspark.sql import DataFrame
 
 from ._store import map_arrow
 
-#: Words that a worker remembers; then it starts again.  Bounds memory, not results.
-REMEMBERED = 300_000
+#: Words that a worker remembers, then it starts again, and the longest of them.  Bounds memory, not results.
+REMEMBERED, LONGEST = 200_000, 48
+#: Fragments up to this length are merged by scanning their ranks, longer ones with a heap.
+SCANNED = 64
 ENCODED = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -85,6 +89,8 @@ class ForcedBpe:
         parts = list(fragment)
         if last:
             parts[-1] += self.suffix
+        if len(parts) > SCANNED:
+            return self._merge_long(parts)
         rank, never = self.rank, 1 << 40
         ranks = [rank.get(p, never) for p in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) != never:
@@ -97,6 +103,26 @@ class ForcedBpe:
                 ranks[at] = rank.get((parts[at], parts[at + 1]), never)
         return tuple(self.vocab[p] for p in parts if p in self.vocab)
 
+    def _merge_long(self, parts: list[str]) -> tuple[int, ...]:
+        """The same in n log n steps: a heap of (rank, place) over a linked list of parts."""
+        rank, n = self.rank, len(parts)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, k) for k in range(n - 1) if (r := rank.get((parts[k], parts[k + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            # A pair that has changed since it was put there, or is gone, has another rank now.
+            if not parts[k] or after[k] < 0 or rank.get((parts[k], parts[after[k]])) != r:
+                continue
+            gone = after[k]
+            parts[k], parts[gone], after[k] = parts[k] + parts[gone], "", after[gone]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for a in (before[k], k):
+                if a >= 0 and after[a] >= 0 and (r := rank.get((parts[a], parts[after[a]]))) is not None:
+                    heapq.heappush(heap, (r, a))
+        return tuple(self.vocab[p] for p in parts if p in self.vocab)
+
     def fragments(self, word: str) -> list[str]:
         """The forced cuts of one word of the byte alphabet."""
         joined = self.joined
@@ -112,9 +138,11 @@ class ForcedBpe:
             key = part + " " if last else part
             found = self.pieces.get(key)
             if found is None:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                found = self.pieces[key] = self._merge(part, last)
+                found = self._merge(part, last)
+                if len(part) <= LONGEST:
+                    if len(self.pieces) >= REMEMBERED:
+                        self.pieces.clear()
+                    self.pieces[key] = found
             ids.extend(found)
         return tuple(ids)
 
@@ -126,9 +154,11 @@ class ForcedBpe:
 
     def _packed(self, piece: str) -> tuple[bytes, str]:
         ids = [i for w in self.words.findall(piece) for i in self.word(w)]
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        out = self.seen[piece] = (array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids]))
+        out = array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids])
+        if len(piece) <= LONGEST:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[piece] = out
         return out
 
     def packed(self, text: str) -> tuple[bytes, str]:
