@@ -14,20 +14,35 @@ SAMPLED = 8
 
 
 def suffix_order(codes: np.ndarray) -> np.ndarray:
-    """Positions in the order of the suffixes (of the text read in a circle) that begin there, by prefix doubling."""
+    """Positions in the order of the suffixes (of the text read in a circle) that begin there.
+
+    By prefix doubling from runs of ``step`` symbols that fit one number; a round sorts
+    only what the rounds before left tied.
+    """
     _, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64)
-    step, n = 1, len(codes)
-    order = np.argsort(rank, kind="stable")
+    n, bits = len(codes), max(1, int(rank.max()).bit_length()) if len(codes) else 1
+    step = max(1, 62 // bits)
+    key = rank.astype(np.int64)
+    for k in range(1, step):
+        key = key << bits | np.roll(rank, -k)
+    order = np.argsort(key, kind="stable")
+    at = np.arange(n)
+    begins = np.ones(n, bool)
+    begins[1:] = key[order[1:]] != key[order[:-1]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(begins, at, 0))
     while step < 2 * n:
-        key = rank * n + np.roll(rank, -step)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        step *= 2
-        if rank[order[-1]] == n - 1:
+        tied = np.flatnonzero(~(begins & np.append(begins[1:], True)))
+        if not len(tied):
             break
+        some = order[tied]
+        key = rank[some] * n + rank[(some + step) % n]
+        sort = np.argsort(key, kind="stable")
+        some, key = some[sort], key[sort]
+        order[tied] = some
+        begins[tied] = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[some] = np.maximum.accumulate(np.where(begins[tied], tied, 0))
+        step *= 2
     return order
 
 
@@ -63,26 +78,32 @@ class WaveletMatrix:
             self.zeros.append(len(bit) - int(bit.sum()))
             values = np.concatenate([values[bit == 0], values[bit == 1]])
 
-    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """How often a symbol stands before place i."""
-        low = np.zeros_like(i)
+        # Where the places of each symbol begin on the last level.
+        self.first = np.zeros(sigma, np.int64)
+        self.first = self._down(np.arange(sigma), self.first)
+
+    def _down(self, symbol: np.ndarray, *places: np.ndarray) -> np.ndarray:
+        """Places on the last level of each of the given ones, along the bits of a symbol; one row for each array."""
+        i = np.concatenate(places)
         for k in range(self.levels):
             bit = (symbol >> (self.levels - 1 - k) & 1).astype(bool)
-            a, b = self.bits[k].ones(low), self.bits[k].ones(i)
-            low = np.where(bit, self.zeros[k] + a, low - a)
-            i = np.where(bit, self.zeros[k] + b, i - b)
-        return i - low
+            bit = np.tile(bit, len(places)) if len(places) > 1 else bit
+            ones = self.bits[k].ones(i)
+            i = np.where(bit, self.zeros[k] + ones, i - ones)
+        return i.reshape(len(places), -1) if len(places) > 1 else i
+
+    def rank(self, symbol: np.ndarray, *places: np.ndarray) -> np.ndarray:
+        """How often a symbol stands before a place (one row for each array of places)."""
+        return self._down(symbol, *places) - self.first[symbol]
 
     def at(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at place i, and how often it stands before."""
-        symbol, low = np.zeros_like(i), np.zeros_like(i)
+        symbol = np.zeros_like(i)
         for k in range(self.levels):
-            bit = self.bits[k].get(i)
-            a, b = self.bits[k].ones(low), self.bits[k].ones(i)
-            low = np.where(bit, self.zeros[k] + a, low - a)
-            i = np.where(bit, self.zeros[k] + b, i - b)
+            bit, ones = self.bits[k].get(i), self.bits[k].ones(i)
+            i = np.where(bit, self.zeros[k] + ones, i - ones)
             symbol = symbol * 2 + bit
-        return symbol, i - low
+        return symbol, i - self.first[symbol]
 
 
 class FmIndex:
@@ -111,8 +132,10 @@ class FmIndex:
         for k in range(1, most + 1):
             alive = alive[ends[alive] >= k]
             symbol = text[ends[alive] - k]
-            a = self.before[symbol] + self.matrix.rank(symbol, low[alive])
-            b = self.before[symbol] + self.matrix.rank(symbol, high[alive])
+            if k == 1:
+                a, b = self.before[symbol], self.before[symbol + 1]
+            else:
+                a, b = self.before[symbol] + self.matrix.rank(symbol, low[alive], high[alive])
             good = (b - a >= at_least) & (symbol > 0)
             alive = alive[good]
             if not len(alive):
