@@ -61,7 +61,7 @@ def test_chunk_identifiers_are_verified(make, monkeypatch, texts, kinds):
     real = exact_dedup._identifier
     monkeypatch.setattr(exact_dedup, "_identifier", lambda c: F.struct(F.pmod(real(c)["a"], F.lit(kinds)).alias("a"), F.lit(0).alias("b")))
     docs = make(texts)
-    assert not exact_dedup.ranked_chunks(docs.select("doc_id", "text")).isEmpty()
+    assert not exact_dedup.shared_identifiers(docs.select("doc_id", "text")).isEmpty()
     assert as_dict(exact_dedup.duplicate_groups(docs)) == exact_expected(texts)
 
 

@@ -63,12 +63,20 @@ def recipes(docs: DataFrame) -> DataFrame:
     )
 
 
-def ranked_chunks(docs: DataFrame) -> DataFrame:
-    """id, chunk, rank: the distinct chunks that share their identifier with a lesser one; each distinct chunk is moved once."""
-    chunk = docs.select(F.explode(chunked(normalised(F.col("text")))).alias("chunk")).select(_identifier(F.col("chunk")).alias("id"), "chunk").distinct()
-    several = chunk.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+def distinct_chunks(docs: DataFrame) -> DataFrame:
+    """id, chunk: each distinct chunk is moved once."""
+    return docs.select(F.explode(chunked(normalised(F.col("text")))).alias("chunk")).select(_identifier(F.col("chunk")).alias("id"), "chunk").distinct()
+
+
+def shared_identifiers(docs: DataFrame) -> DataFrame:
+    """The identifiers that stand for more than one chunk content."""
+    return distinct_chunks(docs).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+
+
+def ranked_chunks(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """id, chunk, rank: the distinct chunks of shared identifiers but the least one of each."""
     rank = F.row_number().over(Window.partitionBy("id").orderBy("chunk")) - 1
-    return chunk.join(several.select("id"), "id", "left_semi").withColumn("rank", rank).where("rank > 0")
+    return distinct_chunks(docs).join(shared, "id", "left_semi").withColumn("rank", rank).where("rank > 0")
 
 
 def _with_ranks(made: DataFrame, docs: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -84,12 +92,12 @@ def _grouped(docs: DataFrame) -> DataFrame:
     """uid, row, doc_id, text_sha256 of each row, keep (of the row that stays) and group_size of its group."""
     docs = docs.select("doc_id", "text")
     store = Scratch(docs.sparkSession, "exact-dedup")
-    ranked = store.put(ranked_chunks(docs), "ranked")
+    shared = store.put(shared_identifiers(docs), "shared")
     made = store.put(recipes(docs), "recipes")
-    if ranked.isEmpty():
+    if shared.isEmpty():
         made = made.withColumn("ranks", F.lit(None).cast("array<struct<place:int,rank:int>>"))
     else:
-        made = store.put(_with_ranks(made, docs, ranked), "ranked-recipes")
+        made = store.put(_with_ranks(made, docs, store.put(ranked_chunks(docs, shared), "ranked")), "ranked-recipes")
     made = made.withColumn("ranks", F.coalesce("ranks", F.array().cast("array<struct<place:int,rank:int>>")))
     order = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("none"), "doc_id", "row", "uid")
     groups = made.groupBy("recipe", "ranks").agg(F.min(order).alias("keep"), F.count("*").alias("group_size"))
