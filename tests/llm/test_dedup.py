@@ -84,11 +84,42 @@ def test_exact_dedup_of_repeated_and_null_ids(spark, texts):
 
 @pytest.mark.parametrize("batches", [1, 5])
 def test_line_dedup(make, texts, batches):
-    got = as_dict(line_dedup.kept_sha256(line_dedup.dedup_lines(make(texts), batches=batches, fan_in=2)))
+    got = as_dict(line_dedup.kept_sha256(line_dedup.dedup_lines(make(texts), batches=batches)))
     assert got == line_dedup.brute_force(list(enumerate(texts)))
     assert sum(v[1] for v in got.values()) >= 29
 
 
+def test_line_dedup_of_repeated_and_null_ids(spark, texts):
+    """Rows of one id are documents of their own; those equal in id and text are one."""
+    ids = [None if k % 6 == 0 else k % 11 for k in range(len(texts))]
+    rows = [(i, t, 1) for i, t in zip(ids, texts)] + [(3, texts[60], 2)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc int")
+    keys = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).distinct().collect()
+    order = sorted(keys, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.row))
+    want = line_dedup.brute_force([(k, r.text) for k, r in enumerate(order)])
+    of = {(r.doc_id, r.text): want[k] for k, r in enumerate(order)}
+    got = Counter(tuple(r) for r in line_dedup.kept_sha256(line_dedup.dedup_lines(docs)).collect())
+    assert got == Counter((r[0], *of[r[0], r[1]]) for r in rows)
+
+
+def test_line_runs_merge_without_shuffles(spark):
+    """Batches give their fresh keys; levels hold one run for each bit of the number of batches; runs are merged as they lie."""
+    index, seen, held = line_dedup.LineRuns(spark), set(), Counter()
+    r = random.Random(4)
+    for b in range(5):
+        rows = {(r.randrange(40), 7, 1000 - 100 * b - r.randrange(100)) for _ in range(60)}
+        fresh = index.add(spark.createDataFrame(sorted(rows), "k1 long, k2 long, doc long"))
+        last = {k: max(d for x, _, d in rows if x == k) for k in {x for x, *_ in rows}}
+        assert {(x.k1, x.last_doc) for x in fresh.collect()} == {(k, d) for k, d in last.items() if k not in seen}
+        seen |= set(last)
+        held.update(k for k, *_ in rows)
+        assert sum(2**level * len(runs) for level, runs in enumerate(index.levels)) == b + 1
+    plan = index.merged(*index.runs()[:2])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert {x.k1 for x in index.condemned().collect()} == {k for k, n in held.items() if n >= 3}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
 def test_line_dedup_empty(make):
     assert line_dedup.dedup_lines(make([])).collect() == []
 
