@@ -102,7 +102,44 @@ keyed AS (
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines)
 """
 
+_CLASSES = ["[^a-z]", "[^A-Z]", "[^0-9]", "[^#*$%&|<>]", "ascii"]
+_BARE = r"regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')"
+_CLASS_COUNTS = ", ".join(rf"length(regexp_replace(bare, '{'[' + chr(92) + 'x00-' + chr(92) + 'x7F]' if c == 'ascii' else c}', '', 'g'))" for c in _CLASSES)
+
+
+def _js_distance(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two lists of shares."""
+    part = lambda a, b: f"CASE WHEN {a}[k] > 0 THEN {a}[k] * log2({a}[k] / (({a}[k] + {b}[k]) / 2)) ELSE 0 END"
+    return f"sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda k: {part(p, q)} + {part(q, p)})) / 2, 0))"
+
+
+_SHARES = "list_transform({0}, lambda x: CASE WHEN list_sum({0}) > 0 THEN x / list_sum({0}) ELSE 0 END)"
+
 ORACLE_SQL = {
+    "op4_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS language, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, {_BARE} AS bare, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') AS ws,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM d),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS t FROM w WHERE len(ws) >= 8),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM win) WHERE n > 1),
+again AS (SELECT doc_id, count(DISTINCT i + j.k) AS n_repeat_words FROM twice, range(8) j(k) GROUP BY doc_id),
+word AS (SELECT language, word, count(*) AS n FROM (SELECT language, unnest(ws) AS word FROM w) GROUP BY language, word),
+common AS (SELECT language, word, row_number() OVER (PARTITION BY language ORDER BY n DESC, word) AS k
+           FROM word JOIN (SELECT language, sum(n) AS total FROM word GROUP BY language) USING (language) WHERE length(word) <= 8 AND n * 500 >= total),
+top AS (SELECT language, list(word ORDER BY k) AS words FROM common WHERE k <= 24 GROUP BY language),
+c AS (SELECT w.doc_id, language, len(ws) AS n_words, length(bare) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, [{_CLASS_COUNTS}] AS five,
+             list_transform(coalesce(words, []), lambda v: len(list_filter(ws, lambda x: x = v))) AS hits
+      FROM w LEFT JOIN top USING (language) LEFT JOIN again ON again.doc_id = w.doc_id),
+h AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+             list_append(five, word_chars - list_sum(five)) AS cc, list_append(hits, n_words - coalesce(list_sum(hits), 0)) AS wc FROM c),
+cref AS (SELECT language, list(total ORDER BY k) AS cr FROM (SELECT language, k, sum(n) AS total FROM (SELECT language, unnest(cc) AS n, unnest(range(len(cc))) AS k FROM h) GROUP BY language, k) GROUP BY language),
+wref AS (SELECT language, list(total ORDER BY k) AS wr FROM (SELECT language, k, sum(n) AS total FROM (SELECT language, unnest(wc) AS n, unnest(range(len(wc))) AS k FROM h) GROUP BY language, k) GROUP BY language),
+s AS (SELECT h.*, {_SHARES.format("cc")} AS cp, {_SHARES.format("cr")} AS cq, {_SHARES.format("wc")} AS wp, {_SHARES.format("wr")} AS wq FROM h JOIN cref USING (language) JOIN wref USING (language)),
+j AS (SELECT *, {_js_distance("cp", "cq")} AS cd, {_js_distance("wp", "wq")} AS wd, 0.6 / sqrt(greatest(n_words, 1)) AS slack FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_words >= 40 AND (cd > 0.22 + slack OR wd > 0.36 + slack)) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance
+FROM j""",
     "op3_line_dedup": f"""
 WITH {_KEYED},
 dead AS (SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
