@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from twinlens.llm import html_extract, html_pages, quality_classifier, toxicity
+from twinlens.llm import _text, html_extract, html_pages, quality_classifier, toxicity
 from twinlens.llm.gbt import BoostedTrees
 
 
@@ -126,6 +126,36 @@ def test_quality_classifier(spark, labelled):
     assert np.mean(right) > 0.95
 
 
+def test_quality_classifier_against_numpy(spark, labelled):
+    """The same fit and scores from one matrix in memory: normal equations, pooled calibration, interpolation."""
+    docs, labels = labelled
+    learn = labels.where("doc_id % 4 <> 2")
+    model = quality_classifier.fit(docs, learn)
+    text, y = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.quality for r in learn.collect()}
+    ids = sorted(y)
+    calibrates = (_text.mix(np.array(ids, np.uint64) + np.uint64(17)) % np.uint64(4) == 0)
+    x = quality_classifier.statistics(pa.array([text[k] for k in ids], pa.string()))
+    good = np.array([y[k] for k in ids], float)
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    rng = np.random.default_rng(7)
+    w, phase = rng.normal(0, np.sqrt(2 * 0.06), (x.shape[1], 160)), rng.uniform(0, 2 * np.pi, 160)
+    wave = lambda v: np.hstack([np.cos(np.clip((v - mean) / scale, -6, 6) @ w + phase) * np.sqrt(2 / 160), np.ones((len(v), 1))])
+    z = wave(x[~calibrates])
+    beta = np.linalg.solve(z.T @ z + 1e-3 * len(z) / 160 * np.eye(161), z.T @ good[~calibrates])
+    assert np.allclose(model.weights, beta, atol=1e-6)
+    raw, cal = wave(x[calibrates]) @ beta, good[calibrates]
+    at = np.clip(((raw + 0.5) / 2 * 200).astype(int), 0, 199)
+    full = np.unique(at)
+    level = [cal[at == b].mean() for b in full]
+    size = [(at == b).sum() for b in full]
+    fitted = [max(min(np.average(level[i : j + 1], weights=size[i : j + 1]) for j in range(k, len(full))) for i in range(k + 1)) for k in range(len(full))]
+    assert np.allclose(model.levels, fitted) and np.allclose(model.edges, -0.5 + (full + 0.5) / 100)
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs.where("doc_id is not null"), model).collect()}
+    every = sorted(got)
+    want = np.interp(wave(quality_classifier.statistics(pa.array([text[k] for k in every], pa.string()))) @ beta, model.edges, fitted)
+    assert np.allclose([got[k] for k in every], want, atol=1e-6)
+
+
 def test_quality_classifier_odd_inputs(spark, labelled):
     docs, labels = labelled
     assert quality_classifier.fit(docs, labels.limit(0)) is None

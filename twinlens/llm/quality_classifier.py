@@ -8,7 +8,8 @@ solves for the ridge weights.  Raw scores are then calibrated by isotonic regres
 over fixed bins of the score, summed by partition as well.
 
 *Labels* are a bounded sample, at most ``max_labelled`` rows of lowest hash; one in
-four of them is kept from the fit and calibrates.
+four of them is kept from the fit and calibrates.  Their statistics are written once; all
+steps of the fit read those.
 
 Defined results: a null or empty text has all statistics 0 and gets a score like
 any other; without labelled rows every score is 0; with one class only, scores are
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import map_arrow
+from ._store import Scratch, map_arrow
 from ._text import Words, chunks
 from .toxicity import Labels
 
@@ -95,22 +96,37 @@ class Model:
         return np.interp(self.raw(x), self.edges, self.levels)
 
 
-def _summed(docs: DataFrame, sample: Labels, width: int, rows_of) -> np.ndarray:
-    """Sum over the labelled documents of ``rows_of(x, y, calibration)``, an array of ``width`` numbers.
+def labelled_statistics(docs: DataFrame, sample: Labels) -> DataFrame:
+    """x (STATISTICS numbers), y, calibration of each row of the sample: texts are read once for all steps of the fit."""
+    shared = docs.sparkSession.sparkContext.broadcast(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = shared.value
+        for batch in batches:
+            place = labels.find(batch.column(0))
+            x = statistics(batch.column(1)).astype("<f8")
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(labels.toxic[place]), pa.array(labels.calibration[place])], ["x", "y", "calibration"])
+
+    # At most max_labelled ids.
+    ids = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"__id": sample.ids})))
+    mine = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    return map_arrow(mine, run, "x binary, y boolean, calibration boolean")
+
+
+def _summed(table: DataFrame, width: int, rows_of) -> np.ndarray:
+    """Sum over the rows of ``table`` of ``rows_of(x, y, calibration)``, an array of ``width`` numbers.
 
     Partition sums are dealt into blocks, each added up by one task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sample)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, total, seen = shared.value, np.zeros(width), False
+        total, seen = np.zeros(width), False
         for batch in batches:
-            place = labels.find(batch.column(0))
-            mine = np.flatnonzero(place >= 0)
-            for at in range(0, len(mine), 512):
-                some = mine[at : at + 512]
-                x = statistics(batch.column(1).take(pa.array(some)))
-                total += rows_of(x, labels.toxic[place[some]].astype(float), labels.calibration[place[some]])
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                x = np.frombuffer(b"".join(some.column(0).to_pylist()), "<f8").reshape(-1, STATISTICS)
+                y, calibration = (some.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (1, 2))
+                total += rows_of(x, y.astype(float), calibration)
                 seen = True
         if seen:
             for block in range(BLOCKS):
@@ -125,7 +141,7 @@ def _summed(docs: DataFrame, sample: Labels, width: int, rows_of) -> np.ndarray:
         for block, total in sums.items():
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    parts = map_arrow(docs.select("doc_id", "text"), part, "block int, sums binary")
+    parts = map_arrow(table, part, "block int, sums binary")
     out = np.zeros(width)
     for row in map_arrow(parts.repartition("block"), add, "block int, sums binary").collect():
         out[row.block :: BLOCKS] += np.frombuffer(row.sums, "<f8")
@@ -143,13 +159,21 @@ def isotonic(good: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(w), g / m if m else 0.0) for g, m, w in pools])
 
 
-def fit(docs: DataFrame, labelled: DataFrame, n_features: int = 160, gamma: float = 0.06, ridge: float = 1e-3, max_labelled: int = 200_000, seed: int = 7) -> Model | None:
+def fit(docs: DataFrame, labelled: DataFrame, n_features: int = 160, gamma: float = 0.06, ridge: float = 1e-3, max_labelled: int = 100_000, seed: int = 7) -> Model | None:
     """docs: doc_id, text; labelled: doc_id, quality of the rows that may be learnt from."""
     sample = Labels.sample(labelled, "quality", max_labelled)
     if not len(sample.ids):
         return None
+    store = Scratch(docs.sparkSession, "quality-classifier")
+    table = store.put(labelled_statistics(docs, sample), "statistics")
+    model = _fitted(table, n_features, gamma, ridge, seed)
+    store.drop(table)
+    return model
+
+
+def _fitted(table: DataFrame, n_features: int, gamma: float, ridge: float, seed: int) -> Model | None:
     s = STATISTICS
-    moments = _summed(docs, sample, 2 * s + 1, lambda x, y, c: np.concatenate([x.sum(0), (x * x).sum(0), [len(x)]]))
+    moments = _summed(table, 2 * s + 1, lambda x, y, c: np.concatenate([x.sum(0), (x * x).sum(0), [len(x)]]))
     if not moments[-1]:
         return None
     mean = moments[:s] / moments[-1]
@@ -163,7 +187,7 @@ def fit(docs: DataFrame, labelled: DataFrame, n_features: int = 160, gamma: floa
         z = model.features(x[~calibration])
         return np.concatenate([(z.T @ z)[upper], z.T @ y[~calibration], [len(z)]])
 
-    sums = _summed(docs, sample, len(upper[0]) + d + 1, normal)
+    sums = _summed(table, len(upper[0]) + d + 1, normal)
     gram = np.zeros((d, d))
     gram[upper] = sums[: len(upper[0])]
     gram = gram + np.triu(gram, 1).T
@@ -174,7 +198,7 @@ def fit(docs: DataFrame, labelled: DataFrame, n_features: int = 160, gamma: floa
         at = np.clip(((model.raw(x[calibration]) - low) / (high - low) * BINS).astype(int), 0, BINS - 1)
         return np.concatenate([np.bincount(at, y[calibration], BINS), np.bincount(at, minlength=BINS)])
 
-    found = _summed(docs, sample, 2 * BINS, bins)
+    found = _summed(table, 2 * BINS, bins)
     good, n = found[:BINS], found[BINS:]
     full = np.flatnonzero(n)
     if not len(full):
