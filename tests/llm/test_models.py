@@ -14,7 +14,7 @@ from twinlens.llm.gbt import BoostedTrees
 
 def plain_evidence(corpus, learnt):
     """Kneser-Ney by dictionaries: a function of (text, class it was learnt from or None)."""
-    split = lambda t: re.findall("[a-z]+", (t or "").lower())
+    split = lambda t: [w.encode() for w in re.findall("[a-z\u00c0-\u1fff]+", (t or "").lower())]
     units = lambda w: [(k, w[:k]) for k in (4, 7) if len(w) > k] + [("word", w)]
     held = lambda t: {u for w in split(t) for u in units(w)}
     n = Counter(u for t in corpus for u in held(t))
