@@ -1,5 +1,6 @@
 import json
 import math
+from pathlib import Path
 
 import pytest
 
@@ -73,18 +74,28 @@ def test_stages_end_to_end(spark, folder):
     record = json.loads((out / "preprocess/reduction.json").read_text())
     assert record["n_synthetic_after"] == 40 and record["n_deleted_total"] == 20
     processed = (out / "preprocess/synthetic_processed.csv").read_text(encoding="utf-8-sig").splitlines()
+    source = (folder / "x_synth.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert processed == [source[0], *(x for k, x in enumerate(source[1:]) if k not in record["deleted_row_indices"])]
     assert len(processed) == 41 and set(processed) <= set((folder / "x_synth.csv").read_text(encoding="utf-8-sig").splitlines())
     assert (folder / "x_synth_processed.csv").exists()
     assert cli.main(["privacy", "--quasi_identifiers", "sex", "--sensitive_attributes", "등급", "income", "--evaluation_mode", "combined", *at], spark) == 0
     risk = json.loads((out / "metrics/inference_risk.json").read_text())
-    assert risk["passed"] in (True, False) and not risk["cache_hit"]
+    # Preprocessing has kept the distances of the rows that stay.
+    assert risk["passed"] in (True, False) and risk["cache_hit"] and risk["cache_key"] == record["processed_cache_key"]
+    assert risk["value"] == pytest.approx(record["processed_inference_risk"]) and risk["details"]["n_evaluated"] == 40 - risk["details"]["n_ties"]
     assert cli.main(["metric", "--name", "inference_risk", *at], spark) == 0
     again = json.loads((out / "metrics/inference_risk.json").read_text())
     assert again["cache_hit"] and again["value"] == risk["value"]
     cap = json.loads((out / "metrics/linkage_risk.json").read_text())
+    first = cap["details"]["evaluations"][0]
+    assert first["original_count"] == 40 and first["synthetic_count"] == first["synthetic_valid_count"] == 40 and first["evaluation_status"] == "evaluated"
+    assert json.loads(first["key_columns"]) == ["sex"] and first["matched_count"] + first["unmatched_count"] == first["evaluated_count"]
+    listed = json.loads(Path(cap["details"]["records_file"]).read_text())["records"]
+    assert len(listed) == 3 * 40 and sum(r["exceeds_threshold"] for r in listed) == cap["exceed_count"]
     assert [e["evaluation"] for e in cap["details"]["evaluations"]] == ["income", "등급", "등급+income"]
     assert cli.main(["utility", *at], spark) == 0
-    assert json.loads((out / "metrics/univariate_similarity.json").read_text())["details"]["figures"]
+    figures = json.loads((out / "metrics/univariate_similarity.json").read_text())["details"]["figures"]
+    assert set(figures) == {"age", "income", "sex", "등급", "summary"} and all(Path(p).is_file() for p in figures.values())
 
 
 def test_report(spark, folder, tmp_path):
@@ -96,6 +107,63 @@ def test_report(spark, folder, tmp_path):
     assert report["thresholds"]["bivariate_similarity"]["simulation"]["n_simulations"] == 4
 
 
+def test_on_off_and_files(spark, folder, tmp_path):
+    files = ["--original", str(folder / "x_origin.csv"), "--synthetic", str(folder / "x_synth.csv"), "--output_dir", str(tmp_path / "r")]
+    values = cli.parse_args(["report", *files, "--plots", "off", "--duplicate_adjustment", "off", "--size_correction", "off", "--drop_constant_columns", "on", "--remove_exact_matches", "on", "--linkage_missing_policy", "error", "--linkage_evaluation_mode", "combined"])
+    assert [values[k] for k in ("plots", "duplicate_adjustment", "size_correction", "drop_constant_columns", "remove_exact_matches")] == [False, False, False, True, True]
+    assert (values["linkage_missing_policy"], values["linkage_evaluation_mode"]) == ("error", "combined")
+    config = tmp_path / "c.yaml"
+    config.write_text(f'original: {folder / "x_origin.csv"}\nsynthetic: {folder / "x_synth.csv"}\noutput_dir: {tmp_path / "wrong"}\nplots: "off"\nmodel_params: \'{{"maxIter": 5}}\'\nskip_metrics: [bivariate_similarity, pmse]\n')
+    values = cli.parse_args(["utility", "--config", str(config), "--output_dir", str(tmp_path / "u")])
+    assert values["plots"] is False and values["model_params"] == {"maxIter": 5}
+    assert cli.main(["utility", "--config", str(config), "--output_dir", str(tmp_path / "u")], spark) == 0
+    assert not (tmp_path / "u/figures").exists() and not (tmp_path / "wrong").exists() and not (tmp_path / "u/metrics/pmse.json").exists()
+    assert cli.parse_args(["metric", "--name", "pmse", "--config", str(config), *files][:3] + files)["original"].endswith("x_origin.csv")
+    for bad in (["report", "--prefix", "x", *files], ["report", "--original", "a.csv"], ["threshold", "--metric", "pmse"], ["report", *files, "--plots", "no"]):
+        with pytest.raises(SystemExit):
+            cli.parse_args(bad)
+    with pytest.raises(SystemExit) as e:
+        cli.parse_args(["--version"])
+    assert e.value.code == 0
+
+
+def test_threshold_file(spark, folder, tmp_path):
+    files = ["--original", str(folder / "x_origin.csv"), "--synthetic", str(folder / "x_synth.csv")]
+    assert cli.main(["threshold", "--metric", "single_out_risk", "--manual_threshold", "0.25", "--original", files[1], "--output_dir", str(tmp_path / "t")], spark) == 0
+    record = tmp_path / "t/threshold/single_out_risk.json"
+    assert cli.main(["metric", "--name", "single_out_risk", *files, "--output_dir", str(tmp_path / "m"), "--threshold_file", str(record)], spark) == 0
+    out = json.loads((tmp_path / "m/metrics/single_out_risk.json").read_text())
+    assert out["threshold"] == 0.25 and out["threshold_file"] == record.as_posix() and out["pass_rule"] == "value <= threshold" and Path(out["result_file"]).is_file()
+    assert cli.main(["metric", "--name", "pmse", *files, "--output_dir", str(tmp_path / "m"), "--threshold_file", str(record)], spark) == 2
+    assert cli.main(["metric", "--name", "pmse", *files, "--output_dir", str(tmp_path / "m"), "--threshold_file", str(tmp_path / "none.json")], spark) == 2
+
+
+def test_column_order_and_exclusion(spark, folder, tmp_path):
+    """The processed file has the original's column order; names are compared before columns are excluded."""
+    rows = (folder / "x_synth.csv").read_text(encoding="utf-8-sig").splitlines()
+    turned = tmp_path / "turned.csv"
+    turned.write_text("\n".join(",".join(reversed(r.split(","))) for r in rows) + "\n", encoding="utf-8")
+    args = ["preprocess", "--original", str(folder / "x_origin.csv"), "--synthetic", str(turned), "--output_dir", str(tmp_path / "r"), "--reduction_method", "random", "--exclude_columns", "sex"]
+    assert cli.main(args, spark) == 0
+    got = (tmp_path / "r/preprocess/synthetic_processed.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert got[0] == rows[0] and set(got) <= set(rows) and len(got) == 41
+    report = json.loads((tmp_path / "r/preprocess/reduction.json").read_text())
+    assert len(report["deleted_row_indices"]) == report["n_deleted"] == 20
+    lacking = tmp_path / "lacking.csv"
+    lacking.write_text("\n".join(",".join(r.split(",")[:2] + r.split(",")[3:]) for r in rows) + "\n", encoding="utf-8")
+    assert cli.main([*args[:4], str(lacking), *args[5:]], spark) == 2
+
+
+def test_any_metric_can_be_simulated(spark):
+    from twinlens.operators.thresholds import derive_seeds, simulate, split_in_a
+
+    table = spark.createDataFrame([(k, float(k * k)) for k in range(30)], "row_id long, x double")
+    seeds = derive_seeds(5, 3)
+    got = simulate(table, 30, seeds, lambda a, b, seed: b.agg({"x": "sum"}).first()[0] - a.agg({"x": "sum"}).first()[0])
+    want = [sum(-k * k if side else k * k for k, side in enumerate(split_in_a(30, s))) for s in seeds]
+    assert got == list(enumerate(want))
+
+
 def test_errors(spark, folder, tmp_path):
     files = ["--original", str(folder / "x_origin.csv"), "--synthetic", str(folder / "x_synth.csv"), "--output_dir", str(tmp_path / "r")]
     assert cli.main(["threshold", "--metric", "pmse", "--method", "distribution", *files], spark) == 2

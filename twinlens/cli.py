@@ -8,6 +8,7 @@ import logging
 import sys
 from pathlib import Path
 
+from . import __version__
 from .functions.schema import DataValidationError
 from .operators.reduction import STRATEGIES
 from .operators.thresholds import METHODS, METRICS
@@ -33,6 +34,13 @@ def _share(text: str) -> float:
     return value
 
 
+def _switch(text: str) -> bool:
+    """on or off."""
+    if text not in ("on", "off"):
+        raise argparse.ArgumentTypeError("on or off is expected")
+    return text == "on"
+
+
 def _shared(p: argparse.ArgumentParser) -> None:
     a = p.add_argument
     a("--original")
@@ -44,20 +52,21 @@ def _shared(p: argparse.ArgumentParser) -> None:
     a("--exclude_columns", nargs="+", default=[])
     a("--random_seed", type=int, default=42)
     a("--n_jobs", type=int, default=-1, help="accepted; the cluster decides")
+    a("--threshold_file", help="threshold record to judge by, instead of that in the output folder")
     a("--verbose", action="store_true")
     a("--distance_metric", choices=("gower", "cosine"), default="gower")
     a("--use_gpu", action="store_true")
-    a("--duplicate_adjustment", action=argparse.BooleanOptionalAction, default=True)
+    a("--duplicate_adjustment", type=_switch, default=True, metavar="{on,off}")
     a("--model", default="logistic_regression")
     a("--model_params", type=_json, default={})
-    a("--drop_constant_columns", action=argparse.BooleanOptionalAction, default=True)
+    a("--drop_constant_columns", type=_switch, default=True, metavar="{on,off}")
     a("--quasi_identifiers", nargs="+", default=[])
     a("--sensitive_attributes", nargs="+", default=[])
     a("--linkage_threshold", type=float, default=0.7)
-    a("--missing_policy", choices=("exclude", "error"), default="exclude")
-    a("--evaluation_mode", choices=("individual", "combined"), default="individual")
+    a("--linkage_missing_policy", "--missing_policy", choices=("exclude", "error"), default="exclude")
+    a("--linkage_evaluation_mode", "--evaluation_mode", choices=("individual", "combined"), default="individual")
     a("--alpha", type=_share, default=0.05)
-    a("--plots", action=argparse.BooleanOptionalAction, default=True)
+    a("--plots", type=_switch, default=True, metavar="{on,off}")
 
 
 def _threshold(p: argparse.ArgumentParser) -> None:
@@ -65,7 +74,7 @@ def _threshold(p: argparse.ArgumentParser) -> None:
     a("--method", choices=METHODS[:2], default="simulation")
     a("--n_simulations", type=int, default=100)
     a("--quantile", type=_share, default=0.95)
-    a("--size_correction", action=argparse.BooleanOptionalAction, default=True)
+    a("--size_correction", type=_switch, default=True, metavar="{on,off}")
     a("--strict", action="store_true")
     a("--manual_threshold", type=float)
 
@@ -73,16 +82,19 @@ def _threshold(p: argparse.ArgumentParser) -> None:
 def _preprocess(p: argparse.ArgumentParser) -> None:
     a = p.add_argument
     a("--reduction_method", choices=sorted(STRATEGIES))
-    a("--remove_exact_matches", action="store_true")
+    a("--remove_exact_matches", type=_switch, default=False, metavar="{on,off}")
     a("--inference_threshold", type=float)
     a("--target_margin", type=float, default=0.95)
 
 
-def build_parser() -> argparse.ArgumentParser:
+def build_parser() -> tuple[argparse.ArgumentParser, dict[str, argparse.ArgumentParser]]:
+    """The parser, and those of its commands."""
     top = argparse.ArgumentParser(prog="twinlens", description=__doc__)
+    top.add_argument("--version", action="version", version=f"twinlens {__version__}")
     sub = top.add_subparsers(dest="command", required=True)
+    parsers = {}
     for name in ("preprocess", "threshold", "metric", "utility", "privacy", "report"):
-        p = sub.add_parser(name)
+        p = parsers[name] = sub.add_parser(name)
         _shared(p)
         if name in ("threshold", "report"):
             _threshold(p)
@@ -96,37 +108,45 @@ def build_parser() -> argparse.ArgumentParser:
             p.add_argument("--config")
             p.add_argument("--metrics", nargs="+", choices=METRICS)
             p.add_argument("--skip_metrics", nargs="+", choices=METRICS)
-    return top
+    return top, parsers
 
 
 def load_config(path: str, known: set[str]) -> dict:
     import yaml
 
     values = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    if not isinstance(values, dict):
+        raise ValueError(f"{path} does not map argument names to values")
     if unknown := sorted(set(values) - known):
         raise ValueError(f"unknown keys in {path}: {unknown}")
-    if isinstance(values.get("model_params"), str):
-        values["model_params"] = _json(values["model_params"])
     return values
 
 
 def parse_args(argv: list[str]) -> dict:
     """Settings of a run: command line over configuration file over defaults."""
-    parser = build_parser()
+    parser, parsers = build_parser()
+    path = argparse.ArgumentParser(add_help=False)
+    path.add_argument("--config")
+    command = next((x for x in argv if x in parsers), None)
+    if (config := path.parse_known_args(argv)[0].config) and command in CONFIGURED:
+        known = {a.dest for a in parsers[command]._actions} - {"help", "config"}  # noqa: SLF001
+        # Texts among defaults go through the same conversions as arguments do.
+        parsers[command].set_defaults(**load_config(config, known))
     values = vars(parser.parse_args(argv))
-    given = {k.removeprefix("--").split("=")[0].removeprefix("no-") for k in argv if k.startswith("--")}
-    sources = {"data_dir": {"data_dir"} & given, "files": {"original", "synthetic"} & given}
-    if sources["data_dir"] and sources["files"]:
-        parser.error("--data_dir and --original/--synthetic exclude each other")
-    if values.get("config"):
-        config = load_config(values["config"], set(values) - {"command", "config"})
-        if sources["data_dir"]:
-            config = {k: v for k, v in config.items() if k not in ("original", "synthetic")}
-        elif sources["files"]:
-            config = {k: v for k, v in config.items() if k not in ("data_dir", "prefix")}
-        values |= {k: v for k, v in config.items() if k not in given}
-    if not values.get("data_dir") and not values.get("original"):
-        parser.error("--original or --data_dir is needed")
+    given = {x.removeprefix("--").split("=")[0] for x in argv if x.startswith("--")}
+    fail = parsers[values["command"]].error
+    if values["data_dir"] and (values["original"] or values["synthetic"]):
+        if "data_dir" in given and not given & {"original", "synthetic"}:
+            values |= {"original": None, "synthetic": None}
+        elif "data_dir" not in given and given & {"original", "synthetic"}:
+            values |= {"data_dir": None, "prefix": None}
+        else:
+            fail("--data_dir and --original/--synthetic exclude each other")
+    if values["prefix"] and not values["data_dir"]:
+        fail("--prefix needs --data_dir")
+    wanted = [] if values["data_dir"] else [n for n in ("original", "synthetic") if not values[n] and (n == "original" or values["command"] != "threshold")]
+    if wanted:
+        fail(f"needed: {', '.join('--' + n for n in wanted)}, or a folder with --data_dir")
     return values
 
 
@@ -150,12 +170,12 @@ def dispatch(spark, values: dict):
     command = values["command"]
     if command == "threshold":
         return evaluate.run_threshold(spark, values["metric"], values["method"], o)
-    if not o.synthetic:
-        raise ValueError("--synthetic is needed")
     if command == "preprocess":
         return evaluate.run_preprocess(spark, o)
     if command == "metric":
         return evaluate.run_metrics(spark, [values["name"]], o)
+    if command in GROUPS:
+        o.threshold_file = None  # a record is for one metric
     if command == "report":
         return evaluate.run_report(spark, o, values["method"], values.get("metrics"), values.get("skip_metrics"))
     names = evaluate.select_metrics(o, values.get("metrics") or GROUPS[command], values.get("skip_metrics"))
@@ -176,4 +196,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except (DataValidationError, DataDirError, FileNotFoundError, ValueError) as e:
         log.error("%s", e)
         return 2
+    except Exception:
+        log.exception("unexpected error")
+        return 1
     return 0
+
+
+def run() -> None:
+    """The console script."""
+    sys.exit(main())

@@ -88,10 +88,11 @@ def coerce(df: DataFrame, schema: AnalysisSchema) -> DataFrame:
     if floats or texts:
         bad = {c: q(c).isNotNull() & q(c).try_cast("double").isNull() for c in texts}
         checks = [F.coalesce(F.bool_and(q(c) % 1 == 0), F.lit(True)).alias(f"w{k}") for k, c in enumerate(floats)]
-        checks += [F.slice(F.sort_array(F.collect_set(F.when(bad[c], q(c).cast("string")))), 1, MAX_SAMPLES).alias(f"b{k}") for k, c in enumerate(texts)]
+        checks += [F.count_if(bad[c]).alias(f"b{k}") for k, c in enumerate(texts)]
         row = df.agg(*checks).first()
         whole = {c: row[f"w{k}"] for k, c in enumerate(floats)}
-        if failed := {c: row[f"b{k}"] for k, c in enumerate(texts) if row[f"b{k}"]}:
+        least = lambda c: [r[0] for r in df.where(bad[c]).select(q(c).cast("string").alias("v")).distinct().orderBy("v").limit(MAX_SAMPLES).collect()]
+        if failed := {c: least(c) for k, c in enumerate(texts) if row[f"b{k}"]}:
             raise DataValidationError(f"values that are no numbers: {failed}")
     return df.select(*(category_text(df, c, whole.get(c, False)).alias(c) if c in schema.categorical else q(c).try_cast("double").alias(c) for c in schema.columns))
 

@@ -8,6 +8,7 @@ evaluation; the joins to the original are many-to-one on K and on K and T.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -105,6 +106,34 @@ def cap_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def valid_synthetic(synthetic: DataFrame, options: CapOptions) -> DataFrame:
+    """evaluation, synthetic_valid_count: synthetic records without a missing value among keys and targets."""
+    k = list(options.quasi_identifiers)
+    s = synthetic.select(*as_texts(synthetic, [*k, *options.sensitive]))
+    known = lambda t: reduce(lambda a, b: a & b, (q(c).isNotNull() for c in (*k, *t)))
+    wide = s.agg(*(F.count_if(known(t)).alias(f"e{i}") for i, (_, t) in enumerate(options.evaluations())))
+    return wide.select(F.inline(F.array(*(F.struct(F.lit(name).alias("evaluation"), F.col(f"e{i}").alias("synthetic_valid_count")) for i, (name, _) in enumerate(options.evaluations())))))
+
+
+def named_records(records: DataFrame, options: CapOptions) -> DataFrame:
+    """``cap_records`` under the names of the record file."""
+    of = {name: t for name, t in options.evaluations()}
+    pick = lambda value: F.coalesce(*(F.when(F.col("evaluation") == name, F.lit(value(t))) for name, t in of.items()))
+    return records.select(
+        "original_row",
+        pick(" + ".join).alias("sensitive_column"),
+        F.col("key_matches").alias("key_match_count"),
+        F.col("target_matches").alias("target_match_count"),
+        "cap",
+        F.when(F.col("evaluated"), F.col("key_matches") > 0).alias("matched"),
+        F.col("exceeds").alias("exceeds_threshold"),
+        "evaluated",
+        F.col("reason").alias("exclusion_reason"),
+        pick(lambda t: "individual" if len(t) == 1 else "combined").alias("evaluation_type"),
+        pick(lambda t: json.dumps(t, ensure_ascii=False)).alias("sensitive_columns"),
+    )
+
+
 def linkage_value(summary: DataFrame) -> DataFrame:
     """One row: value (largest mean cap), exceed_count, exceed_ratio over all evaluated records, passed."""
     total = F.sum("exceed_count")

@@ -6,7 +6,7 @@ grouping takes all simulations in one job, with ``sim`` as a further key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,14 +23,14 @@ from .propensity import pmse, propensity_scores
 
 METRICS = ("univariate_similarity", "bivariate_similarity", "pmse", "single_out_risk", "inference_risk", "linkage_risk")
 METHODS = ("simulation", "distribution", "user_defined")
-#: Which methods give a metric's threshold.
+#: Which methods give a metric's threshold.
 SUPPORTED = {
     "bivariate_similarity": ("simulation", "user_defined"),
     "pmse": ("simulation", "user_defined"),
     "single_out_risk": METHODS,
     "inference_risk": METHODS,
 }
-#: single_out_risk passes on value <= threshold, all others on value < threshold.
+#: single_out_risk passes on value <= threshold, all others on value < threshold.
 PASS_RULES = {m: ("<=" if m == "single_out_risk" else "<") for m in METRICS}
 NEIGHBOURS = 64
 
@@ -126,17 +126,25 @@ def simulate_bivariate(original: DataFrame, schema: AnalysisSchema, n: int, seed
     return difference_value(pairs, len(used.columns), group=["sim"]).select("sim", "value"), constant
 
 
-def simulate_pmse(original: DataFrame, schema: AnalysisSchema, n: int, seeds: Sequence[int], model: str = "logistic_regression", params: dict | None = None) -> list[tuple[int, float]]:
-    """(sim, value): one model per simulation, so a driver loop over fits, each of which is distributed."""
+def simulate(original: DataFrame, n: int, seeds: Sequence[int], metric_fn: Callable[[DataFrame, DataFrame, int], float | None]) -> list[tuple[int, float | None]]:
+    """(sim, value) of any metric: ``metric_fn`` gets both halves (with row_id) of each split, and the split's seed.
+
+    The general way, a driver loop over simulations; the metrics that are groupings take
+    all simulations in one job instead.
+    """
     out = []
     for sim, seed in enumerate(seeds):
         side = splits(original, n, [seed]).select("row_id", "in_a")
-        a = original.join(side.where("in_a"), "row_id", "left_semi")
-        b = original.join(side.where("not in_a"), "row_id", "left_semi")
-        out.append((sim, pmse(propensity_scores(a, b, schema, model, params, seed, "row_id")).first()["value"]))
+        halves = (original.join(side.where(which), "row_id", "left_semi") for which in ("in_a", "not in_a"))
+        out.append((sim, metric_fn(*halves, seed)))
     return out
 
 
+def simulate_pmse(original: DataFrame, schema: AnalysisSchema, n: int, seeds: Sequence[int], model: str = "logistic_regression", params: dict | None = None) -> list[tuple[int, float]]:
+    """(sim, value): one model per simulation, so a driver loop over fits, each of which is distributed."""
+    return simulate(original, n, seeds, lambda a, b, seed: pmse(propensity_scores(a, b, schema, model, params, seed, "row_id")).first()["value"])
+
+
 def simulation_summary(values: DataFrame, quantile: float) -> DataFrame:
     """One row: n_valid, n_invalid, mean, std (sample), min, max, quantile_value (exact, interpolated)."""
     v = F.when(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
@@ -155,19 +163,19 @@ def corrected(values: DataFrame) -> DataFrame:
 def judge(metric: str, value: float | None, record: dict | None, parameters: dict | None = None) -> dict:
     """Verdict fields of a metric value under a threshold record."""
     if record is None:
-        return {"threshold": None, "threshold_source": None, "passed": None}
+        return {"threshold": None, "threshold_source": None, "threshold_file": None, "passed": None}
     threshold = record["threshold"]
     passed = None
     if value is not None and threshold is not None:
         passed = value <= threshold if PASS_RULES[metric] == "<=" else value < threshold
-    out = {"threshold": threshold, "threshold_source": record.get("threshold_source"), "pass_rule": f"value {PASS_RULES[metric]} threshold", "passed": passed}
+    out = {"threshold": threshold, "threshold_source": record.get("threshold_source"), "threshold_file": record.get("threshold_file"), "pass_rule": f"value {PASS_RULES[metric]} threshold", "passed": passed}
     warnings = []
     if record.get("threshold_source") != "user_defined":
         ours, theirs = parameters or {}, record.get("parameters", {})
         for name in ("duplicate_adjustment", "model", "model_params"):
             if name in ours and name in theirs and ours[name] != theirs[name]:
                 warnings.append(f"{name} differs: {theirs[name]!r} for the threshold, {ours[name]!r} for the metric")
-        if metric == "single_out_risk" and theirs.get("method") == "simulation" and not theirs.get("size_correction", True):
+        if metric == "single_out_risk" and theirs.get("method") == "simulation" and theirs.get("size_correction", "on") != "on":
             warnings.append("the threshold has no size correction")
     return out | ({"judge_warnings": warnings} if warnings else {})
 

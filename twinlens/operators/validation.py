@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import MAX_SAMPLES, AnalysisSchema, DataValidationError, coerce, exclude_columns, infer_schema, is_numeric, q, without_nan
 from .association import constant_columns
 
+log = logging.getLogger("twinlens")
+
 #: Texts that often stand for a missing value.
 MISSING_LIKE = ["", " ", "NA", "N/A", "na", "n/a", "null", "NULL", "None", "none", "nan", "NaN", "?", "-"]
 
@@ -68,7 +71,11 @@ def levels_without(left: DataFrame, right: DataFrame, columns: Sequence[str]) ->
     """column, n_levels, first_levels: known levels of ``left`` that ``right`` hasn't."""
     own = _unpivot(left, columns).where("value is not null").distinct()
     other = _unpivot(right, columns).where("value is not null").distinct()
-    return own.exceptAll(other).groupBy("column").agg(F.count("*").alias("n_levels"), F.array_join(F.slice(F.sort_array(F.collect_list("value")), 1, MAX_SAMPLES), ",").alias("first_levels"))
+    lone = own.exceptAll(other)
+    # The least levels by rank: no list ever holds more than MAX_SAMPLES.
+    first = lone.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("r") <= MAX_SAMPLES)
+    shown = first.groupBy("column").agg(F.array_join(F.sort_array(F.collect_list("value")), ",").alias("first_levels"))
+    return lone.groupBy("column").agg(F.count("*").alias("n_levels")).join(shown, "column")
 
 
 def unseen_levels(original: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -95,15 +102,20 @@ class ValidatedPair:
     raw_synthetic: DataFrame
     schema: AnalysisSchema
     report: dict
+    #: All columns, in the original's order.
+    file_columns: list[str]
 
 
 def validate_pair(original: DataFrame, synthetic: DataFrame, forced_categorical: Sequence[str] = (), exclude: Sequence[str] = (), with_format: bool = True) -> ValidatedPair:
     """The coerced, aligned pair with its schema and a report; raises DataValidationError where it can't be compared."""
+    name_diff(original.columns, synthetic.columns)
+    file_columns = list(original.columns)
+    synthetic, reordered = aligned(synthetic, original.columns)
     original, absent = exclude_columns(original, exclude)
     synthetic, _ = exclude_columns(synthetic, exclude)
+    if absent:
+        log.warning("columns to exclude that are not there: %s", absent)
     forced = [c for c in forced_categorical if c not in exclude]
-    name_diff(original.columns, synthetic.columns)
-    synthetic, reordered = aligned(synthetic, original.columns)
     schema = infer_schema(original, forced)
     warnings = type_diff(original, synthetic, forced)
     raw_o, raw_s = without_nan(original), without_nan(synthetic)
@@ -128,4 +140,4 @@ def validate_pair(original: DataFrame, synthetic: DataFrame, forced_categorical:
         }
         report["constant_columns"] = {"original": constant_columns(o, schema.columns), "synthetic": constant_columns(s, schema.columns)}
         report["input_info"] = {"n_original": o.count(), "n_synthetic": s.count(), "n_columns": len(schema.columns)}
-    return ValidatedPair(o, s, synthetic, schema, report)
+    return ValidatedPair(o, s, synthetic, schema, report, file_columns)

@@ -146,6 +146,17 @@ def save_json(data, path: str | Path) -> None:
         json.dump(to_jsonable(data), f, ensure_ascii=False, indent=2, allow_nan=False)
 
 
+def save_records(df: DataFrame, order: list[str], base: str | Path, facts: dict, most: int) -> Path:
+    """Rows as one JSON document ``base``.json, or, beyond ``most`` rows, as a folder of JSON lines written by executors."""
+    rows = df.orderBy(*(q(c) for c in order)) if order else df
+    if df.count() > most:
+        rows.write.mode("overwrite").json(str(base))
+        return Path(base)
+    path = Path(f"{base}.json")
+    save_json(facts | {"records": rows.collect()}, path)
+    return path
+
+
 def load_json(path: str | Path):
     with open(path, encoding="utf-8") as f:
         return json.load(f)
