@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 SPACES = bytes([32, 9, 10, 11, 12, 13])
 #: Documents are taken in runs of about so many bytes, which bounds the work arrays.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True

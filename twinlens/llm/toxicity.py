@@ -65,7 +65,7 @@ DISCOUNTS = (1.0, 1.6, 1.8)
 PREFIXES = (4, 7)
 SHARE, PAD, LENGTH, FLOOR = 1e-3, 8, 0.7, 1e-4
 #: Distinct words a task adds up before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 18
 SCORED = "doc_id long, score double"
 
 _LETTER = np.zeros(256, bool)
