@@ -55,7 +55,7 @@ def _first(ranked: DataFrame, n: int, *order) -> DataFrame:
 @strategy("random")
 def delete_random(c: Context) -> tuple[DataFrame, dict]:
     """A seeded random sample without replacement: rows of smallest hash."""
-    return _first(c.synthetic.select("row_id"), c.n_synthetic - c.target, F.xxhash64(F.lit(c.seed), "row_id"), "row_id"), {"random_seed": c.seed}
+    return _first(c.synthetic.select("row_id"), c.n_synthetic - c.target, F.md5(F.concat(F.lit(f"{c.seed}:"), F.col("row_id").cast("string"))), "row_id"), {"random_seed": c.seed}
 
 
 @strategy("pmse_probability")

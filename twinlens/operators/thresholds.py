@@ -51,9 +51,18 @@ def split_in_a(n: int, seed: int) -> np.ndarray:
     return out
 
 
-def splits(original: DataFrame, n: int, seeds: Sequence[int]) -> DataFrame:
-    """sim, row_id, in_a for row ids 0 to n-1; one task per simulation makes its permutation."""
+def splits(original: DataFrame, n: int | None, seeds: Sequence[int]) -> DataFrame:
+    """sim, row_id, in_a.
+
+    With n: halves of seeded permutations of row ids 0 to n-1, each made by one task.
+    Without: rows of any id, each dealt by a hash of the simulation's seed and its id,
+    which needs no task to know all rows; the sides are then only about equal.
+    """
     spark = original.sparkSession
+    if n is None:
+        seeded = F.array(*(F.struct(F.lit(k).alias("sim"), F.lit(s).cast("long").alias("seed")) for k, s in enumerate(seeds)))
+        dealt = original.select("row_id", F.explode(seeded).alias("s"))
+        return dealt.select("s.sim", "row_id", (F.md5(F.concat(F.col("s.seed").cast("string"), F.lit(":"), F.col("row_id").cast("string"))) < "8").alias("in_a"))
     ship_package(spark)
     table = spark.createDataFrame([(k, s) for k, s in enumerate(seeds)], "sim int, seed long").repartition(len(seeds), "sim")
 
@@ -65,7 +74,7 @@ def splits(original: DataFrame, n: int, seeds: Sequence[int]) -> DataFrame:
     return table.mapInPandas(run, "sim int, row_id long, in_a boolean")
 
 
-def simulate_single_out(original: DataFrame, columns: Sequence[str], n: int, seeds: Sequence[int], by_duplicates: bool = True) -> DataFrame:
+def simulate_single_out(original: DataFrame, columns: Sequence[str], n: int | None, seeds: Sequence[int], by_duplicates: bool = True) -> DataFrame:
     """sim, value: half B against half A.  A record is known by 128 bits of hashes of its values."""
     key = original.select("row_id", F.xxhash64(*(F.coalesce(q(c).cast("string"), F.lit("\0")) for c in columns)).alias("g"), F.xxhash64(F.lit(1), *(F.coalesce(q(c).cast("string"), F.lit("\0")) for c in columns)).alias("g2"))
     counts = splits(original, n, seeds).join(key, "row_id").groupBy("sim", "g", "g2").agg(F.count_if("in_a").alias("a"), F.count_if(~F.col("in_a")).alias("b"))
@@ -73,15 +82,15 @@ def simulate_single_out(original: DataFrame, columns: Sequence[str], n: int, see
     return counts.groupBy("sim").agg((F.sum(F.when(F.col("a") > 0, hit).otherwise(0.0)) / F.sum("b")).alias("value"))
 
 
-def simulate_inference(original: DataFrame, f: Features, n: int, seeds: Sequence[int], neighbours: int = NEIGHBOURS) -> DataFrame:
+def simulate_inference(original: DataFrame, f: Features, n: int | None, seeds: Sequence[int], neighbours: int = NEIGHBOURS) -> DataFrame:
     """sim, value, n_ties, n_fallbacks.
 
-    ``original``: scaled features of row ids 0 to n-1.  Neighbour lists of the whole
+    ``original``: scaled features; ``n`` as for ``splits``.  Neighbour lists of the whole
     table are made once; in each split a record of B takes the first list entry that
     lies in A, and that one's own reference likewise.  Where a list has none, the pairs
     of that split are searched in full.
     """
-    lists = k_nearest(original, original, f, min(neighbours, n - 1), not_itself=True)
+    lists = k_nearest(original, original, f, neighbours if n is None else min(neighbours, n - 1), not_itself=True)
     side = splits(original, n, seeds)
     in_a = side.where("in_a").select("sim", F.col("row_id").alias("neighbour"))
 
@@ -114,7 +123,7 @@ def simulate_inference(original: DataFrame, f: Features, n: int, seeds: Sequence
     return both.groupBy("sim").agg(F.try_divide(flag, F.count("*") - tie).alias("value"), tie.alias("n_ties")).withColumn("n_fallbacks", F.lit(missed + missed_back))
 
 
-def simulate_bivariate(original: DataFrame, schema: AnalysisSchema, n: int, seeds: Sequence[int]) -> tuple[DataFrame, list[str]]:
+def simulate_bivariate(original: DataFrame, schema: AnalysisSchema, n: int | None, seeds: Sequence[int]) -> tuple[DataFrame, list[str]]:
     """(sim, value; the constant columns of the whole original, which are left out)."""
     constant = constant_columns(original, schema.columns)
     used = schema.subset([c for c in schema.columns if c not in constant])

@@ -1,8 +1,7 @@
 """Registered queries of the evaluation operators, and their SQL.
 
-Pair queries run over whole tables, dealt to both sides, and simulations over whole
-tables; other queries of one table run over the original side, as their SQL does.  Doubles are rounded on both sides, so that a
-different order of summation doesn't show.
+Pair queries run over whole tables, dealt to both sides, all others over the whole table.
+Doubles are rounded on both sides, so that a different order of summation doesn't show.
 """
 
 from __future__ import annotations
@@ -75,11 +74,11 @@ def record_groups(spark: SparkSession, d: str) -> DataFrame:
     return single_out.record_groups(o, s, list(ORDERS.columns))
 
 
-@query("single_out_leave_one_out", f"""WITH {ORDERS.sql()}, n AS (SELECT count(*) AS n FROM o GROUP BY {_ORDER_KEYS})
+@query("single_out_leave_one_out", f"""WITH {ORDERS.whole_sql()}, n AS (SELECT count(*) AS n FROM o GROUP BY {_ORDER_KEYS})
 SELECT round(sum(CASE WHEN n > 1 THEN CAST(n AS DOUBLE) ELSE 0 END) / sum(n), 9) AS p_equation_1,
        round(sum(CASE WHEN n > 1 THEN CAST(n AS DOUBLE) / (n - 1) ELSE 0 END) / sum(n), 9) AS p_equation_2, CAST(sum(n) AS BIGINT) AS n FROM n""")
 def single_out_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(single_out.leave_one_out(ORDERS.load(spark, d)[0], list(ORDERS.columns)))
+    return rounded(single_out.leave_one_out(ORDERS.whole(spark, d), list(ORDERS.columns)))
 
 
 @query("exact_match_removal", f"WITH {ORDERS.sql()} SELECT row_id, {_ORDER_KEYS} FROM s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.o_orderstatus IS NOT DISTINCT FROM s.o_orderstatus AND o.o_orderpriority IS NOT DISTINCT FROM s.o_orderpriority AND o.price_bucket IS NOT DISTINCT FROM s.price_bucket)")
@@ -88,11 +87,11 @@ def exact_match_removal(spark: SparkSession, d: str) -> DataFrame:
     return single_out.without_exact_matches(o, s, list(ORDERS.columns))
 
 
-@query("normal_threshold", f"""WITH {ORDERS.sql()}, n AS (SELECT count(*) AS n FROM o GROUP BY {_ORDER_KEYS}),
+@query("normal_threshold", f"""WITH {ORDERS.whole_sql()}, n AS (SELECT count(*) AS n FROM o GROUP BY {_ORDER_KEYS}),
 p AS (SELECT sum(CASE WHEN n > 1 THEN CAST(n AS DOUBLE) / (n - 1) ELSE 0 END) / sum(n) AS p, CAST(sum(n) AS BIGINT) AS n FROM n)
 SELECT round(p, 9) AS mean, round(p * (1 - p) / n, 12) AS variance, n, round(n * p * (1 - p), 6) AS npq, round(p + 1.6448536269514722 * sqrt(p * (1 - p) / n), 9) AS threshold, n * p * (1 - p) >= 10 AS reliable FROM p""")
 def normal_threshold_query(spark: SparkSession, d: str) -> DataFrame:
-    row = single_out.leave_one_out(ORDERS.load(spark, d)[0], list(ORDERS.columns)).first()
+    row = single_out.leave_one_out(ORDERS.whole(spark, d), list(ORDERS.columns)).first()
     t = normal_threshold(row["p_equation_2"], row["n"], QUANTILE)
     made = spark.createDataFrame([(t["mean"], t["variance"], t["n"], t["npq"], t["threshold"], t["normal_approximation_reliable"])], "mean double, variance double, n bigint, npq double, threshold double, reliable boolean")
     return made.select(F.round("mean", 9).alias("mean"), F.round("variance", 12).alias("variance"), "n", F.round("npq", 6).alias("npq"), F.round("threshold", 9).alias("threshold"), "reliable")
@@ -201,9 +200,9 @@ def validation_out_of_range(spark: SparkSession, d: str) -> DataFrame:
     return validation.out_of_range(*PART_SHIFTED.load(spark, d), PART.numeric)
 
 
-@query("constant_columns", f"WITH {CONSTANT.sql()} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", (SELECT count(DISTINCT {c}) + CAST(count(*) > count({c}) AS INT) <= 1 FROM o) AS constant" for c in CONSTANT.columns) + ")")
+@query("constant_columns", f"WITH {CONSTANT.whole_sql()} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", (SELECT count(DISTINCT {c}) + CAST(count(*) > count({c}) AS INT) <= 1 FROM o) AS constant" for c in CONSTANT.columns) + ")")
 def constant_columns(spark: SparkSession, d: str) -> DataFrame:
-    found = association.constant_columns(CONSTANT.load(spark, d)[0], list(CONSTANT.columns))
+    found = association.constant_columns(CONSTANT.whole(spark, d), list(CONSTANT.columns))
     return spark.createDataFrame([(c, c in found) for c in CONSTANT.columns], "column string, constant boolean")
 
 
@@ -264,7 +263,7 @@ def _matrix_sql(t: str, plan: PairPlan) -> str:
 
 
 def _value_only(part: list[str]) -> str:
-    return f"WITH {LINEITEM.sql()} SELECT column_1, column_2, method, round(value, 9) AS value FROM (" + " UNION ALL ".join(part) + ")"
+    return f"WITH {LINEITEM.whole_sql()} SELECT column_1, column_2, method, round(value, 9) AS value FROM (" + " UNION ALL ".join(part) + ")"
 
 
 _NN, _CN, _CC = association.column_pairs(LINEITEM.schema)
@@ -272,23 +271,23 @@ _NN, _CN, _CC = association.column_pairs(LINEITEM.schema)
 
 @query("pearson_pairs", _value_only([_pearson_sql("o", *p) for p in _NN]))
 def pearson_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(association.pearson(LINEITEM.load(spark, d)[0], _NN))
+    return rounded(association.pearson(LINEITEM.whole(spark, d), _NN))
 
 
 @query("anova_r2_pairs", _value_only([_anova_sql("o", *p) for p in _CN]))
 def anova_r2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(association.anova_r2(LINEITEM.load(spark, d)[0], _CN))
+    return rounded(association.anova_r2(LINEITEM.whole(spark, d), _CN))
 
 
 @query("cramers_v_pairs", _value_only([_cramer_sql("o", *p) for p in _CC]))
 def cramers_v_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(association.cramers_v(LINEITEM.load(spark, d)[0], _CC))
+    return rounded(association.cramers_v(LINEITEM.whole(spark, d), _CC))
 
 
-@query("ols_coefficients", f"""WITH {LINEITEM.sql()}, m AS (SELECT flag AS l, avg(quantity) AS m, count(*) AS n FROM o WHERE flag IS NOT NULL AND quantity IS NOT NULL GROUP BY flag), f AS (SELECT min(l) AS l FROM m)
+@query("ols_coefficients", f"""WITH {LINEITEM.whole_sql()}, m AS (SELECT flag AS l, avg(quantity) AS m, count(*) AS n FROM o WHERE flag IS NOT NULL AND quantity IS NOT NULL GROUP BY flag), f AS (SELECT min(l) AS l FROM m)
 SELECT CASE WHEN m.l = f.l THEN 'Intercept' ELSE 'flag[T.' || m.l || ']' END AS name, round(CASE WHEN m.l = f.l THEN m ELSE m - (SELECT m FROM m x WHERE x.l = f.l) END, 6) AS coefficient, n FROM m, f""")
 def ols_coefficients(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(association.ols_coefficients(LINEITEM.load(spark, d)[0], "flag", "quantity"), 6)
+    return rounded(association.ols_coefficients(LINEITEM.whole(spark, d), "flag", "quantity"), 6)
 
 
 @query("bivariate_pairs", f"WITH {LINEITEM.sql()}, a AS ({_matrix_sql('o', LINEITEM)}), b AS ({_matrix_sql('s', LINEITEM)}) SELECT column_1, column_2, method, round(a.value, 9) AS original, round(b.value, 9) AS synthetic, round(a.value - b.value, 9) AS difference FROM a JOIN b USING (column_1, column_2, method)")
@@ -304,16 +303,16 @@ def bivariate_value(spark: SparkSession, d: str) -> DataFrame:
 # --- distances and neighbours ------------------------------------------------------
 
 
-def _scaled_sql(plan: PairPlan, metric: str) -> str:
-    """fo, fs: scaled features of both sides, as ``Features.of`` makes them."""
+def _scaled_sql(plan: PairPlan, metric: str, sides: str = "os") -> str:
+    """fo, fs: scaled features of both sides, as ``Features.of`` makes them; sides "o": of the one table there is."""
     if metric == "gower":
         num = [f"CASE WHEN (SELECT max({c}) - min({c}) FROM o) > 0 THEN ({c} - (SELECT min({c}) FROM o)) / (SELECT max({c}) - min({c}) FROM o) WHEN {c} IS NOT NULL THEN 0.0 END AS n{k}" for k, c in enumerate(plan.numeric)]
         cat = [f"{c} AS c{k}" for k, c in enumerate(plan.categorical)]
-        return ", ".join(f"f{t} AS (SELECT row_id, {', '.join([*num, *cat])} FROM {t})" for t in "os")
+        return ", ".join(f"f{t} AS (SELECT row_id, {', '.join([*num, *cat])} FROM {t})" for t in sides)
     num = [f"({c} - (SELECT avg({c}) FROM o)) / coalesce(nullif((SELECT stddev_pop({c}) FROM o), 0), 1) AS z{k}" for k, c in enumerate(plan.numeric)]
     norm = "sqrt(" + " + ".join(f"z{k} * z{k}" for k in range(len(plan.numeric))) + ")"
     cat = [f"{c} AS c{k}" for k, c in enumerate(plan.categorical)]
-    return ", ".join(f"f{t} AS (SELECT row_id, {', '.join([*(f'CASE WHEN {norm} > 0 THEN z{k} / {norm} ELSE 0.0 END AS n{k}' for k in range(len(plan.numeric))), *(f'c{k}' for k in range(len(plan.categorical)))])} FROM (SELECT row_id, {', '.join([*num, *cat])} FROM {t}))" for t in "os")
+    return ", ".join(f"f{t} AS (SELECT row_id, {', '.join([*(f'CASE WHEN {norm} > 0 THEN z{k} / {norm} ELSE 0.0 END AS n{k}' for k in range(len(plan.numeric))), *(f'c{k}' for k in range(len(plan.categorical)))])} FROM (SELECT row_id, {', '.join([*num, *cat])} FROM {t}))" for t in sides)
 
 
 def _key_sql(plan: PairPlan, metric: str) -> str:
@@ -335,6 +334,18 @@ near AS (SELECT a.row_id, min(struct_pack(k := {key}, t := b.row_id)) AS m FROM
 back AS (SELECT a.row_id, min(struct_pack(k := {key}, t := b.row_id)) AS m FROM fo a, fo b WHERE a.row_id <> b.row_id GROUP BY a.row_id)"""
 
 
+def _self_sql(plan: PairPlan, metric: str) -> str:
+    """p: row_id, t, k of all pairs of different rows of the whole table; one: the nearest of each row."""
+    return f"""WITH {plan.whole_sql()}, {_scaled_sql(plan, metric, "o")}, p AS (SELECT a.row_id, b.row_id AS t, {_key_sql(plan, metric)} AS k FROM fo a, fo b WHERE a.row_id <> b.row_id),
+one AS (SELECT row_id, min(struct_pack(k := k, t := t)) AS m FROM p GROUP BY row_id)"""
+
+
+def _self_features(spark: SparkSession, d: str, plan: PairPlan, metric: str) -> tuple[Features, DataFrame]:
+    o = plan.whole(spark, d)
+    f = prepare(o, plan.schema, metric)
+    return f, f.of(o, "row_id")
+
+
 def _features(spark: SparkSession, d: str, plan: PairPlan, metric: str) -> tuple[Features, DataFrame, DataFrame]:
     o, s = plan.load(spark, d)
     f = prepare(o, plan.schema, metric)
@@ -373,20 +384,21 @@ for _metric in ("gower", "cosine"):
     query(f"nn_{_metric}", _nn_sql(CUSTOMER, _metric) + " SELECT row_id, m.t AS neighbour, round(m.k / 1e12, 9) AS distance FROM near")(_nn_query(_metric))
 
 
-@query("nn_self_excluded", _nn_sql(CUSTOMER, "gower") + " SELECT row_id, m.t AS neighbour, round(m.k / 1e12, 9) AS distance FROM back")
+@query("nn_self_excluded", _self_sql(CUSTOMER, "gower") + " SELECT row_id, m.t AS neighbour, round(m.k / 1e12, 12) AS distance FROM one")
 def nn_self_excluded(spark: SparkSession, d: str) -> DataFrame:
-    f, o, _ = _features(spark, d, CUSTOMER, "gower")
-    return neighbours.nearest(o, o, f, not_itself=True).select("row_id", "neighbour", F.round(F.col("dkey") / 1e12, 9).alias("distance"))
+    f, o = _self_features(spark, d, CUSTOMER, "gower")
+    return neighbours.nearest(o, o, f, not_itself=True).select("row_id", "neighbour", F.round(F.col("dkey") / 1e12, 12).alias("distance"))
 
 
-@query("knn_topk", f"""WITH {CUSTOMER.sql()}, {_scaled_sql(CUSTOMER, "gower")}, p AS (SELECT a.row_id, b.row_id AS t, {_key_sql(CUSTOMER, "gower")} AS k FROM fo a, fo b WHERE a.row_id <> b.row_id)
-SELECT row_id, CAST(r - 1 AS INT) AS pos, t AS neighbour, round(k / 1e12, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY k, t) AS r FROM p) WHERE r <= 5""")
+@query("knn_topk", _self_sql(CUSTOMER, "gower") + """
+SELECT row_id, CAST(r - 1 AS INT) AS pos, t AS neighbour, round(k / 1e12, 12) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY k, t) AS r FROM p) WHERE r <= 5""")
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    f, o, _ = _features(spark, d, CUSTOMER, "gower")
-    return neighbours.k_nearest(o, o, f, 5, not_itself=True).select("row_id", "pos", "neighbour", F.round(F.col("dkey") / 1e12, 9).alias("distance"))
+    f, o = _self_features(spark, d, CUSTOMER, "gower")
+    return neighbours.k_nearest(o, o, f, 5, not_itself=True).select("row_id", "pos", "neighbour", F.round(F.col("dkey") / 1e12, 12).alias("distance"))
 
 
-_RECORDS_SQL = _nn_sql(CUSTOMER, "gower") + ", rec AS (SELECT n.row_id, n.m.t AS nearest_index, n.m.k AS d, b.m.k AS r FROM near n JOIN back b ON b.row_id = n.m.t)"
+_REC = ", rec AS (SELECT n.row_id, n.m.t AS nearest_index, n.m.k AS d, b.m.k AS r FROM near n JOIN back b ON b.row_id = n.m.t)"
+_RECORDS_SQL = _nn_sql(CUSTOMER, "gower") + _REC
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -409,23 +421,27 @@ def inference_distance_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(inference.distance_summary(_records(spark, d), "nearest_distance"))
 
 
-@query("inference_distribution_p", f"""WITH {CUSTOMER.sql()}, {_scaled_sql(CUSTOMER, "gower")}, p AS (SELECT a.row_id, b.row_id AS t, {_key_sql(CUSTOMER, "gower")} AS k FROM fo a, fo b WHERE a.row_id <> b.row_id),
-one AS (SELECT row_id, min(struct_pack(k := k, t := t)) AS m FROM p GROUP BY row_id),
+@query("inference_distribution_p", _self_sql(CUSTOMER, "gower") + """,
 two AS (SELECT one.row_id, any_value(one.m.k) AS d1, min(p.k) AS d2 FROM one JOIN p ON p.row_id = one.m.t AND p.t <> one.row_id GROUP BY one.row_id)
 SELECT round(count(*) FILTER (d1 < d2) / count(*) FILTER (d1 <> d2), 9) AS p, count(*) FILTER (d1 <> d2) AS n_evaluated, count(*) FILTER (d1 = d2) AS n_ties FROM two""")
 def inference_distribution_p(spark: SparkSession, d: str) -> DataFrame:
-    f, o, _ = _features(spark, d, CUSTOMER, "gower")
+    f, o = _self_features(spark, d, CUSTOMER, "gower")
     return rounded(inference.distribution_share(o, f))
 
 
-@query("planner_selection", _RECORDS_SQL + """, c AS (SELECT count(*) FILTER (d < r) AS c1, count(*) FILTER (d > r) AS c0, count(*) FILTER (d = r) AS ct, count(*) AS n, CAST(floor(count(*) * 2 / 3) AS BIGINT) AS target FROM rec),
+def _planner_sql(target: str, risk: float) -> str:
+    """rec to row_id of the records that go, ``target`` staying, their flagged share being ``risk``."""
+    return f""", c AS (SELECT count(*) FILTER (d < r) AS c1, count(*) FILTER (d > r) AS c0, count(*) FILTER (d = r) AS ct, count(*) AS n, {target} AS target FROM rec),
 t AS (SELECT *, greatest(0, greatest(0, n - target) - (c1 + c0)) AS dt FROM c),
-w AS (SELECT *, greatest(0, target - (ct - dt)) AS lft, greatest(0, n - target) - dt AS rest FROM t), z AS (SELECT *, CAST(round_even(0.5 * lft, 0) AS BIGINT) AS t1 FROM w),
+w AS (SELECT *, greatest(0, target - (ct - dt)) AS lft, greatest(0, n - target) - dt AS rest FROM t), z AS (SELECT *, CAST(round_even({risk} * lft, 0) AS BIGINT) AS t1 FROM w),
 pl AS (SELECT dt, CASE WHEN rest <= 0 THEN 0 WHEN c1 - t1 >= 0 AND c0 - (lft - t1) >= 0 THEN c1 - t1 WHEN c1 - t1 < 0 THEN rest - least(c0, rest) ELSE least(c1, rest) END AS d1,
   CASE WHEN rest <= 0 THEN 0 WHEN c1 - t1 >= 0 AND c0 - (lft - t1) >= 0 THEN c0 - (lft - t1) WHEN c1 - t1 < 0 THEN least(c0, rest) ELSE rest - least(c1, rest) END AS d0 FROM z),
 k AS (SELECT row_id, CASE WHEN d = r THEN 2 WHEN d < r THEN 1 ELSE 0 END AS kind, d FROM rec),
 x AS (SELECT row_id, kind, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 1 THEN d ELSE -d END, row_id) AS pos FROM k)
-SELECT row_id FROM x, pl WHERE pos <= CASE kind WHEN 0 THEN d0 WHEN 1 THEN d1 ELSE dt END""")
+SELECT row_id FROM x, pl WHERE pos <= CASE kind WHEN 0 THEN d0 WHEN 1 THEN d1 ELSE dt END"""
+
+
+@query("planner_selection", _RECORDS_SQL + _planner_sql("CAST(floor(count(*) * 2 / 3) AS BIGINT)", 0.5))
 def planner_selection(spark: SparkSession, d: str) -> DataFrame:
     records = _records(spark, d).cache()
     n = records.agg(F.count_if("flag").alias("f"), F.count_if("tie").alias("t"), F.count("*").alias("n")).first()
@@ -459,9 +475,8 @@ def judge_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, d: str, plan: PairPlan) -> DataFrame:
-    """All rows of the plan's table, those of both sides, numbered from 0."""
-    o, s = plan.load(spark, d)
-    return contiguous_ids(o.unionByName(s).withColumnRenamed("row_id", "key"), "key").drop("key")
+    """All rows of the plan's table, numbered from 0."""
+    return contiguous_ids(plan.whole(spark, d).withColumnRenamed("row_id", "key"), "key").drop("key")
 
 
 @query("simulate_single_out")
@@ -470,6 +485,49 @@ def simulate_single_out(spark: SparkSession, d: str) -> DataFrame:
     return thresholds.corrected(thresholds.simulate_single_out(o, list(ORDERS.columns), o.count(), thresholds.derive_seeds(SEED, SIMULATIONS)))
 
 
+_SIMS = "sims AS (SELECT CAST(k AS INT) AS sim, seed FROM (VALUES " + ", ".join(f"({k}, {s})" for k, s in enumerate(thresholds.derive_seeds(SEED, SIMULATIONS))) + ") v(k, seed))"
+_SPLIT_SQL = "SELECT sims.sim, o.*, md5(sims.seed || ':' || o.row_id) < '8' AS in_a FROM sims, o"
+
+
+@query("simulate_single_out_hashed", f"""WITH {ORDERS.whole_sql()}, {_SIMS}, x AS ({_SPLIT_SQL}), g AS (SELECT sim, {_ORDER_KEYS}, count(*) FILTER (in_a) AS a, count(*) FILTER (NOT in_a) AS b FROM x GROUP BY sim, {_ORDER_KEYS}),
+v AS (SELECT sim, sum(CASE WHEN a > 0 THEN CAST(b AS DOUBLE) / a ELSE 0 END) / sum(b) AS value FROM g GROUP BY sim) SELECT sim, round(value, 9) AS value, round(1 - pow(1 - value, 2), 9) AS p_star FROM v""")
+def simulate_single_out_hashed(spark: SparkSession, d: str) -> DataFrame:
+    o = ORDERS.whole(spark, d)
+    return rounded(thresholds.corrected(thresholds.simulate_single_out(o, list(ORDERS.columns), None, thresholds.derive_seeds(SEED, SIMULATIONS))))
+
+
+def _split_anova(c: str, x: str) -> str:
+    return f"""SELECT sim, in_a, '{c}' || '{x}' AS pair, sum(n * pow(m - g, 2)) / nullif(sum(n * pow(m - g, 2)) + sum(w), 0) AS value FROM
+  (SELECT sim, in_a, {c} AS l, count(*) AS n, avg({x}) AS m, var_pop({x}) * count(*) AS w FROM x WHERE {c} IS NOT NULL AND {x} IS NOT NULL GROUP BY sim, in_a, {c})
+  JOIN (SELECT sim, in_a, avg({x}) AS g FROM x WHERE {c} IS NOT NULL AND {x} IS NOT NULL GROUP BY sim, in_a) USING (sim, in_a) GROUP BY sim, in_a"""
+
+
+def _split_cramer(a: str, b: str) -> str:
+    return f"""SELECT sim, in_a, '{a}' || '{b}' AS pair, sqrt((sum(CAST(n AS DOUBLE) * n / na / nb) - 1) / nullif(least(count(DISTINCT {a}), count(DISTINCT {b})) - 1, 0)) AS value FROM
+  (SELECT *, sum(n) OVER (PARTITION BY sim, in_a, {a}) AS na, sum(n) OVER (PARTITION BY sim, in_a, {b}) AS nb FROM (SELECT sim, in_a, {a}, {b}, count(*) AS n FROM x WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY sim, in_a, {a}, {b})) GROUP BY sim, in_a"""
+
+
+_PART_PAIRS = association.column_pairs(PART.schema)
+
+
+@query("simulate_bivariate_hashed", f"""WITH {PART.whole_sql()}, {_SIMS}, x AS ({_SPLIT_SQL}), v AS (""" + " UNION ALL ".join([
+    *(f"SELECT sim, in_a, '{a}' || '{b}' AS pair, corr({a}, {b}) AS value FROM x GROUP BY sim, in_a" for a, b in _PART_PAIRS[0]),
+    *(_split_anova(*p) for p in _PART_PAIRS[1]), *(_split_cramer(*p) for p in _PART_PAIRS[2])]) + f"""), d AS (SELECT sim, pair, max(value) FILTER (in_a) - max(value) FILTER (NOT in_a) AS d FROM v GROUP BY sim, pair)
+SELECT sim, round(sqrt(2 * sum(d * d) / {len(PART.columns) ** 2} - pow(2 * sum(d) / {len(PART.columns) ** 2}, 2)), 9) AS value FROM d GROUP BY sim""")
+def simulate_bivariate_hashed(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(thresholds.simulate_bivariate(PART.whole(spark, d), PART.schema, None, thresholds.derive_seeds(SEED, SIMULATIONS))[0])
+
+
+@query("simulate_inference_hashed", f"""WITH {CUSTOMER.whole_sql()}, {_SIMS}, {_scaled_sql(CUSTOMER, "gower", "o")}, side AS (SELECT sims.sim, o.row_id, md5(sims.seed || ':' || o.row_id) < '8' AS in_a FROM sims, o),
+p AS MATERIALIZED (SELECT a.row_id, b.row_id AS t, {_key_sql(CUSTOMER, "gower")} AS k FROM fo a, fo b WHERE a.row_id <> b.row_id),
+first AS MATERIALIZED (SELECT x.sim, x.row_id, min(struct_pack(k := p.k, t := p.t)) AS m FROM side x JOIN p ON p.row_id = x.row_id JOIN side y ON y.sim = x.sim AND y.row_id = p.t AND y.in_a GROUP BY x.sim, x.row_id),
+met AS (SELECT n.sim, n.m.k AS d, b.m.k AS r FROM first n JOIN side ON side.sim = n.sim AND side.row_id = n.row_id AND NOT side.in_a JOIN first b ON b.sim = n.sim AND b.row_id = n.m.t)
+SELECT sim, round(count(*) FILTER (d < r) / count(*) FILTER (d <> r), 9) AS value, count(*) FILTER (d = r) AS n_ties FROM met GROUP BY sim""")
+def simulate_inference_hashed(spark: SparkSession, d: str) -> DataFrame:
+    f, o = _self_features(spark, d, CUSTOMER, "gower")
+    return rounded(thresholds.simulate_inference(o, f, None, thresholds.derive_seeds(SEED, SIMULATIONS)).select("sim", "value", "n_ties"))
+
+
 @query("simulate_bivariate")
 def simulate_bivariate(spark: SparkSession, d: str) -> DataFrame:
     o = _numbered(spark, d, PART)
@@ -513,5 +571,10 @@ def _reduce_query(method: str, options: dict) -> Query:
     return run
 
 
-for _name, _options in (("random", {}), ("pmse_probability", {}), ("inference_distance", {"threshold": 0.45})):
-    query(f"reduce_{_name}")(_reduce_query(_name, _options))
+_RISK = 0.45
+_REDUCE_SQL = {
+    "random": f"WITH {PART_OVERSIZED.sql()} SELECT row_id FROM s ORDER BY md5('{SEED}:' || row_id), row_id LIMIT (SELECT (SELECT count(*) FROM s) - (SELECT count(*) FROM o))",
+    "inference_distance": _nn_sql(PART_OVERSIZED, "gower") + _REC + _planner_sql("(SELECT count(*) FROM o)", _RISK * 0.95),
+}
+for _name, _options in (("random", {}), ("pmse_probability", {}), ("inference_distance", {"threshold": _RISK})):
+    query(f"reduce_{_name}", _REDUCE_SQL.get(_name))(_reduce_query(_name, _options))

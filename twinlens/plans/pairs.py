@@ -35,6 +35,13 @@ class PairPlan:
         base = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
         return base.where(self.original).selectExpr(*self._exprs(False)), base.where(self.synthetic).selectExpr(*self._exprs(True))
 
+    def whole(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """All rows of the table, for operators of one table."""
+        return spark.read.parquet(f"{sf_dir}/{self.table}.parquet").selectExpr(*self._exprs(False))
+
+    def whole_sql(self) -> str:
+        return f"o AS (SELECT {', '.join(self._exprs(False))} FROM {self.table})"
+
     def sql(self) -> str:
         side = lambda name, where, s: f"{name} AS (SELECT {', '.join(self._exprs(s))} FROM {self.table} WHERE {where})"
         return f"{side('o', self.original, False)}, {side('s', self.synthetic, True)}"
