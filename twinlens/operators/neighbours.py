@@ -1,11 +1,15 @@
 """Nearest-neighbour joins under a mixed distance, exact, with ties to the smallest row.
 
-All pairs have to be looked at in the worst case, so the plan keeps memory and data
-movement bounded instead: equal records are collapsed on both sides, each side is dealt
-into blocks of about ``BLOCK`` records, and every pair of blocks is one group of a
-co-grouped task that works on NumPy arrays.  A query keeps only its k best per block
-pair, and these partial answers are merged by one aggregation.  Nothing is broadcast
-and nothing is collected; with B blocks a side every record is sent B times.
+Two records that differ in a category are at least one mismatch apart.  So records are
+first dealt into buckets by their categories, and each query looks through its own bucket
+only; where its k nearest there are closer than one mismatch, nothing outside can be
+nearer, and the query is closed.  That work grows with the records, not with their
+product.  Only queries that stay open are held against all targets, in pairs of blocks.
+
+Equal records are collapsed on both sides; buckets and sides are dealt into blocks of
+about ``BLOCK`` records, and every pair of blocks is one group of a co-grouped task that
+works on NumPy arrays.  A query keeps only its k best per block pair, and these partial
+answers are merged by one aggregation.  Nothing is broadcast and nothing is collected.
 """
 
 from __future__ import annotations
@@ -15,10 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import Features, block_keys
+from ..functions.distance import SCALE, Features, block_keys
 from ..sources.workers import ship_package
 
-BLOCK = 4096
+BLOCK, BUCKET = 4096, 1024
 
 
 def _distinct(df: DataFrame, f: Features, ids: int) -> DataFrame:
@@ -29,10 +33,6 @@ def _distinct(df: DataFrame, f: Features, ids: int) -> DataFrame:
     return ranked.groupBy(*f.names).agg(F.sort_array(F.collect_list("row_id")).alias("rows"))
 
 
-def _blocks(n: int) -> int:
-    return max(1, -(-n // BLOCK))
-
-
 def _arrays(f: Features, a: pd.DataFrame, b: pd.DataFrame) -> list[np.ndarray]:
     """Numbers and category codes of two frames, coded together."""
     n, c = f.names[: f.n_numeric], f.names[f.n_numeric :]
@@ -42,21 +42,34 @@ def _arrays(f: Features, a: pd.DataFrame, b: pd.DataFrame) -> list[np.ndarray]:
     return [a[n].to_numpy(float), codes[: len(a)], b[n].to_numpy(float), codes[len(a) :]]
 
 
-def k_nearest(queries: DataFrame, targets: DataFrame, f: Features, k: int = 1, not_itself: bool = False) -> DataFrame:
-    """row_id, pos (0 first), neighbour, dkey: the k nearest targets of each query in (distance, row) order.
+def _least_mismatch(f: Features) -> int:
+    """A distance key that no pair with different categories stays under."""
+    return int((1 if f.metric == "gower" else 2) * SCALE / (f.n_numeric + f.n_categorical)) - 2
 
-    ``not_itself``: both frames are the same table, and a row is no neighbour of itself.
-    """
-    ship_package(queries.sparkSession)
-    spare = k + int(not_itself)
-    own = queries.groupBy(*f.names).agg(F.min("row_id").alias("query"))
-    other = _distinct(targets, f, spare)
-    nq, nt = (_blocks(x.count()) for x in (own, other))
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` for more than one use: in the shared folder where the session has one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def _dealt(own: DataFrame, other: DataFrame, f: Features, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (b, qb, tb): bucket, block of queries, block of targets; a pair of one bucket meets once."""
     h = F.xxhash64(*f.names)
+    # A category that is missing hashes like nothing; a marker keeps it apart.
+    kind = F.xxhash64(*(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in f.names[f.n_numeric :])) if f.n_categorical else F.lit(0)
+    b = F.pmod(kind, F.lit(buckets)).cast("int") if buckets > 1 else F.lit(0)
+    own, other = own.withColumn("b", b), other.withColumn("b", b)
+    blocks = lambda df, name: df.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = _kept(blocks(own, "nq").join(blocks(other, "nt"), "b"))
+    left, right = own.join(sizes, "b"), other.join(sizes, "b")
+    left = left.withColumn("qb", F.pmod(h, F.col("nq")).cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
+    right = right.withColumn("tb", F.pmod(h, F.col("nt")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     # Co-grouping names columns by their frame: fresh ones keep a table apart from itself.
-    own, other = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (own, other))
-    left = own.withColumn("qb", F.pmod(h, F.lit(nq)).cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
-    right = other.withColumn("tb", F.pmod(h, F.lit(nt)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    return tuple(x.drop("nq", "nt").select(*(F.col(c).alias(c) for c in x.columns if c not in ("nq", "nt"))) for x in (left, right))
+
+
+def _found(own: DataFrame, other: DataFrame, f: Features, spare: int, buckets: int) -> DataFrame:
+    """query, dkey, neighbour: the ``spare`` best targets of each query in each pair of blocks of its bucket."""
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -89,19 +102,47 @@ def k_nearest(queries: DataFrame, targets: DataFrame, f: Features, k: int = 1, n
                 out_t.append(t[keep])
         return pd.DataFrame({"query": np.concatenate(out_q), "dkey": np.concatenate(out_d), "neighbour": np.concatenate(out_t)})
 
-    found = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(best, "query long, dkey long, neighbour long")
+    left, right = _dealt(own, other, f, buckets)
+    return left.groupBy("b", "qb", "tb").cogroup(right.groupBy("b", "qb", "tb")).applyInPandas(best, "query long, dkey long, neighbour long")
+
+
+def _merged(found: DataFrame, spare: int) -> DataFrame:
+    """The ``spare`` best of each query over all its blocks."""
+    if spare == 1:
+        return found.groupBy("query").agg(F.min(F.struct("dkey", "neighbour")).alias("b")).select("query", "b.dkey", "b.neighbour")
+    return found.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy("dkey", "neighbour"))).where(F.col("__r") <= spare).drop("__r")
+
+
+def _candidates(own: DataFrame, other: DataFrame, f: Features, spare: int) -> DataFrame:
+    """query, dkey, neighbour: the ``spare`` nearest targets of each query."""
+    buckets = -(-other.count() // BUCKET) if f.n_categorical else 1
+    if buckets <= 1:
+        return _merged(_found(own, other, f, spare, 1), spare)
+    inside = _kept(_merged(_found(own, other, f, spare, buckets), spare))
+    closed = inside.groupBy("query").agg(F.count("*").alias("n"), F.max("dkey").alias("far")).where((F.col("n") == spare) & (F.col("far") < _least_mismatch(f))).select("query")
+    open_ = _kept(own.join(closed, "query", "left_anti"))
+    done = inside.join(closed, "query", "left_semi")
+    return done if open_.isEmpty() else done.unionByName(_merged(_found(open_, other, f, spare, 1), spare))
+
+
+def k_nearest(queries: DataFrame, targets: DataFrame, f: Features, k: int = 1, not_itself: bool = False) -> DataFrame:
+    """row_id, pos (0 first), neighbour, dkey: the k nearest targets of each query in (distance, row) order.
+
+    ``not_itself``: both frames are the same table, and a row is no neighbour of itself.
+    """
+    ship_package(queries.sparkSession)
+    spare = k + int(not_itself)
+    own = queries.groupBy(*f.names).agg(F.min("row_id").alias("query"))
+    merged = _candidates(own, _distinct(targets, f, spare), f, spare)
     # Back to every query row of an equal record.
     every = queries.select("row_id", *(F.col(c).alias(f"__q_{c}") for c in f.names))
     known = own.select("query", *(F.col(c).alias(f"__k_{c}") for c in f.names))
     same = F.lit(True)
     for c in f.names:
         same = same & F.col(f"__q_{c}").eqNullSafe(F.col(f"__k_{c}"))
-    members = every.join(known, same).select("row_id", "query")
+    joined = every.join(known, same).select("row_id", "query").join(merged, "query")
     if k == 1 and not not_itself:
-        one = found.groupBy("query").agg(F.min(F.struct("dkey", "neighbour")).alias("b")).select("query", F.lit(0).alias("pos"), F.col("b.neighbour").alias("neighbour"), F.col("b.dkey").alias("dkey"))
-        return members.join(one, "query").select("row_id", "pos", "neighbour", "dkey")
-    merged = found.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy("dkey", "neighbour"))).where(F.col("__r") <= spare).drop("__r")
-    joined = members.join(merged, "query")
+        return joined.select("row_id", F.lit(0).alias("pos"), "neighbour", "dkey")
     if not_itself:
         joined = joined.where("row_id <> neighbour")
     ranked = joined.withColumn("pos", F.row_number().over(Window.partitionBy("row_id").orderBy("dkey", "neighbour")) - 1)
