@@ -47,7 +47,7 @@ def _least_mismatch(f: Features) -> int:
     return int((1 if f.metric == "gower" else 2) * SCALE / (f.n_numeric + f.n_categorical)) - 2
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept_for_reuse(df: DataFrame) -> DataFrame:
     """``df`` for more than one use: in the shared folder where the session has one."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
@@ -60,7 +60,7 @@ def _dealt(own: DataFrame, other: DataFrame, f: Features, buckets: int) -> tuple
     b = F.pmod(kind, F.lit(buckets)).cast("int") if buckets > 1 else F.lit(0)
     own, other = own.withColumn("b", b), other.withColumn("b", b)
     blocks = lambda df, name: df.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = _kept(blocks(own, "nq").join(blocks(other, "nt"), "b"))
+    sizes = kept_for_reuse(blocks(own, "nq").join(blocks(other, "nt"), "b"))
     left, right = own.join(sizes, "b"), other.join(sizes, "b")
     left = left.withColumn("qb", F.pmod(h, F.col("nq")).cast("int")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
     right = right.withColumn("tb", F.pmod(h, F.col("nt")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
@@ -118,9 +118,9 @@ def _candidates(own: DataFrame, other: DataFrame, f: Features, spare: int) -> Da
     buckets = -(-other.count() // BUCKET) if f.n_categorical else 1
     if buckets <= 1:
         return _merged(_found(own, other, f, spare, 1), spare)
-    inside = _kept(_merged(_found(own, other, f, spare, buckets), spare))
+    inside = kept_for_reuse(_merged(_found(own, other, f, spare, buckets), spare))
     closed = inside.groupBy("query").agg(F.count("*").alias("n"), F.max("dkey").alias("far")).where((F.col("n") == spare) & (F.col("far") < _least_mismatch(f))).select("query")
-    open_ = _kept(own.join(closed, "query", "left_anti"))
+    open_ = kept_for_reuse(own.join(closed, "query", "left_anti"))
     done = inside.join(closed, "query", "left_semi")
     return done if open_.isEmpty() else done.unionByName(_merged(_found(open_, other, f, spare, 1), spare))
 

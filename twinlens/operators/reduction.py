@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.distance import prepare
 from ..functions.schema import AnalysisSchema
 from .inference import inference_records
+from .neighbours import kept_for_reuse
 from .propensity import propensity_scores
 
 STRATEGIES: dict[str, Callable] = {}
@@ -62,7 +63,7 @@ def delete_random(c: Context) -> tuple[DataFrame, dict]:
 def delete_by_probability(c: Context) -> tuple[DataFrame, dict]:
     """Rows that the propensity model is surest are synthetic."""
     scores = propensity_scores(c.original, c.synthetic, c.schema, c.options.get("model", "logistic_regression"), c.options.get("params"), c.seed, "row_id")
-    own = scores.scored.where("label = 1").cache()
+    own = kept_for_reuse(scores.scored.where("label = 1"))
     deleted = _first(own, c.n_synthetic - c.target, F.col("p").desc(), "row_id")
     low = own.join(deleted, "row_id", "left_semi").agg(F.min("p")).first()[0]
     high = own.join(deleted, "row_id", "left_anti").agg(F.max("p")).first()[0]
@@ -119,7 +120,7 @@ def delete_by_distance(c: Context) -> tuple[DataFrame, dict]:
     records = c.options.get("records")
     if records is None:
         records = inference_records(f.of(c.original, "row_id"), f.of(c.synthetic, "row_id"), f)
-    records = records.cache()
+    records = kept_for_reuse(records)
     n = records.agg(F.count_if("flag").alias("f"), F.count_if("tie").alias("t"), F.count("*").alias("n")).first()
     plan = plan_deletions(n["f"], n["n"] - n["f"] - n["t"], n["t"], c.target, risk)
     return planned_rows(records, plan), plan | {"target_risk": risk}

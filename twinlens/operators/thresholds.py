@@ -18,7 +18,7 @@ from ..functions.schema import AnalysisSchema, q
 from ..functions.stats import normal_threshold
 from ..sources.workers import ship_package
 from .association import associations, constant_columns, difference_value
-from .neighbours import k_nearest
+from .neighbours import k_nearest, kept_for_reuse
 from .propensity import pmse, propensity_scores
 
 METRICS = ("univariate_similarity", "bivariate_similarity", "pmse", "single_out_risk", "inference_risk", "linkage_risk")
@@ -102,7 +102,7 @@ def simulate_inference(original: DataFrame, f: Features, n: int | None, seeds: S
 
     def whole(found: DataFrame) -> tuple[DataFrame, int]:
         """Fills in records whose list met no member of A."""
-        found = found.cache()
+        found = kept_for_reuse(found)
         missing = found.where("neighbour is null")
         sims = [r["sim"] for r in missing.select("sim").distinct().collect()]  # at most one row per simulation
         out, n_missing = found.where("neighbour is not null"), 0

@@ -12,7 +12,7 @@ from ..functions.schema import AnalysisSchema, q
 from ..functions.stats import chi2_tail, ks_tail
 from .association import chi_square
 
-GRID = 50
+GRID, RANGES, TOGETHER = 50, 64, 16
 
 
 def _long(original: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -34,9 +34,11 @@ def ks_statistics(original: DataFrame, synthetic: DataFrame, columns: Sequence[s
     task holds a whole column: each range is shifted by what lies before it.
     """
     counts = level_counts(original, synthetic, columns)
-    bounds = counts.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n_o").alias("m"), F.sum("n_s").alias("n"))
-    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    placed = counts.join(F.broadcast(bounds), "column").withColumn("part", F.coalesce(F.floor(256 * (F.col("value") - F.col("lo")) / width), F.lit(0)))
+    # Ranges end at quantiles of the distinct values, so an outlier leaves them about equally full.
+    cuts = F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 10 * RANGES)
+    bounds = counts.groupBy("column").agg(cuts.alias("cuts"), F.sum("n_o").alias("m"), F.sum("n_s").alias("n"))
+    # A row per column.
+    placed = counts.join(F.broadcast(bounds), "column").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     sums = placed.groupBy("column", "part").agg(F.sum("n_o").alias("po"), F.sum("n_s").alias("ps"))
     before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifted = sums.select("column", "part", F.coalesce(F.sum("po").over(before), F.lit(0)).alias("bo"), F.coalesce(F.sum("ps").over(before), F.lit(0)).alias("bs"))
@@ -54,22 +56,27 @@ def chi2_statistics(original: DataFrame, synthetic: DataFrame, columns: Sequence
 
 
 def ecdf_grid(original: DataFrame, synthetic: DataFrame, columns: Sequence[str], points: int = GRID) -> DataFrame:
-    """column, point, x, ecdf_o, ecdf_s: right-continuous ECDFs at even points of the original's range."""
-    out = []
+    """column, point, x, ecdf_o, ecdf_s: right-continuous ECDFs at even points of the original's range; one aggregation a side for ``TOGETHER`` columns."""
     ranges = original.agg(*(F.struct(F.min(q(c)).alias("lo"), F.max(q(c)).alias("hi")).alias(f"c{k}") for k, c in enumerate(columns))).first()
+    grids = {}
     for k, c in enumerate(columns):
         lo, hi = ranges[f"c{k}"]["lo"], ranges[f"c{k}"]["hi"]
-        if lo is None:
-            continue
-        xs = [lo + (hi - lo) * i / (points - 1) for i in range(points - 1)] + [hi]
-
-        def side(df: DataFrame, name: str, c: str = c, xs: list[float] = xs) -> DataFrame:
-            shares = F.array(*(F.try_divide(F.count_if(q(c) <= x), F.count(q(c))) for x in xs))
-            return df.agg(shares.alias("y")).select(F.posexplode("y").alias("point", name))
-
-        table = original.sparkSession.createDataFrame([(c, i, float(x)) for i, x in enumerate(xs)], "column string, point int, x double")
-        out.append(table.join(side(original, "ecdf_o"), "point").join(side(synthetic, "ecdf_s"), "point").select("column", "point", "x", "ecdf_o", "ecdf_s"))
-    return reduce(DataFrame.unionByName, out)
+        if lo is not None:
+            grids[c] = [float(x) for x in [lo + (hi - lo) * i / (points - 1) for i in range(points - 1)] + [hi]]
+    table = original.sparkSession.createDataFrame([(c, i, x) for c, xs in grids.items() for i, x in enumerate(xs)], "column string, point int, x double")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        out = []
+        for at in range(0, len(grids), TOGETHER):
+            some = list(grids.items())[at : at + TOGETHER]
+            shares = df.agg(*(F.array(*(F.try_divide(F.count_if(q(c) <= x), F.count(q(c))) for x in xs)).alias(f"y{k}") for k, (c, xs) in enumerate(some)))
+            rows = shares.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"y{k}").alias("y")) for k, (c, _) in enumerate(some)))))
+            out.append(rows.select("column", F.posexplode("y").alias("point", name)))
+        return reduce(DataFrame.unionByName, out)
+
+    if not grids:
+        return table.select("column", "point", "x", F.lit(None).cast("double").alias("ecdf_o"), F.lit(None).cast("double").alias("ecdf_s"))
+    return table.join(side(original, "ecdf_o"), ["column", "point"]).join(side(synthetic, "ecdf_s"), ["column", "point"])
 
 
 def category_bars(original: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:

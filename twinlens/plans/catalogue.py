@@ -443,7 +443,7 @@ SELECT row_id FROM x, pl WHERE pos <= CASE kind WHEN 0 THEN d0 WHEN 1 THEN d1 EL
 
 @query("planner_selection", _RECORDS_SQL + _planner_sql("CAST(floor(count(*) * 2 / 3) AS BIGINT)", 0.5))
 def planner_selection(spark: SparkSession, d: str) -> DataFrame:
-    records = _records(spark, d).cache()
+    records = neighbours.kept_for_reuse(_records(spark, d))
     n = records.agg(F.count_if("flag").alias("f"), F.count_if("tie").alias("t"), F.count("*").alias("n")).first()
     plan = reduction.plan_deletions(n["f"], n["n"] - n["f"] - n["t"], n["t"], n["n"] * 2 // 3, 0.5)
     return reduction.planned_rows(records, plan)
