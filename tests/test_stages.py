@@ -39,6 +39,20 @@ def test_csv_reading(spark, tmp_path):
         tables.read_table(spark, str(tmp_path / "a.bin"))
 
 
+def test_large_csv_is_read_alike(spark, tmp_path, monkeypatch):
+    """With and without line breaks within quotes, in both encodings: splitting changes nothing."""
+    rows = [(k, k / 4, f" v{k % 7}", f"가{k}") for k in range(300)]
+    write(tmp_path / "a.csv", rows)
+    write(tmp_path / "b.csv", [*rows, (1, 2, '"x\ny"', "z")])
+    (tmp_path / "k.csv").write_bytes("이름,v\n가,1\n나,2\n".encode("cp949"))
+    small = [sorted(map(tuple, tables.read_table(spark, str(tmp_path / f"{n}.csv")).collect())) for n in "abk"]
+    assert [len(x) for x in small] == [300, 301, 2]
+    monkeypatch.setattr(tables, "SPLIT_BYTES", 0)
+    assert [sorted(map(tuple, tables.read_table(spark, str(tmp_path / f"{n}.csv")).collect())) for n in "abk"] == small
+    assert tables._csv_facts(spark, str(tmp_path / "a.csv")) == (False, False)
+    assert tables._csv_facts(spark, str(tmp_path / "b.csv")) == (True, False)
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(2, " b ", ""), (1, 'a"q', "x,y")], "k int, s string, t string")
     tables.write_csv(df, str(tmp_path / "o.csv"), "k")

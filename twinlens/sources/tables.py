@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import codecs
+import csv
 import hashlib
+import io
 import json
 import math
 import os
+import shutil
 from datetime import datetime
 from pathlib import Path
 
@@ -20,6 +23,8 @@ from ..functions.schema import q
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 CAP_NA_TOKENS = ["", "null", "NULL", "NaN", "nan"]
 ENCODINGS = ("utf-8-sig", "cp949")
+#: Local CSV files up to this size are read by one task.
+SPLIT_BYTES = 32 << 20
 FORMATS = (".csv", ".txt", ".parquet", ".xlsx", ".xls")
 
 
@@ -48,10 +53,26 @@ def detect_encoding(path: str, block: int = 1 << 20) -> str:
     raise ValueError(f"{path} is encoded as none of {ENCODINGS}")
 
 
+def _csv_facts(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """(whether some line ends within quotes, whether it is no UTF-8) of a file of any size, by executors."""
+    line = F.col("value")
+    open_ = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    row = spark.read.text(path).agg(F.bool_or(open_), F.bool_or(~F.is_valid_utf8(line))).first()
+    return bool(row[0]), bool(row[1])
+
+
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as texts; an empty unquoted field is NULL."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    if "://" not in path and detect_encoding(path) == "cp949":
+    """All columns as texts; an empty unquoted field is NULL.
+
+    A file with line breaks within quotes, or a small one, is read by one task; a large
+    one without them is split.
+    """
+    if "://" not in path and os.path.getsize(path) <= SPLIT_BYTES:
+        whole, cp949 = True, detect_encoding(path) == "cp949"
+    else:
+        whole, cp949 = _csv_facts(spark, path)
+    reader = spark.read.option("header", True).option("multiLine", whole).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    if cp949:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         reader = reader.option("encoding", "MS949")
     return reader.csv(path)
@@ -107,18 +128,20 @@ def read_table_as_strings(spark: SparkSession, path: str, na_values: list[str] |
 
 
 def write_csv(df: DataFrame, path: str, order: str | None = None) -> None:
-    """One CSV file with a byte-order mark, written by one task from rows in order, never held as a whole."""
+    """One CSV file with a byte-order mark: parts in order are written by executors, then joined block by block."""
     out = df.orderBy(q(order)).drop(order) if order else df
     tmp = f"{path}.parts"
-    out.coalesce(1).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("escape", '"').csv(tmp)
-    part = next(Path(tmp).glob("part-*.csv"))
-    with open(path, "wb") as f, open(part, "rb") as g:
+    out.write.mode("overwrite").option("header", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("escape", '"').csv(tmp)
+    with open(path, "wb") as f:
         f.write(codecs.BOM_UTF8)
-        while block := g.read(1 << 20):
-            f.write(block)
-    for p in Path(tmp).iterdir():
-        p.unlink()
-    Path(tmp).rmdir()
+        head = io.StringIO()
+        csv.writer(head, lineterminator="\n").writerow(out.columns)
+        f.write(head.getvalue().encode("utf-8"))
+        for part in sorted(Path(tmp).glob("part-*.csv")):
+            with open(part, "rb") as g:
+                while block := g.read(1 << 20):
+                    f.write(block)
+    shutil.rmtree(tmp)
 
 
 def to_jsonable(x):
