@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from ._store import map_arrow
 
 #: Words that a worker remembers, then it starts again, and the longest of them.  Bounds memory, not results.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 300_000, 48
 #: Fragments up to this length are merged by scanning their ranks, longer ones with a heap.
 SCANNED = 64
 ENCODED = "doc_id long, ids array<int>, decoded string"
