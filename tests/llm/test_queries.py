@@ -76,7 +76,7 @@ def test_pipeline_stages_against_brute_force(spark, sf):
 
 def test_pipeline_stages_take_odd_tables(spark, sf, texts):
     """Nulls in every column, repeated and missing ids, equal rows, extra columns of any name; then an empty table."""
-    names = "row doc uid kept score __path __row path tokens".split()
+    names = "row doc uid kept score __path __row path tokens __gone __id __again".split()
     rows = [(None if k % 9 == 0 else k % 40, t, None if k % 4 else "en", None if k % 3 else f"src{k % 5}", None, *["x"] * len(names)) for k, t in enumerate(texts)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
     for found in (rows + rows[5:9] * 2, []):

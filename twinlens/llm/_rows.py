@@ -55,8 +55,9 @@ def rows_of(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """``docs`` (all columns) without the rows in ``gone`` (row, doc_id: distinct); of equal rows in ``repeated`` (row, doc_id) one stays."""
-    gone = gone.select(F.col("row").alias("__gone"), F.col("doc_id").alias("__id"))
-    left = docs.join(gone.hint("shuffle_hash"), (row_key() == F.col("__gone")) & docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    gone = gone.select(F.col("row").alias("__gone"), F.col("doc_id").alias("__id")).hint("shuffle_hash")
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    left = docs.join(gone, (key == gone["__gone"]) & docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
     if repeated is None or repeated.isEmpty():
         return left
     name = "__row" + "_" * max(len(c) for c in docs.columns)
