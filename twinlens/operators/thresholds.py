@@ -17,7 +17,9 @@ from ..functions.distance import Features
 from ..functions.schema import AnalysisSchema, q
 from ..functions.stats import normal_threshold
 from ..sources.workers import ship_package
-from .association import associations, constant_columns, difference_value
+from .association import constant_columns, difference_value
+from .half_association import half_associations
+from .halves import split_in_a
 from .neighbours import k_nearest, kept_for_reuse
 from .propensity import pmse, propensity_scores
 
@@ -44,13 +46,6 @@ def derive_seeds(seed: int, n: int) -> list[int]:
     return [int(x) for x in np.random.default_rng(seed).integers(0, 2**31 - 1, n)]
 
 
-def split_in_a(n: int, seed: int) -> np.ndarray:
-    """True for the rows of the first half of a seeded permutation."""
-    out = np.zeros(n, bool)
-    out[np.random.default_rng(seed).permutation(n)[: n // 2]] = True
-    return out
-
-
 def splits(original: DataFrame, n: int | None, seeds: Sequence[int]) -> DataFrame:
     """sim, row_id, in_a.
 
@@ -129,9 +124,7 @@ def simulate_bivariate(original: DataFrame, schema: AnalysisSchema, n: int | Non
     used = schema.subset([c for c in schema.columns if c not in constant])
     if len(used.columns) < 2:
         raise ValueError("fewer than two columns to compare")
-    rows = splits(original, n, seeds).join(original.select("row_id", *(q(c) for c in used.columns)), "row_id")
-    matrix = associations(rows, used, ["sim", "in_a"])
-    pairs = matrix.groupBy("sim", "column_1", "column_2").agg(F.max(F.when(F.col("in_a"), F.col("value"))).alias("original"), F.max(F.when(~F.col("in_a"), F.col("value"))).alias("synthetic"))
+    pairs = half_associations(original, used, n, seeds)
     return difference_value(pairs, len(used.columns), group=["sim"]).select("sim", "value"), constant
 
 
