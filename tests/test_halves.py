@@ -72,3 +72,27 @@ def test_bivariate_without_a_value(spark):
     table = spark.createDataFrame([(i, "x" if i else "z", "uv"[i % 2], float(i)) for i in range(12)], "row_id long, a string, b string, x double")
     values, _ = thresholds.simulate_bivariate(table, AnalysisSchema(("a", "b", "x"), ("a", "b"), ("x",)), 12, [1, 2])
     assert [r.value for r in values.collect()] == [None, None]
+
+
+@pytest.mark.parametrize(("n", "k"), [(60, 64), (60, 2), (None, 64), (None, 2)])
+def test_inference_with_equal_rows(spark, n, k):
+    """Lists are those of distinct records; a row is no neighbour of itself, an equal row is."""
+    from twinlens.functions.distance import prepare
+
+    seeds, schema = [1, 2, 3], AnalysisSchema(("c", "x"), ("c",), ("x",))
+    r = np.random.default_rng(2)
+    table = spark.createDataFrame([(i, "uvw"[c], float(x)) for i, (c, x) in enumerate(zip(r.integers(0, 3, 60), r.integers(0, 6, 60)))], "row_id long, c string, x double").cache()
+    f = prepare(table, schema)
+    rows = sorted(table.collect())
+    span = max(x.x for x in rows) - min(x.x for x in rows)
+    far = lambda a, b: round(((a.c != b.c) + abs(a.x - b.x) / span) / 2, 9)
+    nearest = lambda a, side: min((far(a, b), b.row_id) for b in side if b.row_id != a.row_id)
+    values = thresholds.simulate_inference(f.of(table, "row_id"), f, n, seeds, k)
+    got = {v.sim: (v.value, v.n_ties) for v in values.collect()}
+    for s, in_a in enumerate(in_a_of(table, n, seeds)):
+        a = [x for x, side in zip(rows, in_a) if side]
+        met = [(d, nearest(rows[m], a)[0]) for d, m in (nearest(x, a) for x, side in zip(rows, in_a) if not side)]
+        ties = sum(d == e for d, e in met)
+        assert got[s] == (pytest.approx(sum(d < e for d, e in met) / (len(met) - ties)) if ties < len(met) else None, ties)
+    if k == 64:  # else searches of single rows follow
+        never_broadcast(values)

@@ -125,6 +125,24 @@ def _candidates(own: DataFrame, other: DataFrame, f: Features, spare: int) -> Da
     return done if open_.isEmpty() else done.unionByName(_merged(_found(open_, other, f, spare, 1), spare))
 
 
+def _records(rows: DataFrame, f: Features, how: str = "") -> tuple[DataFrame, DataFrame]:
+    """(distinct records with ``query``, their smallest row id; row_id and query of every row).  ``how``: a join hint."""
+    own = rows.groupBy(*f.names).agg(F.min("row_id").alias("query"))
+    every = rows.select("row_id", *(F.col(c).alias(f"__q_{c}") for c in f.names))
+    known = own.select("query", *(F.col(c).alias(f"__k_{c}") for c in f.names))
+    same = F.lit(True)
+    for c in f.names:
+        same = same & F.col(f"__q_{c}").eqNullSafe(F.col(f"__k_{c}"))
+    return own, every.join(known.hint(how) if how else known, same).select("row_id", "query")
+
+
+def record_lists(rows: DataFrame, f: Features, k: int) -> tuple[DataFrame, DataFrame]:
+    """(row_id, query; query, dkey, neighbour): for each distinct record its ``k`` nearest rows, its own rows among them."""
+    ship_package(rows.sparkSession)
+    own, every = _records(rows, f, "merge")
+    return every, _candidates(own, _distinct(rows, f, k), f, k)
+
+
 def k_nearest(queries: DataFrame, targets: DataFrame, f: Features, k: int = 1, not_itself: bool = False) -> DataFrame:
     """row_id, pos (0 first), neighbour, dkey: the k nearest targets of each query in (distance, row) order.
 
@@ -132,15 +150,10 @@ def k_nearest(queries: DataFrame, targets: DataFrame, f: Features, k: int = 1, n
     """
     ship_package(queries.sparkSession)
     spare = k + int(not_itself)
-    own = queries.groupBy(*f.names).agg(F.min("row_id").alias("query"))
+    own, every = _records(queries, f)
     merged = _candidates(own, _distinct(targets, f, spare), f, spare)
     # Back to every query row of an equal record.
-    every = queries.select("row_id", *(F.col(c).alias(f"__q_{c}") for c in f.names))
-    known = own.select("query", *(F.col(c).alias(f"__k_{c}") for c in f.names))
-    same = F.lit(True)
-    for c in f.names:
-        same = same & F.col(f"__q_{c}").eqNullSafe(F.col(f"__k_{c}"))
-    joined = every.join(known, same).select("row_id", "query").join(merged, "query")
+    joined = every.join(merged, "query")
     if k == 1 and not not_itself:
         return joined.select("row_id", F.lit(0).alias("pos"), "neighbour", "dkey")
     if not_itself:

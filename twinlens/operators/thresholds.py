@@ -19,8 +19,8 @@ from ..functions.stats import normal_threshold
 from ..sources.workers import ship_package
 from .association import constant_columns, difference_value
 from .half_association import half_associations
+from .half_neighbours import half_neighbours
 from .halves import split_in_a
-from .neighbours import k_nearest, kept_for_reuse
 from .propensity import pmse, propensity_scores
 
 METRICS = ("univariate_similarity", "bivariate_similarity", "pmse", "single_out_risk", "inference_risk", "linkage_risk")
@@ -85,37 +85,9 @@ def simulate_inference(original: DataFrame, f: Features, n: int | None, seeds: S
     lies in A, and that one's own reference likewise.  Where a list has none, the pairs
     of that split are searched in full.
     """
-    lists = k_nearest(original, original, f, neighbours if n is None else min(neighbours, n - 1), not_itself=True)
-    side = splits(original, n, seeds)
-    in_a = side.where("in_a").select("sim", F.col("row_id").alias("neighbour"))
-
-    def first(of: DataFrame) -> DataFrame:
-        """of: sim, row_id.  The first neighbour in A, or NULLs."""
-        met = of.join(lists, "row_id").join(in_a, ["sim", "neighbour"]).groupBy("sim", "row_id").agg(F.min(F.struct("pos", "neighbour", "dkey")).alias("m"))
-        joined = of.join(met, ["sim", "row_id"], "left").select("sim", "row_id", F.col("m.neighbour").alias("neighbour"), F.col("m.dkey").alias("dkey"))
-        return joined
-
-    def whole(found: DataFrame) -> tuple[DataFrame, int]:
-        """Fills in records whose list met no member of A."""
-        found = kept_for_reuse(found)
-        missing = found.where("neighbour is null")
-        sims = [r["sim"] for r in missing.select("sim").distinct().collect()]  # at most one row per simulation
-        out, n_missing = found.where("neighbour is not null"), 0
-        for s in sims:
-            rows = missing.where(F.col("sim") == s).select("row_id")
-            n_missing += rows.count()
-            a = side.where(f"sim = {s} and in_a").select("row_id")
-            near = k_nearest(original.join(rows, "row_id", "left_semi"), original.join(a, "row_id", "left_semi"), f, 2)
-            near = near.where("row_id <> neighbour").groupBy("row_id").agg(F.min(F.struct("dkey", "neighbour")).alias("m"))
-            out = out.unionByName(near.select(F.lit(s).alias("sim"), "row_id", F.col("m.neighbour").alias("neighbour"), F.col("m.dkey").alias("dkey")))
-        return out, n_missing
-
-    near, missed = whole(first(side.where("not in_a").select("sim", "row_id")))
-    chosen = near.select("sim", F.col("neighbour").alias("row_id")).distinct()
-    back, missed_back = whole(first(chosen))
-    both = near.select("sim", F.col("row_id").alias("q"), F.col("neighbour").alias("row_id"), F.col("dkey").alias("d")).join(back.select("sim", "row_id", F.col("dkey").alias("r")), ["sim", "row_id"])
-    tie, flag = F.count_if(F.col("d") == F.col("r")), F.count_if(F.col("d") < F.col("r"))
-    return both.groupBy("sim").agg(F.try_divide(flag, F.count("*") - tie).alias("value"), tie.alias("n_ties")).withColumn("n_fallbacks", F.lit(missed + missed_back))
+    counts, n_fallbacks = half_neighbours(original, f, n, seeds, neighbours if n is None else min(neighbours, n - 1))
+    value = F.try_divide(F.col("flags"), F.col("records") - F.col("ties"))
+    return counts.select("sim", value.alias("value"), F.col("ties").alias("n_ties"), F.lit(n_fallbacks).alias("n_fallbacks"))
 
 
 def simulate_bivariate(original: DataFrame, schema: AnalysisSchema, n: int | None, seeds: Sequence[int]) -> tuple[DataFrame, list[str]]:
