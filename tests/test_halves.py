@@ -96,3 +96,16 @@ def test_inference_with_equal_rows(spark, n, k):
         assert got[s] == (pytest.approx(sum(d < e for d, e in met) / (len(met) - ties)) if ties < len(met) else None, ties)
     if k == 64:  # else searches of single rows follow
         never_broadcast(values)
+
+
+def test_bivariate_of_hashed_halves(spark):
+    """Row ids with gaps, each counted once."""
+    table = paired(spark, 150, 4).withColumn("row_id", F.col("row_id") * 3 + 7).cache()
+    dealt = dict(zip([r.row_id for r in table.select("row_id").orderBy("row_id").collect()], zip(*in_a_of(table, None, [5, 6]))))
+    want = {}
+    for k in (0, 1):
+        a = [i for i, sides in dealt.items() if sides[k]]
+        want[k] = association.bivariate_similarity(table.where(F.col("row_id").isin(a)), table.where(~F.col("row_id").isin(a)), PAIRED, False)[0].first()["value"]
+    values, _ = thresholds.simulate_bivariate(table, PAIRED, None, [5, 6])
+    assert {r.sim: r.value for r in values.collect()} == pytest.approx(want, abs=1e-9)
+    never_broadcast(values)
