@@ -74,6 +74,19 @@ def test_bivariate_without_a_value(spark):
     assert [r.value for r in values.collect()] == [None, None]
 
 
+def test_bivariate_of_hashed_halves(spark):
+    """Row ids with gaps, each counted once."""
+    table = paired(spark, 150, 4).withColumn("row_id", F.col("row_id") * 3 + 7).cache()
+    dealt = dict(zip([r.row_id for r in table.select("row_id").orderBy("row_id").collect()], zip(*in_a_of(table, None, [5, 6]))))
+    want = {}
+    for k in (0, 1):
+        a = [i for i, sides in dealt.items() if sides[k]]
+        want[k] = association.bivariate_similarity(table.where(F.col("row_id").isin(a)), table.where(~F.col("row_id").isin(a)), PAIRED, False)[0].first()["value"]
+    values, _ = thresholds.simulate_bivariate(table, PAIRED, None, [5, 6])
+    assert {r.sim: r.value for r in values.collect()} == pytest.approx(want, abs=1e-9)
+    never_broadcast(values)
+
+
 @pytest.mark.parametrize(("n", "k"), [(60, 64), (60, 2), (None, 64), (None, 2)])
 def test_inference_with_equal_rows(spark, n, k):
     """Lists are those of distinct records; a row is no neighbour of itself, an equal row is."""
@@ -98,14 +111,17 @@ def test_inference_with_equal_rows(spark, n, k):
         never_broadcast(values)
 
 
-def test_bivariate_of_hashed_halves(spark):
-    """Row ids with gaps, each counted once."""
-    table = paired(spark, 150, 4).withColumn("row_id", F.col("row_id") * 3 + 7).cache()
-    dealt = dict(zip([r.row_id for r in table.select("row_id").orderBy("row_id").collect()], zip(*in_a_of(table, None, [5, 6]))))
-    want = {}
-    for k in (0, 1):
-        a = [i for i, sides in dealt.items() if sides[k]]
-        want[k] = association.bivariate_similarity(table.where(F.col("row_id").isin(a)), table.where(~F.col("row_id").isin(a)), PAIRED, False)[0].first()["value"]
-    values, _ = thresholds.simulate_bivariate(table, PAIRED, None, [5, 6])
-    assert {r.sim: r.value for r in values.collect()} == pytest.approx(want, abs=1e-9)
+@pytest.mark.parametrize("n", [5000, None])
+def test_single_out_keeps_rows_by_record(spark, n):
+    """One record with thousands of copies, others with few or none; a task takes each record's counts, not rows times simulations."""
+    table = spark.range(5000).select(F.col("id").alias("row_id"), F.when(F.col("id") < 3000, "common").when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise((F.col("id") % 700).cast("string")).alias("c"))
+    seeds = [1, 2, 3]
+    values = thresholds.simulate_single_out(table, ["c"], n, seeds)
+    got = {v.sim: v.value for v in values.collect()}
+    rows = sorted(table.collect())
+    for s, in_a in enumerate(in_a_of(table, n, seeds)):
+        a, b = ([x.c for x, side in zip(rows, in_a) if side == which] for which in (True, False))
+        copies = {c: a.count(c) for c in set(a)}
+        assert got[s] == pytest.approx(sum(1 / copies[c] for c in b if c in copies) / len(b), abs=1e-9)
     never_broadcast(values)
+    assert thresholds.simulate_single_out(table.limit(0), ["c"], None, seeds).count() == 0

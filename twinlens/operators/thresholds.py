@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from ..functions.distance import Features
 from ..functions.schema import AnalysisSchema, q
 from ..functions.stats import normal_threshold
 from ..sources.workers import ship_package
+from . import halves
 from .association import constant_columns, difference_value
 from .half_association import half_associations
 from .half_neighbours import half_neighbours
@@ -71,10 +73,31 @@ def splits(original: DataFrame, n: int | None, seeds: Sequence[int]) -> DataFram
 
 def simulate_single_out(original: DataFrame, columns: Sequence[str], n: int | None, seeds: Sequence[int], by_duplicates: bool = True) -> DataFrame:
     """sim, value: half B against half A.  A record is known by 128 bits of hashes of its values."""
+    sims = len(seeds)
     key = original.select("row_id", F.xxhash64(*(F.coalesce(q(c).cast("string"), F.lit("\0")) for c in columns)).alias("g"), F.xxhash64(F.lit(1), *(F.coalesce(q(c).cast("string"), F.lit("\0")) for c in columns)).alias("g2"))
-    counts = splits(original, n, seeds).join(key, "row_id").groupBy("sim", "g", "g2").agg(F.count_if("in_a").alias("a"), F.count_if(~F.col("in_a")).alias("b"))
-    hit = F.col("b") / F.col("a") if by_duplicates else F.col("b").cast("double")
-    return counts.groupBy("sim").agg((F.sum(F.when(F.col("a") > 0, hit).otherwise(0.0)) / F.sum("b")).alias("value"))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in halves.chunks(batches):
+            g, g2 = (table.column(c).to_numpy() for c in ("g", "g2"))
+            order = np.lexsort((g2, g))
+            g, g2 = g[order], g2[order]
+            at = halves.starts(g, g2)
+            a = np.add.reduceat(halves.members(halves.column(table, "halves"), sims)[order], at, axis=0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(g2[at]), pa.array(np.diff(at, append=len(g))), halves.counted(a)], names=["g", "g2", "n", "a"])
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit, size, any_rows = np.zeros(sims), np.zeros(sims, np.int64), False
+        for table in halves.chunks(batches):
+            a = halves.counts(halves.column(table, "a"), sims)
+            b = table.column("n").to_numpy()[:, None] - a
+            hit += np.where(a > 0, b / np.maximum(a, 1) if by_duplicates else b, 0.0).sum(0)
+            size += b.sum(0)
+            any_rows = True
+        if any_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sims, dtype=np.int32)), pa.array(hit), pa.array(size)], names=["sim", "hit", "b"])
+
+    groups = halves.summed(halves.with_halves(key, n, seeds).mapInArrow(records, "g long, g2 long, n long, a binary"), ["g", "g2"], sims)
+    return groups.mapInArrow(hits, "sim int, hit double, b long").groupBy("sim").agg(F.try_divide(F.sum("hit"), F.sum("b")).alias("value"))
 
 
 def simulate_inference(original: DataFrame, f: Features, n: int | None, seeds: Sequence[int], neighbours: int = NEIGHBOURS) -> DataFrame:
