@@ -125,3 +125,27 @@ def test_single_out_keeps_rows_by_record(spark, n):
         assert got[s] == pytest.approx(sum(1 / copies[c] for c in b if c in copies) / len(b), abs=1e-9)
     never_broadcast(values)
     assert thresholds.simulate_single_out(table.limit(0), ["c"], None, seeds).count() == 0
+
+
+def test_pmse_of_all_simulations_at_once(spark):
+    """The values of one fit after the other, and where those have no penalty gradient left."""
+    from twinlens.operators import propensity
+
+    r = np.random.default_rng(8)
+    level = lambda k: [None if v == 0 else f"l{v}" for v in r.integers(0, k, 200)]
+    table = spark.createDataFrame(list(zip(range(200), level(3), level(5), map(float, r.normal(50, 9, 200)), map(float, r.normal(size=200)))), "row_id long, a string, b string, x double, `y.z` double").cache()
+    schema, seeds = AnalysisSchema(("a", "b", "x", "y.z"), ("a", "b"), ("x", "y.z")), [3, 4]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("pmse", "pmse")
+    got = dict(thresholds.simulate_pmse(table, schema, 200, seeds))
+    assert all(type(v) is float for v in got.values())
+    assert len(jobs.getJobIdsForGroup("pmse")) < 60  # passes, not fits
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for s, seed in enumerate(seeds):
+        in_a = [i for i, side in enumerate(halves.split_in_a(200, seed)) if side]
+        scores = propensity.propensity_scores(table.where(F.col("row_id").isin(in_a)), table.where(~F.col("row_id").isin(in_a)), schema, params={"tol": 1e-13}, row="row_id")
+        assert got[s] == pytest.approx(propensity.pmse(scores).first()["value"], abs=1e-7)
+    with pytest.raises(ValueError, match="Invalid --model_params"):
+        thresholds.simulate_pmse(table, schema, 200, seeds, params={"zz": 1})
+    with pytest.raises(ValueError, match="missing numbers"):
+        thresholds.simulate_pmse(table.withColumn("x", F.when(F.col("row_id") > 3, F.col("x"))), schema, 200, seeds)

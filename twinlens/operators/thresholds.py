@@ -22,8 +22,9 @@ from . import halves
 from .association import constant_columns, difference_value
 from .half_association import half_associations
 from .half_neighbours import half_neighbours
+from .half_propensity import half_pmse
 from .halves import split_in_a
-from .propensity import pmse, propensity_scores
+from .propensity import PARAMETERS, pmse, propensity_scores
 
 METRICS = ("univariate_similarity", "bivariate_similarity", "pmse", "single_out_risk", "inference_risk", "linkage_risk")
 METHODS = ("simulation", "distribution", "user_defined")
@@ -138,7 +139,17 @@ def simulate(original: DataFrame, n: int, seeds: Sequence[int], metric_fn: Calla
 
 
 def simulate_pmse(original: DataFrame, schema: AnalysisSchema, n: int, seeds: Sequence[int], model: str = "logistic_regression", params: dict | None = None) -> list[tuple[int, float]]:
-    """(sim, value): one model per simulation, so a driver loop over fits, each of which is distributed."""
+    """(sim, value): one model per simulation.
+
+    Logistic models are fitted for all simulations in the same passes over the table, as
+    long as a system fits a task; trees and larger systems are a driver loop over fits,
+    each of which is distributed.
+    """
+    known = params or {}
+    if model == "logistic_regression" and set(known) <= set(PARAMETERS[model]):
+        values = half_pmse(original, schema, n, seeds, **{k: v for k, v in known.items() if v is not None})
+        if values is not None:
+            return values
     return simulate(original, n, seeds, lambda a, b, seed: pmse(propensity_scores(a, b, schema, model, params, seed, "row_id")).first()["value"])
 
 
