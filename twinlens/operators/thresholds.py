@@ -1,7 +1,7 @@
 """Thresholds from the original table alone: repeated random halves, or a normal approximation.
 
-Splits of all simulations form one table (sim, row_id, in_a); every metric that is a
-grouping takes all simulations in one job, with ``sim`` as a further key.
+A row keeps one bit a simulation (``halves``), and every metric but those given as a function
+takes all simulations in the same passes over the table.
 """
 
 from __future__ import annotations
@@ -127,8 +127,8 @@ def simulate_bivariate(original: DataFrame, schema: AnalysisSchema, n: int | Non
 def simulate(original: DataFrame, n: int, seeds: Sequence[int], metric_fn: Callable[[DataFrame, DataFrame, int], float | None]) -> list[tuple[int, float | None]]:
     """(sim, value) of any metric: ``metric_fn`` gets both halves (with row_id) of each split, and the split's seed.
 
-    The general way, a driver loop over simulations; the metrics that are groupings take
-    all simulations in one job instead.
+    The general way, a driver loop over simulations; the other functions here take all
+    simulations in the same passes instead.
     """
     out = []
     for sim, seed in enumerate(seeds):
