@@ -1,6 +1,7 @@
 """Halves of many simulations kept as bits of a row."""
 
 import hashlib
+import re
 from itertools import product
 
 import numpy as np
@@ -111,6 +112,37 @@ def test_inference_with_equal_rows(spark, n, k):
         never_broadcast(values)
 
 
+def never_broadcast_records(df):
+    """Joins that are broadcast have one row a bucket on a side."""
+    df.collect()
+    keys = re.findall(r"Broadcast\w*Join \[(\w+)|(BroadcastNestedLoopJoin)", df._jdf.queryExecution().executedPlan().toString())
+    assert not {k or other for k, other in keys} - {"b"}
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_open_searches_broadcast_no_records(spark, k):
+    """Short lists leave searches open in every simulation; their rows are no broadcast side, whatever their estimated size."""
+    from twinlens.functions.distance import prepare
+
+    table = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 5).cast("string").alias("c"), (F.col("id") * 7919 % 3001).cast("double").alias("x"))
+    schema = AnalysisSchema(("c", "x"), ("c",), ("x",))
+    f = prepare(table, schema)
+    values = thresholds.simulate_inference(f.of(table, "row_id"), f, None, [1, 2], k)
+    never_broadcast_records(values)
+    assert all(v.n_fallbacks > 0 for v in values.collect())
+
+
+def test_lists_broadcast_no_records(spark):
+    from twinlens.functions.distance import prepare
+    from twinlens.operators.neighbours import record_lists
+
+    table = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 5).cast("string").alias("c"), (F.col("id") * 7919 % 3001).cast("double").alias("x"))
+    f = prepare(table, AnalysisSchema(("c", "x"), ("c",), ("x",)))
+    lists = record_lists(f.of(table, "row_id"), f, 3)[1]
+    never_broadcast_records(lists)
+    assert lists.count() == 9000
+
+
 @pytest.mark.parametrize("n", [5000, None])
 def test_single_out_keeps_rows_by_record(spark, n):
     """One record with thousands of copies, others with few or none; a task takes each record's counts, not rows times simulations."""

@@ -112,12 +112,15 @@ def half_neighbours(original: DataFrame, f: Features, n: int | None, seeds: list
             yield pa.RecordBatch.from_arrays([pa.array(sim.astype(np.int32)), pa.array(table.column("row_id").to_numpy()[row])], names=["sim", "row_id"])
 
     def searched(open_: DataFrame, spare: int) -> tuple[list[DataFrame], int]:
-        """(sim, row_id, neighbour, dkey) of each simulation with open rows."""
+        """(sim, row_id, neighbour, dkey) of each simulation with open rows.
+
+        All these searches are one plan: a broadcast side of each would be held at once.
+        """
         out, count = [], 0
         for s, rows_of in sorted((r["sim"], r["count"]) for r in open_.groupBy("sim").count().collect()):  # at most one row a simulation
             count += rows_of
-            some = original.join(open_.where(F.col("sim") == s).select("row_id"), "row_id", "left_semi")
-            near = k_nearest(some, original.join(rows.where(in_a(s)).select("row_id"), "row_id", "left_semi"), f, spare).where("row_id <> neighbour")
+            some = original.join(open_.where(F.col("sim") == s).select("row_id").hint("merge"), "row_id", "left_semi")
+            near = k_nearest(some, original.join(rows.where(in_a(s)).select("row_id").hint("merge"), "row_id", "left_semi"), f, spare, how="merge").where("row_id <> neighbour")
             out.append(near.groupBy("row_id").agg(F.min(F.struct("dkey", "neighbour")).alias("m")).select(F.lit(s).alias("sim"), "row_id", "m.neighbour", "m.dkey"))
         return out, count
 
@@ -149,6 +152,6 @@ def half_neighbours(original: DataFrame, f: Features, n: int | None, seeds: list
     counts, still = both.where("row_id is null").select("sim", "records", "ties", "flags"), both.where("row_id is not null")
     found, missed_back = searched(still.select("sim", "row_id").distinct(), 2)
     for back in found:
-        met = still.select("sim", "row_id", "d").join(back.select("sim", "row_id", F.col("dkey").alias("r")), ["sim", "row_id"])
+        met = still.select("sim", "row_id", "d").join(back.select("sim", "row_id", F.col("dkey").alias("r")).hint("merge"), ["sim", "row_id"])
         counts = counts.unionByName(met.select("sim", F.lit(1).alias("records"), (F.col("d") == F.col("r")).cast("long").alias("ties"), (F.col("d") < F.col("r")).cast("long").alias("flags")))
     return counts.groupBy("sim").agg(*(F.sum(c).alias(c) for c in ("records", "ties", "flags"))).where("records > 0"), missed + missed_back

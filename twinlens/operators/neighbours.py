@@ -9,7 +9,9 @@ product.  Only queries that stay open are held against all targets, in pairs of
 Equal records are collapsed on both sides; buckets and sides are dealt into blocks of
 about ``BLOCK`` records, and every pair of blocks is one group of a co-grouped task that
 works on NumPy arrays.  A query keeps only its k best per block pair, and these partial
-answers are merged by one aggregation.  Nothing is broadcast and nothing is collected.
+answers are merged by one aggregation.  Nothing is collected; a broadcast may carry the
+block counts, one row a bucket, but no records: their estimated size says little of copies
+that compress well.
 """
 
 from __future__ import annotations
@@ -120,8 +122,8 @@ def _candidates(own: DataFrame, other: DataFrame, f: Features, spare: int) -> Da
         return _merged(_found(own, other, f, spare, 1), spare)
     inside = kept_for_reuse(_merged(_found(own, other, f, spare, buckets), spare))
     closed = inside.groupBy("query").agg(F.count("*").alias("n"), F.max("dkey").alias("far")).where((F.col("n") == spare) & (F.col("far") < _least_mismatch(f))).select("query")
-    open_ = kept_for_reuse(own.join(closed, "query", "left_anti"))
-    done = inside.join(closed, "query", "left_semi")
+    open_ = kept_for_reuse(own.join(closed.hint("merge"), "query", "left_anti"))
+    done = inside.join(closed.hint("merge"), "query", "left_semi")
     return done if open_.isEmpty() else done.unionByName(_merged(_found(open_, other, f, spare, 1), spare))
 
 
@@ -143,17 +145,18 @@ def record_lists(rows: DataFrame, f: Features, k: int) -> tuple[DataFrame, DataF
     return every, _candidates(own, _distinct(rows, f, k), f, k)
 
 
-def k_nearest(queries: DataFrame, targets: DataFrame, f: Features, k: int = 1, not_itself: bool = False) -> DataFrame:
+def k_nearest(queries: DataFrame, targets: DataFrame, f: Features, k: int = 1, not_itself: bool = False, how: str = "") -> DataFrame:
     """row_id, pos (0 first), neighbour, dkey: the k nearest targets of each query in (distance, row) order.
 
     ``not_itself``: both frames are the same table, and a row is no neighbour of itself.
+    ``how``: a join hint for what is as long as the queries.
     """
     ship_package(queries.sparkSession)
     spare = k + int(not_itself)
-    own, every = _records(queries, f)
+    own, every = _records(queries, f, how)
     merged = _candidates(own, _distinct(targets, f, spare), f, spare)
     # Back to every query row of an equal record.
-    joined = every.join(merged, "query")
+    joined = every.join(merged.hint(how) if how else merged, "query")
     if k == 1 and not not_itself:
         return joined.select("row_id", F.lit(0).alias("pos"), "neighbour", "dkey")
     if not_itself:
